@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, substring_dedup, suffix_dedup, topk
+from . import bpe, packing, sharding, substring_dedup, suffix_dedup, token_files, topk
+from .store import new_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,19 +19,33 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), 8, law="bytes")[0]
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=64)
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20).select(F.col("query_id"), F.col("rank"), F.col("vec_id"), F.col("score"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-files")
+    token_files.write_token_files(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, folder)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(_documents(spark, sf_dir), window=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_sharding, op8_exact_topk, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
