@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, substring_dedup, suffix_dedup, token_files, topk
+from . import bpe, fingerprint, packing, sharding, substring_dedup, suffix_dedup, token_files, topk
 from .store import new_path
 
 
@@ -31,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(_documents(spark, sf_dir))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=64)
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20).select(F.col("query_id"), F.col("rank"), F.col("vec_id"), F.col("score"))
@@ -47,5 +51,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
