@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, packing, sharding, substring_dedup, suffix_dedup, token_files, topk
+from . import bpe, fingerprint, minhash, packing, quality, sharding, substring_dedup, suffix_dedup, token_files, topk
 from .store import new_path
 
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -31,6 +35,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), threshold=0.8).select("doc_id", "class_id")
+
+
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(_documents(spark, sf_dir))
 
@@ -51,5 +59,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op6_minhash_near_dedup, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
