@@ -96,8 +96,8 @@ def _distinct(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (the kept words joined by a space) and carry_0, ... for the carried columns."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (the kept words joined by a space; with as_is, texts that lose none are not joined anew) and carry_0, ... for the carried columns."""
 
     def keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, found = doc_ids(t["doc_id"]), [(h, doc + at) for at, s in Texts.of(t["text"]).slices() for _, doc, h in [_anchors(s, window)]]
@@ -162,6 +162,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n_words.append(len(words))
             if start[i] == start[i + 1]:
                 n_removed.append(0)
+                if as_is:
+                    kept.append(text[i])
+                    continue
             else:
                 cover = np.zeros(len(words) + 1, np.int64)
                 w = word[start[i] : start[i + 1]]
