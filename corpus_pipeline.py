@@ -30,9 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that a document with a smaller id holds too; untouched texts stay as they are."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring_dedup.substring_dedup(docs.withColumn("text_was", F.col("text")), window=50, carry=(*others, "text_was"))
-    text = F.when(F.col("n_removed") == 0, F.col(f"carry_{len(others)}")).otherwise(F.col("kept_text"))
-    named = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"carry_{i}") for i, c in enumerate(others)}
+    out = substring_dedup.substring_dedup(docs, window=50, carry=others, as_is=True)
+    named = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")} | {c: F.col(f"carry_{i}") for i, c in enumerate(others)}
     return out.select(*(named[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
