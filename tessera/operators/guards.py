@@ -45,11 +45,10 @@ def withhold(text: str | None, targets, tolerance: float = TOLERANCE) -> tuple[s
     return AMOUNT.sub(one, text), gone
 
 
-@F.pandas_udf("struct<text: string, withheld: int>")
 def _withheld(text: pd.Series, targets: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([withhold(t, v) for t, v in zip(text, targets, strict=True)], columns=["text", "withheld"])
 
 
 def withheld(text: Column, targets: Column) -> Column:
     """A struct of the masked text and the number of figures withheld."""
-    return _withheld(text, targets)
+    return F.pandas_udf(_withheld, "struct<text: string, withheld: int>")(text, targets)

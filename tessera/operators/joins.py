@@ -33,7 +33,11 @@ def contained_passages(passages: DataFrame, texts: DataFrame, grams: int = 8) ->
     if not lengths:
         lengths = [grams]
     t = texts.withColumn("_w", words(F.col("text")))
-    runs = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.slice(F.col("_w"), i, F.lit(n)), F.lit(n))) for n in lengths)))
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(n)), F.lit(n)))
+
+    runs = F.flatten(F.array(*map(runs_of, lengths)))
     keys = t.select("text_id", F.explode(F.array_distinct(runs)).alias("_key"))
     found = keys.join(p.select("passage_id", "_key"), "_key").select("passage_id", "text_id").distinct()
     both = found.join(passages, "passage_id").join(texts, "text_id")
