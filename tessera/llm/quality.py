@@ -73,10 +73,10 @@ def statistics(t: Texts) -> np.ndarray:
     breaks = np.flatnonzero(t.data == 10)
     line_start = np.unique(np.concatenate([t.offsets[:-1][size > 0], breaks + 1]))
     line_start = line_start[line_start < len(t.data)]
-    line_end = np.append(line_start[1:], len(t.data))
+    line_end = np.append(line_start[1:], len(t.data))[: len(line_start)]
     line_doc = np.searchsorted(t.offsets, line_start, "right") - 1
     n_lines = np.bincount(line_doc, minlength=n)
-    line_hash = spans(sums, line_start, line_end - (t.data[line_end - 1] == 10 if len(line_end) else 0), BYTE_POWERS)
+    line_hash = spans(sums, line_start, line_end - (t.data[line_end - 1] == 10), BYTE_POWERS)
     out = [np.log1p(size), np.log1p(n_words), np.log1p(n_lines), *(_share(classes[:, k], size) for k in range(classes.shape[1]))]
     out += [mean, np.sqrt(np.maximum(_share(per_doc(length.astype(float) ** 2), n_words) - mean**2, 0)), _share(per_doc((up == let) & (up > 0)), n_words), _share(per_doc((up == 1) & (let > 1)), n_words)]
     out += [_share(per_doc(length <= 3), n_words), _share(per_doc(length >= 12), n_words), _share(per_doc(let == 0), n_words), _share(per_doc((let > 0) & (length - let >= 2)), n_words)]
@@ -208,18 +208,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: s
     return fit(x, (rows["y"].to_numpy() > 0).astype(float))
 
 
-def scored(docs: DataFrame, forest: Forest) -> DataFrame:
-    """docs with the column score: how likely label 1 is."""
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
-    at = docs.columns.index("text")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.scores(batch_statistics(b.column(at).cast(pa.string()))))], names=[*b.schema.names, "score"])
-
-    return docs.mapInArrow(score, schema)
-
-
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
     forest = train(docs, labels, max_rows)
@@ -235,7 +223,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thres
 
 def kept(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.7) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    name = "score"
-    while name in docs.columns:
-        name += "_"
-    return scored(docs, train(docs, labels, max_rows)).toDF(*docs.columns, name).where(F.col(name) >= threshold).drop(name)
+    forest, at = train(docs, labels, max_rows), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(forest.scores(batch_statistics(b.column(at).cast(pa.string()))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, minhash, packing, quality, sharding, substring_dedup, suffix_dedup, token_files, topk
+from .oracles import ORACLE_SQL  # noqa: F401
 from .store import new_path
 
 
@@ -60,4 +61,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op6_minhash_near_dedup, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
