@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES = 8 << 20
+PART_BYTES, LEAST_PART = 8 << 20, 256 << 10
 BLOBS, ANSWERS = "bucket int, part int, blob binary", "part int, blob binary"
 KEY_BYTES, KEY_BITS = 5, 40
 
@@ -29,7 +29,8 @@ KEY_BYTES, KEY_BITS = 5, 40
 def deal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
     """The documents with their part, and the number of parts. One aggregate over the texts gives the bytes."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
-    n = max(1, -(-size // PART_BYTES))
+    wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-size // PART_BYTES), min(wanted, size // LEAST_PART))  # small inputs still use the cluster's tasks
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("part")), n
 
