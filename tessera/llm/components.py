@@ -22,9 +22,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(e)
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a node's least neighbour; nodes that are no edge's greater end are least themselves. Stored, so that the join
+        # below has a plain exchange on both sides and a node with very many neighbours can be split over tasks.
+        least = written(e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "least")
+        large = e.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         e = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
         e = written(e, "edges")
