@@ -13,17 +13,24 @@ from pyspark.sql import types as T
 #: The five figures of a filing, in order.
 METRICS = ("total_revenue", "net_income", "total_assets", "total_liabilities", "operating_cash_flow")
 
-DOCUMENTS = T.StructType.fromDDL("id bigint, company_name string, ticker string, cik string, filing_year int, filing_date string, accession_number string, local_path string, is_extracted boolean, is_embedded boolean, created_at timestamp")
-RECORDS = T.StructType.fromDDL(
+_KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType())}
+
+
+def _columns(text: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in text.split(","))])
+
+
+DOCUMENTS = _columns("id bigint, company_name string, ticker string, cik string, filing_year int, filing_date string, accession_number string, local_path string, is_extracted boolean, is_embedded boolean, created_at timestamp")
+RECORDS = _columns(
     "id bigint, document_id bigint, company_name string, fiscal_year_end string, "
     + ", ".join(f"{m} double" for m in METRICS)
     + ", auditor_name string, "
     + ", ".join(f"{m}_source_line string, {m}_evidence_present boolean, {m}_evidence_consistent boolean" for m in METRICS)
     + ", evidence_json string, extraction_strategy_used string, prompt_version string, model_name string, section_source string, input_tokens int, output_tokens int, extraction_status string, failure_reason string, extracted_at timestamp"
 )
-CHUNKS = T.StructType.fromDDL("id string, text string, source_company string, source_ticker string, source_cik string, source_year int, source_section string, chunk_index int, embedding array<float>")
-EVIDENCE = T.MapType(T.StringType(), T.StructType.fromDDL("value double, source_line string"))
-NARRATIVE = T.StructType.fromDDL("cik string, year int, sections array<struct<name: string, text: string, token_count: int>>")
+CHUNKS = _columns("id string, text string, source_company string, source_ticker string, source_cik string, source_year int, source_section string, chunk_index int, embedding vector")
+EVIDENCE = T.MapType(T.StringType(), _columns("value double, source_line string"))
+NARRATIVE = T.StructType([*_columns("cik string, year int").fields, T.StructField("sections", T.ArrayType(_columns("name string, text string, token_count int")))])
 
 
 class Intent(StrEnum):

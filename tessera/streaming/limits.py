@@ -113,7 +113,7 @@ def admitted_stream(requests: DataFrame, per_window: int, window: float = WINDOW
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         at = rows["ts"].astype("int64").to_numpy() / (1e9 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1e6)
         ok, wait = [], []
-        for t in at:
+        for t in at.tolist():
             while q and t - q[0] >= window:
                 q.popleft()
             ok.append(len(q) < per_window)
