@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .arrowtext import doc_ids, id_column
 from .store import written
 from .tokenizer import word_tokenizer
+from .units import portions
 
 GROUP, FAN_IN = 20_000, 64
 
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_tokenizer(tokenizer), np.array([end_id], np.uint32)
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text")):
             codes, ids = encoder.encode(b.column("text")), doc_ids(b.column("doc_id"))
             n = np.diff(codes.offsets) + 1
             k = -(-n // capacity)

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .arrowtext import doc_ids, id_column
 from .ranges import id_range, id_splits
 from .tokenizer import word_tokenizer
+from .units import portions
 
-FILE_BYTES = 16 << 20
+FILE_BYTES, LEAST_FILE = 16 << 20, 1 << 20
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
@@ -38,7 +39,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text")):
             codes = tokenizer.encode(b.column("text"))
             flat, at = codes.ids.astype(kind).tobytes(), codes.offsets * width
             yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), pa.array([flat[s:e] + end for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["bucket", "doc_id", "ids"])
@@ -50,7 +51,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Writes the files and returns the manifest: file, n_docs, n_tokens, doc_base, token_base and width of each."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    splits = id_splits(texts, "doc_id", max(1, -(-size // FILE_BYTES)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = id_splits(texts, "doc_id", max(1, -(-size // FILE_BYTES), min(tasks, size // LEAST_FILE)))
     width = 2 if max(word_tokenizer(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+GATHER, PORTION = 1 << 19, 6 << 20
+
 
-GATHER = 1 << 19
+def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes of text (one row at least), so that working arrays stay small."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 class Codes:
