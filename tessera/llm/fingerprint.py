@@ -23,7 +23,7 @@ from .ranges import id_range, id_splits
 #: Up to eight words of one line, fewer if a sentence ends.
 RUN = r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+){0,7}[^\x20\x09-\x0D]+"
 SECTION_HEX, RUN_HEX = 16, 8
-RANGE_BYTES = 8 << 20
+RANGE_BYTES, LEAST_RANGE = 8 << 20, 1 << 20
 
 
 def sections(text: Column) -> Column:
@@ -65,7 +65,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     document of the range after it, so that no range waits for another.
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    splits = id_splits(docs, "doc_id", max(1, -(-size // RANGE_BYTES)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = id_splits(docs, "doc_id", max(1, -(-size // RANGE_BYTES), min(tasks, size // LEAST_RANGE)))
     n = len(splits) + 1
     # the highest range comes first; rows without an id come after the lowest range
     at = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.lit(n - 1) - id_range(F.col("doc_id"), splits))
