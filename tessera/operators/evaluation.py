@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.text import scoring_text
+from ..functions.text import scoring_text, span_text
 
 NUMERIC_TOLERANCE = 1e-5
 
@@ -194,3 +194,27 @@ def label_sheet(lines: DataFrame, sheet: str = "sheet", no: str = "line_no", tex
     rows = lines.withColumn("item", F.last(heading, ignorenulls=True).over(w)).withColumn("raw", F.upper(F.regexp_extract(F.col(text), r"(?i)^\s*Label:\s*(\S*)\s*$", 1)))
     rows = rows.where(F.col(text).rlike(r"(?i)^\s*Label:\s*\S*\s*$") & F.col("item").isNotNull())
     return rows.groupBy(sheet, "item").agg(F.max_by(F.when(F.col("raw").isin("S", "N"), F.col("raw")), no).alias("label"))
+
+
+def span_found(verdict: Column, span: Column, excerpts: Column) -> Column:
+    """For a supporting verdict whether its quoted span occurs in the excerpts, quotes and spaces aside; null for others."""
+    inside = F.contains(span_text(excerpts), span_text(span))
+    return F.when(verdict == "supported", F.coalesce((F.coalesce(span, F.lit("")) != "") & inside, F.lit(False)))
+
+
+def judged_sources(claims_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each claim with the texts of its sources in order and the number that no chunk has: such a claim is not judged but failed.
+
+    claims_: item, sources array<string>. chunks: key, text.
+    """
+    each = claims_.select("item", F.posexplode("sources").alias("pos", "key")).join(chunks.select("key", "text"), "key", "left")
+    return each.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))), lambda x: x["text"]).alias("texts"), F.count_if(F.col("text").isNull()).alias("missing"))
+
+
+def against_key(records: DataFrame, truth: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """A scored row for each record and field against the answer key (cik, fiscal_year); records the key lacks score n_a."""
+    t = truth.select("cik", "fiscal_year", *(F.col(f).alias(f"_t_{f}") for f in fields))
+    j = records.join(t, ["cik", "fiscal_year"], "left")
+    rows = j.select("cik", "fiscal_year", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"_t_{f}").alias("truth")) for f in fields))).alias("x")).select("cik", "fiscal_year", "x.*")
+    both = F.col("value").isNotNull() & F.col("truth").isNotNull()
+    return rows.withColumn("outcome", numeric_outcome(F.col("value"), F.col("truth"))).withColumn("rel_error", F.when(both, relative_error(F.col("value"), F.col("truth"))))

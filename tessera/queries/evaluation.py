@@ -397,3 +397,30 @@ def p_resolved_mentions(s, d):
     m = table(s, d, "documents").select(F.col("doc_id").alias("mention_id"), F.substring_index("text", " ", 2).alias("mention"))
     index = table(s, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("ticker"), F.col("n_name").alias("company_name"))
     return resolve.resolve_company(m, index).select("mention_id", "ticker", "failure")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 4 <> 1 AND (doc_id % 2 = 1 OR substr(text, 5, 40) <> '') AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 40) ELSE concat(substr(text, 5, 20), '~') END, '\\s+', ' ', 'g')))) END AS found FROM documents")
+def e4_span_found(s, d):
+    t, i = table(s, d, "documents"), F.col("doc_id")
+    span = F.when(i % 4 == 1, "").when(i % 2 == 0, F.substring("text", 5, 40)).otherwise(F.concat(F.substring("text", 5, 20), F.lit("~")))
+    return t.select("doc_id", ev.span_found(F.when(i % 3 != 0, "supported").otherwise("not_supported"), span, F.col("text")).alias("found"))
+
+
+@query("WITH c AS (SELECT o_orderkey AS item, unnest([o_custkey, o_custkey + 1400]) AS k, unnest([0, 1]) AS pos FROM orders) SELECT item, coalesce(string_agg(c_name, ',' ORDER BY pos) FILTER (c_name IS NOT NULL), '') AS texts, count(*) FILTER (c_name IS NULL) AS missing FROM c LEFT JOIN customer ON c_custkey = k GROUP BY 1")
+def j14_judged_sources(s, d):
+    c = table(s, d, "orders").select(F.col("o_orderkey").alias("item"), F.array(F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1400).cast("string")).alias("sources"))
+    k = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("text"))
+    return ev.judged_sources(c, k).select("item", F.array_join("texts", ",").alias("texts"), "missing")
+
+
+@query("SELECT o_orderkey AS fiscal_year, f AS field, CASE WHEN t IS NULL THEN 'n_a' WHEN v IS NULL THEN 'missing' WHEN abs(v - t) <= 1e-5 * abs(t) THEN 'correct' ELSE 'wrong' END AS outcome FROM (SELECT o_orderkey, f, CASE f WHEN 'net_income' THEN o_custkey ELSE o_custkey * 2 END AS v, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN f = 'net_income' THEN c_custkey ELSE c_custkey * 3 END AS t FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 7 <> 0, (VALUES ('net_income'), ('total_assets')) x(f))")
+def j5_against_key(s, d):
+    r = table(s, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS cik", "o_orderkey AS fiscal_year", "CAST(o_custkey AS DOUBLE) AS net_income", "CAST(o_custkey * 2 AS DOUBLE) AS total_assets")
+    t = table(s, d, "customer").where("c_custkey % 7 <> 0").selectExpr("CAST(c_custkey AS STRING) AS cik", "CAST(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS DOUBLE) AS net_income", "CAST(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey * 3 END AS DOUBLE) AS total_assets")
+    key = r.select("cik", "fiscal_year").join(t, "cik")
+    return ev.against_key(r, key, ("net_income", "total_assets")).select("fiscal_year", "field", "outcome")
+
+
+@query("SELECT doc_id, substr(sha256(concat_ws('|', lang, source)), 1, 12) AS version FROM documents")
+def a28_c8_versions(s, d):
+    return table(s, d, "documents").select("doc_id", X.short_hash("|", 12, F.col("lang"), F.col("source")).alias("version"))

@@ -1,6 +1,7 @@
 """Lookups, rankings, filters and their disclosures on a small store of four companies."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,20 @@ def test_missing_outcomes_are_reported():
     plan = QueryPlan(PlanType.SINGLE, (Task("a", Intent.STRATEGY, question="Why?"),))
     assert executor.assemble(plan, []) == (f"Why? — {render.MISSING_PART}", [Status.FAILED])
     assert executor.assemble(QueryPlan(PlanType.OUT_OF_SCOPE), [])[0] == render.OUT_OF_SCOPE
+
+
+def test_labels_become_plans():
+    from tessera.plans import labels
+
+    p = labels.plan_of_label("q1", "Why?", "hybrid", [{"intent": "financial_ranking", "metric": "net_income"}, {"intent": "strategy", "company": "AAPL"}], task_questions={"q1": {"t2": "Its strategy?"}})
+    assert p.tasks[0].direction is Direction.HIGHEST and p.tasks[1].question == "Its strategy?"
+    f = labels.plan_of_label("q2", "Which?", "single", [{"intent": "financial_filter", "metric": "net_income"}], {"q2": ("gt", "$1bn")})
+    assert (f.tasks[0].comparison, f.tasks[0].threshold_text) == (Comparison.GT, "$1bn")
+    for bad in (lambda: labels.plan_of_label("q", "x", "single", []), lambda: labels.plan_of_label("q", "x", "single", [{"intent": "financial_filter", "metric": "net_income"}]), lambda: labels.require_unchanged("a", "0"), lambda: labels.require_served("m", lambda _: None)):
+        with pytest.raises(labels.LabelError):
+            bad()
+    assert labels.require_unchanged("a\r\nb", hashlib.sha256(b"a\nb").hexdigest()) and labels.require_served("m", lambda m: m) == "m"
+    clock = iter([0.0, 5.0, 10.0, 11.0])
+    gate = labels.RetryGate(10, lambda: next(clock))
+    tries = iter([False, True])
+    assert [gate.attempt(lambda: next(tries)) for _ in range(4)] == [False, False, True, True]
