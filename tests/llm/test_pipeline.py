@@ -62,3 +62,15 @@ def test_run_equals_the_stages(spark, sf):
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(r.n <= 2048 for r in full) and len(full) <= -(-sum(r.n for r in full) // 2048) + 1
     assert zlib.crc32(b"") == 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_awkward_and_empty_tables(spark, awkward, empty, sf):
+    """Nulls, repeated rows, odd columns and no rows: each stage keeps the columns, and only duplicates and junk go."""
+    for docs in (awkward, empty):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns and out.count() <= n, name
+        assert corpus_pipeline.best_fit_packing(spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    cut = corpus_pipeline.shared_passages(spark, awkward, sf)
+    assert cut.count() == awkward.count()

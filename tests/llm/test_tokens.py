@@ -142,3 +142,15 @@ def test_bound_is_valid_and_beats_the_sum():
 
 def test_packing_nothing(empty):
     assert packing.best_fit_packing(empty, WORD).count() == 0
+
+
+def test_round_trip_of_awkward_rows(spark, awkward, empty):
+    import hashlib
+
+    enc, want = tiktoken_encoding(), []
+    for r in awkward_rows():
+        ids = enc.encode_ordinary(r[1] or "")
+        want.append((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.digests(awkward, RANKS, P.PATTERN).collect()), key=repr) == sorted(want, key=repr)
+    assert all(bytes(r.decoded) in {(x[1] or "").encode() for x in awkward_rows()} for r in bpe.encode_decode(awkward, RANKS, P.PATTERN).collect())
+    assert bpe.digests(empty, RANKS, P.PATTERN).count() == 0
