@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, INNER_BLOCK = 512, 32768, 2048
+QUERY_BLOCK, CANDIDATE_BLOCK, INNER_BLOCK, MOST_SHARDS = 512, 32768, 2048, 16384
 BLOCK = "block long, n int, dim int, ids binary, rows binary"
 
 
@@ -123,8 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each query. vectors: vec_id and v, as integer_vectors gives them."""
     candidates = vectors.mapInArrow(_pack(CANDIDATE_BLOCK), BLOCK)
     queries = vectors.where(is_query).mapInArrow(_pack(QUERY_BLOCK), BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dim", "ids", "rows")))
-    # how many candidate blocks there are decides the replication of the query blocks
-    shards = 16
+    shards = min(MOST_SHARDS, max(16, vectors.count() // CANDIDATE_BLOCK))  # about one block of candidates each
     pairs = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(candidates.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int")), "shard")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
