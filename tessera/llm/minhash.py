@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import WORD_POWERS, Texts, mix, prefix, spans
 from .components import components
-from .store import written
+from .store import discard, written
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
 BLOCK, SMALL_GROUP = 512, 2048
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     member = member.unionByName(member.select(F.col("cluster").alias("row"), "cluster").distinct())
     sizes = member.groupBy("cluster").agg(F.count("*").alias("n"))
     member = written(member.join(sizes, "cluster").join(nodes.select("row", "doc_id", "text_hash"), "row"), "members")
+    discard(near)
     n_groups = max(1, member.count() // SMALL_GROUP)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
@@ -236,7 +237,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     labelled = nodes.select("text_hash", "doc_id", "row").join(same.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row"))
     heads = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"))
     classes = labelled.join(heads, "root").select("text_hash", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"))
-    return written(base.select("doc_id", "text_hash", "row").join(classes, "text_hash").select("doc_id", "class_id", "text_hash", (F.col("row") == F.col("head_row")).alias("keeper")), "classes")
+    out = written(base.select("doc_id", "text_hash", "row").join(classes, "text_hash").select("doc_id", "class_id", "text_hash", (F.col("row") == F.col("head_row")).alias("keeper")), "classes")
+    discard(base, nodes, member, same)
+    return out
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -36,7 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once nothing that is still to run reads them."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
