@@ -19,7 +19,7 @@ import regex
 
 from .units import Codes, coded, gathered
 
-CACHED = 150_000
+CACHED = 220_000
 PLAIN = regex.compile("[!-~¡-įı-ɏ]+")  # without the one letter here that two lower-case characters replace
 #: The settings under which words can be encoded one by one.
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"

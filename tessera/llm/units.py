@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GATHER, PORTION = 1 << 19, 6 << 20
+GATHER, PORTION = 1 << 19, 10 << 20
 
 
 def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
