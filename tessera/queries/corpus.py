@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import figures, joins, quality, reads, resolve
 from ..schemas import METRICS, Comparison, Direction, Metric
-from ..sources import corpus
+from ..sources import corpus, extraction
 from .frames import CTE_ASSESSED, CTE_BASE, CTE_LATEST, docs, records, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -477,3 +477,20 @@ def t19_label_sheet(s, d):
     c = table(s, d, "conversations")
     line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## item"), F.col("turn").cast("string"))).when(F.col("turn") % 3 == 1, F.when(F.col("conv_id") % 2 == 0, "Label: s").otherwise("Label: x")).otherwise("text")
     return evaluation.label_sheet(c.select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line")
+
+
+@query("SELECT concat('T', CAST(c_custkey AS STRING)) AS ticker, c_name AS company_name, CAST(2021 + c_custkey % 3 AS INT) AS filing_year, c_custkey % 4 <> 0 AS is_embedded FROM customer")
+def io19_listing(s, d):
+    return docs(s, d).select("ticker", "company_name", "filing_year", "is_embedded").orderBy("ticker")
+
+
+@query(f"WITH {CTE_LATEST} SELECT id, net_income, net_income_source_line AS line, CAST(" + " + ".join(f"CASE WHEN {m} IS NOT NULL THEN 1 ELSE 0 END" for m in METRICS) + " AS INT) AS n_figures FROM latest")
+def e2_evidence_map(s, d):
+    r = reads.latest_success(records(s, d)).select("id", extraction.evidence_map().alias("e"))
+    plain = extraction.plain_figures(F.col("e"))
+    return r.select("id", plain["net_income"].alias("net_income"), F.col("e")["net_income"]["source_line"].alias("line"), F.size(F.map_filter(plain, lambda _, v: v.isNotNull())).alias("n_figures"))
+
+
+@query("SELECT doc_id, sha256(concat(substr(text, 1, 100), chr(10), chr(10), substr(text, 201, 300))) AS assembled FROM documents")
+def e3_assembled_input(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(extraction.assembled_input(F.substring("text", 1, 100), F.substring("text", 201, 300)), 256).alias("assembled"))
