@@ -41,6 +41,30 @@ def nearest_each(chunks: DataFrame, query: list[float], k: int, group: str, wher
     return rows.withColumn("distance", cosine_distance(F.col("embedding"), vector)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+SAME_COMPANY, OTHER_COMPANY = "wrong_block_same_company", "wrong_block_other_company"
+
+
+def seed_swap(seeds: DataFrame, chunks: DataFrame, rank: int = 10, key: str = "vec_id") -> DataFrame:
+    """The chunk each seed's citation is swapped for, searched exactly in the cited section; ties by key.
+
+    seeds: seed_id, kind, company, section, claim (a vector), cited array of keys; chunks: key, company, section, embedding.
+    A same-company seed takes the `rank`th nearest of the company's chunks it does not cite, the last if there are fewer; an
+    other-company seed the nearest of any other company. A seed without a candidate stays, with a null key and its status.
+    Seeds are few and broadcast; of the chunks, only `rank` a seed and task are shuffled.
+    """
+    if rank < 1:
+        raise ValueError("rank must be at least 1")
+    same = F.col("kind") == SAME_COMPANY
+    asked = F.broadcast(seeds.select("seed_id", "kind", F.col("company").alias("_own"), "section", "claim"))
+    cited = F.broadcast(seeds.where(same).select("seed_id", F.explode("cited").alias(key)))
+    met = chunks.select(key, "company", "section", "embedding").join(asked, "section").where(same == (F.col("company") == F.col("_own")))
+    left = met.join(cited, ["seed_id", key], "left_anti").select("seed_id", "kind", key, cosine_distance(F.col("embedding"), F.col("claim")).alias("distance"))
+    nth = left.withColumn("nth", F.row_number().over(Window.partitionBy("seed_id").orderBy("distance", key))).where(F.col("nth") <= rank)
+    picked = nth.where(same | (F.col("nth") == 1)).groupBy("seed_id").agg(F.max("nth").alias("nth"), F.max_by(key, "nth").alias(key), F.max_by("distance", "nth").alias("distance"))
+    out = seeds.select("seed_id", "kind", "company", "section").join(picked, "seed_id", "left")
+    return out.withColumn("status", F.when(F.col(key).isNull(), "no_candidate").otherwise("swapped"))
+
+
 def with_status(groups: DataFrame, found: DataFrame, group: str) -> DataFrame:
     """Every eligible group with the number of blocks found and a status."""
     n = found.groupBy(group).agg(F.count("*").alias("n_blocks"))

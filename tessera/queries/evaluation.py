@@ -101,6 +101,19 @@ def c21_seed_swap(s, d):
     return rest.withColumn("n", F.row_number().over(w.orderBy("vec_id"))).withColumn("c", F.count("*").over(w)).where("n = least(10, c)").select("label", "vec_id")
 
 
+# every embedding is searched: four sections by id, and a seed of each kind for each label and section, whose claim is the vector of least id
+
+@query("WITH e AS (SELECT *, vec_id % 4 AS section, row_number() OVER (PARTITION BY label, vec_id % 4 ORDER BY vec_id) AS n FROM embeddings), s AS (SELECT label, section, kind, embedding AS qe FROM e, (VALUES ('wrong_block_same_company'), ('wrong_block_other_company')) k(kind) WHERE n = 1), d AS (SELECT s.label, s.section, kind, vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(qe[i] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS distance FROM s JOIN e ON e.section = s.section AND CASE kind WHEN 'wrong_block_same_company' THEN e.label = s.label AND n > 2 ELSE e.label <> s.label END), r AS (SELECT *, row_number() OVER (PARTITION BY label, section, kind ORDER BY distance, vec_id) AS nth, count(*) OVER (PARTITION BY label, section, kind) AS c FROM d) SELECT s.label, s.section, s.kind, CAST(nth AS INT) AS nth, vec_id, round(distance, 6) AS distance, CASE WHEN vec_id IS NULL THEN 'no_candidate' ELSE 'swapped' END AS status FROM s LEFT JOIN r ON r.label = s.label AND r.section = s.section AND r.kind = s.kind AND nth = CASE s.kind WHEN 'wrong_block_same_company' THEN least(10, c) ELSE 1 END")
+def c21_seed_swap_all(s, d):
+    from pyspark.sql import Window
+
+    e = table(s, d, "embeddings").select("vec_id", F.col("label").alias("company"), (F.col("vec_id") % 4).alias("section"), "embedding")
+    first = e.withColumn("n", F.row_number().over(Window.partitionBy("company", "section").orderBy("vec_id"))).where("n <= 2")
+    base = first.groupBy("company", "section").agg(F.min_by("embedding", "n").alias("claim"), F.collect_list("vec_id").alias("cited"))
+    seeds = base.withColumn("kind", F.explode(X.literals((retrieval.SAME_COMPANY, retrieval.OTHER_COMPANY)))).withColumn("seed_id", F.concat_ws("|", "company", "section", "kind"))
+    return retrieval.seed_swap(seeds, e).select(F.col("company").alias("label"), "section", "kind", "nth", "vec_id", F.round("distance", 6).alias("distance"), "status")
+
+
 # sections and chunks
 
 @query("SELECT doc_id, sha256(substr(text, 1, 12000)) AS cover FROM documents")
