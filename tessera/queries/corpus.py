@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import figures, joins, quality, reads, resolve
+from ..operators import figures, joins, quality, reads, resolve, sections
 from ..schemas import METRICS, Comparison, Direction, Metric
 from ..sources import corpus, extraction
 from .frames import CTE_ASSESSED, CTE_BASE, CTE_LATEST, docs, records, table
@@ -494,3 +494,10 @@ def e2_evidence_map(s, d):
 @query("SELECT doc_id, sha256(concat(substr(text, 1, 100), chr(10), chr(10), substr(text, 201, 300))) AS assembled FROM documents")
 def e3_assembled_input(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(extraction.assembled_input(F.substring("text", 1, 100), F.substring("text", 201, 300)), 256).alias("assembled"))
+
+
+@query("SELECT doc_id, sha256(concat_ws(chr(10) || chr(10), substr(text, 1, 12000), text)) AS assembled FROM documents")
+def e3_assembled_input_all(s, d):
+    """The cover and the whole statements; a document without a part of its own for them has its full text there."""
+    text = F.col("text")
+    return table(s, d, "documents").select("doc_id", F.sha2(extraction.assembled_input(sections.cover(text), text), 256).alias("assembled"))

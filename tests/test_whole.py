@@ -1,5 +1,7 @@
 """Queries and operators that must do the whole job, on rows that a cut would lose."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval
@@ -26,3 +28,13 @@ def test_seed_swap_query_searches_every_vector(spark, tmp_path):
     out = evaluation.QUERIES["c21_seed_swap_all"](spark, str(tmp_path)).where((F.col("label") == 0) & (F.col("section") == 0))
     # 0 and 4 are cited, so the tenth nearest is 44; ids divisible by three are candidates as any other
     assert {r.kind: r.vec_id for r in out.collect()} == {retrieval.SAME_COMPANY: 44, retrieval.OTHER_COMPANY: 56}
+
+
+def test_assembled_input_reaches_the_end_of_every_text(spark, tmp_path):
+    from tessera.queries import corpus
+
+    body = "x" * 30_000
+    spark.createDataFrame([(1, body + "a"), (2, body + "b"), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.assembled for r in corpus.QUERIES["e3_assembled_input_all"](spark, str(tmp_path)).collect()}
+    whole = lambda t: hashlib.sha256(f"{t[:12_000]}\n\n{t}".encode()).hexdigest()
+    assert found == {1: whole(body + "a"), 2: whole(body + "b"), 3: whole("short")} and found[1] != found[2]
