@@ -50,6 +50,12 @@ def c16_all_groups(s, d):
     return retrieval.with_status(e.select("label").distinct(), e.where("vec_id % 97 = 0"), "label").select("label", F.col("n_blocks").cast("long").alias("n_blocks"), "status")
 
 
+@query("SELECT label, count(*) AS n_blocks, 'searched' AS status FROM embeddings GROUP BY 1")
+def c16_all_groups_all(s, d):
+    e = table(s, d, "embeddings")
+    return retrieval.with_status(e.select("label").distinct(), e, "label").select("label", F.col("n_blocks").cast("long").alias("n_blocks"), "status")
+
+
 @query("WITH t AS (SELECT doc_id, source, lang FROM documents WHERE lang IN ('en', 'de')), has AS (SELECT source, bool_or(lang = 'en' AND doc_id % 50 = 1) AS own FROM documents WHERE (lang = 'en' AND doc_id % 50 = 1) OR lang = 'de' GROUP BY 1) SELECT d.source, d.doc_id, NOT h.own AS fallback_used FROM documents d JOIN has h ON h.source = d.source WHERE CASE WHEN h.own THEN lang = 'en' AND doc_id % 50 = 1 ELSE lang = 'de' END")
 def c14_structural_fallback(s, d):
     t = table(s, d, "documents")
@@ -157,6 +163,12 @@ def c18_inventory(s, d):
     return sections.inventory(t, retrieval.POLICY)
 
 
+@query("WITH n AS (SELECT source AS ticker, CASE lang WHEN 'en' THEN 'Item 1' WHEN 'de' THEN 'Item 1A' WHEN 'fr' THEN 'Item 7' ELSE 'Item 7A' END AS section, count(*) AS n FROM documents GROUP BY 1, 2), p(intent, sections) AS (VALUES ('company_overview', ['Item 1']), ('strategy', ['Item 1', 'Item 7']), ('competition_and_regulation', ['Item 1', 'Item 1A']), ('risk_factors', ['Item 1A']), ('management_commentary', ['Item 7']), ('market_risk', ['Item 7A', 'Item 7'])) SELECT ticker, intent, CAST(sum(CASE WHEN list_contains(sections, section) THEN n ELSE 0 END) AS BIGINT) AS eligible, CASE WHEN sum(CASE WHEN list_contains(sections, section) THEN n ELSE 0 END) > 0 THEN 'answerable' ELSE 'section_absent' END AS status FROM n CROSS JOIN p GROUP BY 1, 2")
+def c18_inventory_all(s, d):
+    t = table(s, d, "documents").select(F.col("source").alias("ticker"), F.expr("CASE lang WHEN 'en' THEN 'Item 1' WHEN 'de' THEN 'Item 1A' WHEN 'fr' THEN 'Item 7' ELSE 'Item 7A' END").alias("section"))
+    return sections.inventory(t, retrieval.POLICY)
+
+
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading_before FROM conversations")
 def c19_heading_carried(s, d):
     c = table(s, d, "conversations")
@@ -277,6 +289,30 @@ def a14_unjudged(s, d):
     return ev.unjudged_in_top(rk, jud, 10)
 
 
+_RANKED_ALL = "rk AS (SELECT source AS qid, doc_id AS key, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents), rel AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1), jud AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+def _ranking_all(s, d):
+    from pyspark.sql import Window
+
+    t = table(s, d, "documents")
+    rk = t.select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
+    lab = t.join(table(s, d, "labels"), "doc_id").select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), "toxic")
+    return rk, lab.where("toxic = 1").select("qid", "key"), lab.select("qid", "key")
+
+
+@query(f"WITH {_RANKED_ALL}, j AS (SELECT rk.qid, rank, rel.key IS NOT NULL AS r, jud.key IS NOT NULL AS w FROM rk LEFT JOIN rel ON rel.qid = rk.qid AND rel.key = rk.key LEFT JOIN jud ON jud.qid = rk.qid AND jud.key = rk.key), g AS (SELECT qid, count(*) FILTER (rank <= 10 AND r) AS found, count(*) FILTER (rank <= 10) AS shown, min(rank) FILTER (r) AS first_rank, count(*) FILTER (rank <= 10 AND NOT w) AS unjudged FROM j GROUP BY 1), t AS (SELECT qid, count(*) AS total FROM rel GROUP BY 1) SELECT g.qid, coalesce(total, 0) AS relevant_total, first_rank, CASE WHEN total > 0 THEN found > 0 END AS hit, CASE WHEN total > 0 THEN round(CAST(found AS DOUBLE) / least(10, total), 9) END AS recall, round(CAST(found AS DOUBLE) / shown, 9) AS precision, unjudged FROM g LEFT JOIN t USING (qid)")
+def a13_ranking_metrics_all(s, d):
+    m = ev.ranking_metrics(*_ranking_all(s, d), 10)
+    return m.withColumn("recall", F.round("recall", 9)).withColumn("precision", F.round("precision", 9))
+
+
+@query(f"WITH {_RANKED_ALL} SELECT qid, key, rank FROM rk WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM jud WHERE jud.qid = rk.qid AND jud.key = rk.key)")
+def a14_unjudged_all(s, d):
+    rk, _, jud = _ranking_all(s, d)
+    return ev.unjudged_in_top(rk, jud, 10)
+
+
 @query("WITH q AS (SELECT event_type, user_id, avg(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END) AS m FROM events GROUP BY 1, 2) SELECT event_type, round(avg(m), 6) AS mean, count(m) AS n_measured FROM q GROUP BY 1")
 def a15_a16_two_level_mean(s, d):
     e = table(s, d, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))

@@ -38,3 +38,25 @@ def test_assembled_input_reaches_the_end_of_every_text(spark, tmp_path):
     found = {r.doc_id: r.assembled for r in corpus.QUERIES["e3_assembled_input_all"](spark, str(tmp_path)).collect()}
     whole = lambda t: hashlib.sha256(f"{t[:12_000]}\n\n{t}".encode()).hexdigest()
     assert found == {1: whole(body + "a"), 2: whole(body + "b"), 3: whole("short")} and found[1] != found[2]
+
+
+def test_inventory_statuses_and_rankings_read_every_row(spark, tmp_path):
+    from tessera.queries import evaluation
+
+    docs = [(5, "p", "de", 9), (10, "p", "de", 8), (1, "q", "en", 7), (2, "q", "en", 6), (3, "r", "en", 5)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1), (1, 1), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: evaluation.QUERIES[name](spark, str(tmp_path)).collect()
+    inventory = {(r.ticker, r.intent): (r.eligible, r.status) for r in run("c18_inventory_all")}
+    assert inventory["p", "risk_factors"] == (2, "answerable") and inventory["q", "company_overview"] == (2, "answerable")
+    assert inventory["q", "risk_factors"] == (0, "section_absent")
+    found = {r.qid: (r.relevant_total, r.first_rank, r.hit, r.unjudged) for r in run("a13_ranking_metrics_all")}
+    assert found == {"p": (1, 1, True, 1), "q": (1, 1, True, 1), "r": (0, None, None, 0)}
+    assert {(r.qid, r.key, r["rank"]) for r in run("a14_unjudged_all")} == {("p", 10, 2), ("q", 2, 2)}
+    assert {r.label: r.n_blocks for r in run("c16_all_groups_all")} == {1: 2, 2: 1}
+
+
+def test_a_group_without_blocks_keeps_its_status(spark):
+    groups, blocks = spark.createDataFrame([("a",), ("b",)], "g string"), spark.createDataFrame([("a",)], "g string")
+    assert {(r.g, r.n_blocks, r.status) for r in retrieval.with_status(groups, blocks, "g").collect()} == {("a", 1, "searched"), ("b", 0, "no_matching_chunks")}
