@@ -21,13 +21,15 @@ def name_matches(mentions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def contained_passages(passages: DataFrame, texts: DataFrame, grams: int = 8) -> DataFrame:
-    """(passage_id, text_id) where a passage's flattened text occurs in a text, word boundaries aside.
+    """(passage_id, text_id) where a passage occurs in a text as it stands, case and white space included; its ends may cut words.
 
-    A passage's first `grams` whole words must occur as words in a text that holds it, so an equi-join on that run's
-    hash finds the candidates and the exact test is left to them; shorter passages use the words they have.
+    Up to `grams` whole words of a passage, from its second on, must occur as words in a text that holds it, so an equi-join
+    on that run's hash finds the candidates and the exact test is left to them. A passage of fewer than three words has no
+    word that must be whole, so it is tested against every text.
     """
     words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-    p = passages.withColumn("_w", words(F.col("passage"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(grams))).where("_n > 0")
+    p = passages.withColumn("_w", words(F.col("passage"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(grams)))
+    short, p = p.where("_n <= 0").select("passage_id", "passage"), p.where("_n > 0")
     p = p.withColumn("_key", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n")), F.col("_n")))  # the first word may be cut from a longer one
     lengths = [r[0] for r in p.select("_n").distinct().collect()]  # at most `grams` values
     if not lengths:
@@ -41,7 +43,10 @@ def contained_passages(passages: DataFrame, texts: DataFrame, grams: int = 8) ->
     keys = t.select("text_id", F.explode(F.array_distinct(runs)).alias("_key"))
     found = keys.join(p.select("passage_id", "_key"), "_key").select("passage_id", "text_id").distinct()
     both = found.join(passages, "passage_id").join(texts, "text_id")
-    return both.where(F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id")
+    out = both.where(F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id")
+    if short.isEmpty():
+        return out
+    return out.unionByName(short.join(texts, F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id"))
 
 
 def middle_slice(inner: Column, length: int) -> Column:

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval
+from tessera.operators import joins, retrieval
 
 
 def test_seed_swap_takes_both_branches_in_the_cited_section(spark):
@@ -60,3 +60,14 @@ def test_inventory_statuses_and_rankings_read_every_row(spark, tmp_path):
 def test_a_group_without_blocks_keeps_its_status(spark):
     groups, blocks = spark.createDataFrame([("a",), ("b",)], "g string"), spark.createDataFrame([("a",)], "g string")
     assert {(r.g, r.n_blocks, r.status) for r in retrieval.with_status(groups, blocks, "g").collect()} == {("a", 1, "searched"), ("b", 0, "no_matching_chunks")}
+
+
+def test_short_passages_are_found_by_the_exact_test(spark):
+    passages = {1: "cat", 2: "at sa", 3: "", 4: "the cat sat", 5: "The Cat", 6: "dog", 7: " ", 8: None}
+    texts = {1: "the cat sat down", 2: "concatenate", 3: "", 4: "The  Cat", 5: None}
+    p = spark.createDataFrame(list(passages.items()), "passage_id long, passage string")
+    t = spark.createDataFrame(list(texts.items()), "text_id long, text string")
+    whole = sorted((i, j) for i, a in passages.items() for j, b in texts.items() if a is not None and b is not None and a in b)
+    assert sorted(map(tuple, joins.contained_passages(p, t).collect())) == whole
+    short = joins.contained_passages(p.where("passage_id = 1"), t)
+    assert sorted(map(tuple, short.collect())) == [(1, 1), (1, 2)]
