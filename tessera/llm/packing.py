@@ -7,6 +7,8 @@ count meets its bound keeps all but its emptiest bin; one with a gap gives up it
 emptiest bins until little room is left in what it keeps. What is given up is dealt to
 a sixty-fourth as many groups and packed again, until one group has settled. A
 group holds a bounded number of pieces in each round, as a few bins come from each.
+The last group, which is the only one of a small input, has no other to exchange with, so
+it gives up nothing; `certificate` holds the finished packing against the bound of all its pieces.
 
 Null texts are empty documents of one end id; repeated rows are pieces of their own; an
 empty table gives no rows. Texts whose pieces tie in length are packed in order of row.
@@ -32,7 +34,11 @@ GROUP, FAN_IN = 20_000, 64
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of the bounds from f_e(x) = capacity over capacity - e, 0 under e, x between, for all e up to half the capacity."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length up to the capacity."""
     n, s = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     e = np.arange(1, capacity // 2 + 1)
     large = n[capacity] - n[capacity - e]
@@ -40,6 +46,17 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return int(max(-(-s[capacity] // capacity), (large - (-middle // capacity)).max(initial=0)))
 
 
+def certificate(packed: DataFrame, capacity: int) -> tuple[int, int]:
+    """Sequences used, and the bound that no packing of the same pieces can beat: over all of them, a lone or last group's too.
+
+    packed: length, sequence_id. What reaches the driver is one count for each length.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        count[length] = n
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(count, capacity)
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each item, and what each bin holds. Bins are found by the bits of a mask of the rooms left."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
