@@ -1,19 +1,23 @@
 """Exact top-k by integer inner product, with MaxScore pruning.
 
-A vector is a document whose terms are its dimensions, signed; a query's terms are
-its non-zero components. Within a block of candidates each term has a highest
-possible contribution, from the block's least and greatest component in that
-dimension. Terms in order of that bound split into essential ones, which are
-scored for every candidate, and non-essential ones, whose bounds together cannot
-lift a candidate over the query's threshold; those are probed only for candidates
-that can still compete. Blocks are shards: each gives its own best k of a query,
-and a window merges them.
+A vector is a document whose terms are its dimensions; a query's terms are its components.
+A shard keeps, for every group of TERMS terms, the postings of the candidates that have one of them.
+Queries with like heavy terms are searched together, in one order of terms; each query
+has its own split: the terms after it are non-essential, because the bound on what they can add together
+(the least of the sum of their highest contributions and the product of norms) does not exceed the
+query's threshold. Essential postings are traversed for all candidates; the others are probed, a group of
+terms at a time, only for candidates that are still competitive. Blocks of candidates are
+shards: each gives its own best k of a query, and a window merges them.
 
 Queries and candidates are packed into blocks of rows; a block of queries meets a
 block of candidates by an equi-join on the shard number, so the rows shuffled are
-blocks, not pairs. Vectors that are null, or hold a null or non-finite component,
-take no part. Shorter vectors count as padded with zeros. Components are taken as
-floor(scale * x) and must stay below 2**26, so that any sum of 2,048 products is exact.
+blocks, not pairs.
+
+Vectors that are null, or hold a null or non-finite component, and rows without an id take no part; an
+empty vector, or a shorter one, counts as padded with zeros. Components are floor(scale * x), held within the
+range of a long; scores are exact, and those outside a long's range count as its ends. Rows that
+repeat an id: each is a query of its own with results of its own, and candidates with the query's id
+are left out. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +29,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, INNER_BLOCK, MOST_SHARDS = 512, 32768, 2048, 16384
-BLOCK = "block long, n int, dim int, ids binary, rows binary"
+from .exchange import release
+
+QUERY_BLOCK, CANDIDATE_BLOCK, SHARD_BLOCKS = 1024, 32768, 8
+INNER_BLOCK, TOGETHER, TERMS = 2048, 64, 8
+BLOCK = "block long, n int, dim int, width int, ids binary, rows binary"
+#: The largest double below the end of a long.
+MOST = float((1 << 63) - 1024)
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = 64) -> DataFrame:
     """vec_id and the integer components of all vectors that take part."""
     x = F.col(column)
     usable = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where(usable & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("int")).alias("v"))
+    whole = lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(MOST)), F.lit(-MOST))).cast("long")
+    return vectors.where(usable & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _pack(size: int):
@@ -45,16 +55,20 @@ def _pack(size: int):
         def out() -> pa.RecordBatch:
             nonlocal block
             block += 1
-            dim = max(map(len, rows))
-            packed = np.zeros((len(rows), dim), np.int32)
-            for i, r in enumerate(rows):
-                packed[i, : len(r)] = r
-            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + block - 1]), pa.array([len(rows)], pa.int32()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([packed.tobytes()])], names=["block", "n", "dim", "ids", "rows"])
+            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            whole = np.zeros((len(rows), max(1, int(n.max()))), np.int64)
+            whole[np.arange(whole.shape[1]) < n[:, None]] = np.concatenate(rows)
+            width = 4 if np.abs(whole // 2).max(initial=0) < 1 << 30 else 8
+            values = [(task << 24) + block - 1], [len(rows)], [whole.shape[1]], [width], [np.array(ids, np.int64).tobytes()], [whole.astype(f"<i{width}").tobytes()]
+            kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "n", "dim", "width", "ids", "rows"])
 
         for b in batches:
-            for key, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            column = b.column(1)
+            flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+            for i, key in enumerate(b.column(0).to_pylist()):
                 ids.append(key)
-                rows.append(v.values.to_numpy())
+                rows.append(flat[at[i] : at[i + 1]])
                 if len(rows) == size:
                     yield out()
                     ids, rows = [], []
@@ -64,43 +78,107 @@ def _pack(size: int):
     return pack
 
 
-def max_score(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, exclude_self: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the positions and scores of its best k candidates, ties to the smaller id."""
-    big = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
-    kind = np.float32 if big < 1 << 24 else np.float64 if big < 1 << 53 else np.int64
+class Best:
+    """Positions and scores of each query's best k so far, and the score that a later candidate must exceed."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.where, self.scores = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+        self.floor = np.full(n, -np.inf)
+
+    def add(self, i: int, where: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates come in order of id, so a tie with the threshold loses."""
+        s, w = np.concatenate([self.scores[i], scores]), np.concatenate([self.where[i], where])
+        if len(s) > self.k:
+            keep = np.flatnonzero(s >= np.partition(s, len(s) - self.k)[len(s) - self.k])
+            s, w = s[keep], w[keep]
+        top = np.lexsort((w, ~s))[: self.k]
+        self.where[i], self.scores[i] = w[top], s[top]
+        if len(top) == self.k:
+            self.floor[i] = float(s[top[-1]])
+
+
+def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of components of any size. Sums wrap, which is right for all that a long can hold; the others are its ends."""
+    x, y = q.astype(np.float64), c.astype(np.float64).T
+    about, error = x @ y, (np.abs(x) @ np.abs(y)) * 1e-12
+    out = q @ c.T
+    end = float(1 << 63)
+    out[about >= end + error], out[about <= -end - error] = (1 << 63) - 1, -(1 << 63)
+    for i, j in np.argwhere(np.abs(np.abs(about) - end) < error).tolist():
+        whole = sum(a * b for a, b in zip(q[i].tolist(), c[j].tolist(), strict=True))
+        out[i, j] = max(-(1 << 63), min((1 << 63) - 1, whole))
+    return out
+
+
+def max_score(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[Best, np.ndarray, int]:
+    """The best k candidates of each query (ties to the smaller id), the order of candidates that positions refer to, and how many postings were read."""
     order = np.argsort(c_ids, kind="stable")
-    c, c_ids = c[order], c_ids[order]
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-    floor = np.full(len(q), np.iinfo(np.int64).min)
+    c, c_ids, best, read = c[order], c_ids[order], Best(len(q), k), 0
+    size = lambda m: int(max(m.max(initial=0), -int(m.min(initial=0))))
+    big = size(q) * size(c) * q.shape[1]
+    if big >= 1 << 53:
+        q, c = q.astype(np.int64), c.astype(np.int64)
+        for at in range(0, len(c), INNER_BLOCK):
+            for a in range(0, len(q), TOGETHER):
+                scores = exact_scores(q[a : a + TOGETHER], c[at : at + INNER_BLOCK])
+                read += scores.size * q.shape[1]
+                for i, s in enumerate(scores, a):
+                    other = np.flatnonzero(c_ids[at : at + INNER_BLOCK] != q_ids[i])
+                    best.add(i, other + at, s[other])
+        return best, order, read
+    kind = np.float32 if big < 1 << 24 else np.float64
+    alike = np.argsort(np.abs(q).argmax(1), kind="stable")  # queries with one heaviest term lie together
     for at in range(0, len(c), INNER_BLOCK):
-        part, part_ids = c[at : at + INNER_BLOCK], c_ids[at : at + INNER_BLOCK]
-        # terms in order of the bound's weight over these queries; the tail holds the non-essential ones
-        bound = np.maximum(q.astype(np.int64) * part.max(0), q.astype(np.int64) * part.min(0))
-        terms = np.argsort(-bound.sum(0), kind="stable")
-        bound, qs, cs = bound[:, terms], q[:, terms].astype(kind), part[:, terms].astype(kind)
-        rest = bound.sum(1)[:, None] - np.cumsum(bound, 1)  # what the terms after each can add at most
-        can = rest >= floor[:, None]  # essential: without them the rest could still reach the threshold
-        split = min(q.shape[1], int(can.sum(1).max(initial=0)) + 1)
-        scores = qs[:, :split] @ cs[:, :split].T
-        alive = scores + (rest[:, split - 1] if split < q.shape[1] else np.zeros(len(q), np.int64))[:, None].astype(kind) > floor[:, None]
-        for i in np.flatnonzero(alive.any(1)):
-            hit = np.flatnonzero(alive[i])
-            s = scores[i, hit].astype(np.int64)
-            if split < q.shape[1]:
-                s += (cs[hit, split:] @ qs[i, split:]).astype(np.int64)
-            if exclude_self:
-                other = part_ids[hit] != q_ids[i]
-                hit, s = hit[other], s[other]
-            # earlier blocks have smaller ids, so a tie with the threshold loses
-            s, where = np.concatenate([best[i][1], s]), np.concatenate([best[i][0], hit + at])
-            if len(s) > k:
-                keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                s, where = s[keep], where[keep]
-            top = np.lexsort((where, -s))[:k]
-            best[i] = where[top], s[top]
-            if len(top) == k:
-                floor[i] = s[top[-1]]
-    return [(order[w], s) for w, s in best]
+        part, part_ids = c[at : at + INNER_BLOCK].astype(kind), c_ids[at : at + INNER_BLOCK]
+        high, low = part.max(0).astype(np.float64), part.min(0).astype(np.float64)
+        for a in range(0, len(q), TOGETHER):
+            read += _together(q, q_ids, alike[a : a + TOGETHER], part, part_ids, high, low, at, best)
+    return best, order, read
+
+
+def _together(q: np.ndarray, q_ids: np.ndarray, own: np.ndarray, part: np.ndarray, part_ids: np.ndarray, high: np.ndarray, low: np.ndarray, at: int, best: Best) -> int:
+    """Searches a block of candidates for some queries that share an order of terms. Gives the number of postings read."""
+    x = q[own].astype(np.float64)
+    reach = np.maximum(x * high, x * low)  # the most that each term can add
+    terms = np.argsort(-(np.abs(x).sum(0) * np.maximum(np.abs(high), np.abs(low))), kind="stable")
+    groups = [terms[i : i + TERMS] for i in range(0, len(terms), TERMS)]
+    # what the groups from the jth on can add: by single terms, and by norms
+    later = lambda m: np.concatenate([np.cumsum(m[:, ::-1], 1)[:, ::-1], np.zeros((len(m), 1))], 1)
+    by_term = later(np.column_stack([reach[:, g].sum(1) for g in groups]))
+    q_norm = np.sqrt(later(np.column_stack([(x[:, g] ** 2).sum(1) for g in groups])))
+    c_norm = np.sqrt(later(np.column_stack([(part[:, g].astype(np.float64) ** 2).sum(1) for g in groups])))
+    bound = np.minimum(by_term, q_norm * c_norm.max(0))
+    floor = best.floor[own]
+    essential = (bound > floor[:, None]).sum(1)  # bounds fall from group to group once they are below the threshold
+    essential = np.where(np.isinf(floor), len(groups), np.minimum(essential, len(groups)))
+    scores, read = np.zeros((len(own), len(part)), part.dtype), 0
+    query, postings = x.astype(part.dtype), []
+    for g in groups:
+        held = np.flatnonzero(part[:, g].any(1))
+        postings.append((held if 2 * len(held) < len(part) else slice(None), np.ascontiguousarray(part[:, g].T if 2 * len(held) >= len(part) else part[held][:, g].T)))
+    for j, (held, values) in enumerate(postings):
+        live = np.flatnonzero(essential > j)
+        if not len(live):
+            break
+        more = query[np.ix_(live, groups[j])] @ values
+        if isinstance(held, slice):
+            scores[live] += more
+        else:
+            scores[np.ix_(live, held)] += more
+        read += len(live) * values.size
+    slack = 1e-6 * (1 + np.abs(bound).max(initial=0))
+    for n, i in enumerate(own.tolist()):
+        alive = np.flatnonzero(part_ids != q_ids[i])
+        for j in range(int(essential[n]), len(groups) + 1):
+            rest = np.minimum(by_term[n, j], q_norm[n, j] * c_norm[alive, j])
+            alive = alive[scores[n, alive] + rest + slack > floor[n]]
+            if j == len(groups) or not len(alive):
+                break
+            scores[n, alive] += part[np.ix_(alive, groups[j])] @ query[n, groups[j]]
+            read += len(alive) * len(groups[j])
+        if len(alive):
+            best.add(i, alive + at, scores[n, alive].astype(np.int64))
+    return read
 
 
 def _search(k: int):
@@ -108,13 +186,16 @@ def _search(k: int):
         for b in batches:
             for r in range(b.num_rows):
                 x = {name: b.column(i)[r].as_py() for i, name in enumerate(b.schema.names)}
-                q = np.frombuffer(x["q_rows"], np.int32).reshape(x["q_n"], x["q_dim"])
-                c = np.frombuffer(x["rows"], np.int32).reshape(x["n"], x["dim"])
+                q = np.frombuffer(x["q_rows"], f"<i{x['q_width']}").reshape(x["q_n"], x["q_dim"])
+                c = np.frombuffer(x["rows"], f"<i{x['width']}").reshape(x["n"], x["dim"])
                 dim = max(q.shape[1], c.shape[1])
-                q, c = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in (q, c))
+                q, c = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) if m.shape[1] < dim else m for m in (q, c))
                 q_ids, c_ids = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                found = max_score(q, q_ids, c, c_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(w) for w, _ in found])), pa.array(c_ids[np.concatenate([w for w, _ in found])]), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
+                best, order, _ = max_score(q, q_ids, c, c_ids, k)
+                n, which = [len(w) for w in best.where], np.concatenate(best.where)
+                columns = np.repeat(q_ids, n), np.repeat(x["q_block"] * QUERY_BLOCK + np.arange(len(q)), n), c_ids[order[which]], np.concatenate(best.scores)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["query_id", "query_row", "vec_id", "score"])
+        release()
 
     return search
 
@@ -122,9 +203,9 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each query. vectors: vec_id and v, as integer_vectors gives them."""
     candidates = vectors.mapInArrow(_pack(CANDIDATE_BLOCK), BLOCK)
-    queries = vectors.where(is_query).mapInArrow(_pack(QUERY_BLOCK), BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dim", "ids", "rows")))
-    shards = min(MOST_SHARDS, max(16, vectors.count() // CANDIDATE_BLOCK))  # about one block of candidates each
+    queries = vectors.where(is_query).mapInArrow(_pack(QUERY_BLOCK), BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dim", "width", "ids", "rows")))
+    shards = max(16, vectors.count() // (CANDIDATE_BLOCK * SHARD_BLOCKS))  # a block of queries is copied once a shard
     pairs = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(candidates.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int")), "shard")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs.mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

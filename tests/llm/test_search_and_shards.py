@@ -43,10 +43,44 @@ def test_bounds_never_drop_a_winner():
     rng = np.random.default_rng(9)
     q, c = rng.integers(-60, 60, (7, 24)).astype(np.int32), rng.integers(-60, 60, (5000, 24)).astype(np.int32)
     ids = rng.permutation(5000)
-    for (where, score), x in zip(topk.max_score(q, np.full(7, -1), c, ids, 20), q, strict=True):
+    best, order, _ = topk.max_score(q, np.full(7, -1), c, ids, 20)
+    for where, score, x in zip(best.where, best.scores, q, strict=True):
         s = c.astype(int) @ x.astype(int)
-        order = np.lexsort((ids, -s))[:20]
-        assert where.tolist() == order.tolist() and score.tolist() == s[order].tolist()
+        want = np.lexsort((ids, -s))[:20]
+        assert order[where].tolist() == want.tolist() and score.tolist() == s[want].tolist()
+
+
+def clusters(rng, n, dim, centres):
+    v = rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] * rng.exponential(size=dim) + 0.3 * rng.normal(size=(n, dim))
+    return np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int32)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "sparse"])
+def test_fewer_postings_are_read_than_a_full_product_has(kind):
+    rng = np.random.default_rng(4)
+    c = clusters(rng, 16_000, 64, 50) if kind == "clusters" else np.where(rng.random((16_000, 200)) < 0.03, rng.integers(1, 40, (16_000, 200)), 0).astype(np.int32)
+    q = c[::80]
+    best, order, read = topk.max_score(q, np.arange(0, 16_000, 80), c, np.arange(16_000), 20)
+    scores = q.astype(int) @ c.T.astype(int)
+    for i in range(len(q)):
+        scores[i, i * 80] = -1 << 40
+        want = np.lexsort((np.arange(16_000), -scores[i]))[:20]
+        assert order[best.where[i]].tolist() == want.tolist()
+    assert read < 0.6 * scores.size * c.shape[1]
+
+
+def test_components_of_any_size_and_repeated_ids(spark):
+    rows = [(20, [1e12, 1.0]), (20, [1.0, 2.0]), (1, [1e12, -3.0]), (2, [-1e200, 5.0]), (3, [3e7, 3e7]), (4, [0.5, 0.25]), (5, [1e200, 1e200]), (40, [2e9, -2e9])] + [(100 + 20 * i + 1, [i / 8, 1.0]) for i in range(30)]
+    df = spark.createDataFrame([(i, x, 7, "z") for i, x in rows], "vec_id long, embedding array<double>, query_row int, rank string").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 20 == 0, 20).collect())
+    ends = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    ints = [[int(np.floor(max(-topk.MOST, min(topk.MOST, 64 * x)))) for x in v] for _, v in rows]
+    want = []
+    for (i, _), v in zip(rows, ints, strict=True):
+        if i % 20 == 0:
+            scored = sorted((-ends(v[0] * w[0] + v[1] * w[1]), j) for (j, _), w in zip(rows, ints, strict=True) if j != i)[:20]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert got == sorted(want) and sum(r[0] == 20 for r in got) == 40
 
 
 # shards
