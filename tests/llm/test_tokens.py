@@ -114,19 +114,63 @@ def test_pieces_and_sequences(spark, awkward):
         want += [(r[0], p, p * 64, len(own[p * 64 : p * 64 + 64]), zlib.crc32(own[p * 64 : p * 64 + 64].tobytes())) for p in range(-(-len(own) // 64))]
     assert sorted(map(tuple, (r[:5] for r in rows)), key=repr) == sorted(want, key=repr)
     n = np.array([r.length for r in rows])
+    assert {(r.sequences, r.lower_bound) for r in rows} == {(check_packing(rows, 64), packing.lower_bound(n, 64))}
     assert packing.lower_bound(n, 64) <= check_packing(rows, 64) <= packing.lower_bound(n, 64) + 1
 
 
-def test_groups_exchange_until_near_the_bound(spark, tmp_path):
+def stored(spark, tmp_path, n):
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "row long, length long").write.parquet(f"{tmp_path}/t")
+    return spark.read.parquet(f"{tmp_path}/t")
+
+
+def test_groups_exchange_until_near_the_bound(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(3)
     n = np.concatenate([rng.integers(1, 101, 3000), np.full(500, 67), np.full(400, 34)])
-    spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "row long, length long").write.parquet(f"{tmp_path}/t")
-    t = spark.read.parquet(f"{tmp_path}/t")
-    rows = packing.pack(t, 100, group=100).join(t, "row").collect()
+    t = stored(spark, tmp_path, n)
+    monkeypatch.setattr(packing, "FAN_IN", 8)
+    places, sequences = packing.pack(t, 100, group=400)
+    rows = places.join(t, "row").collect()
     assert len(rows) == len(n)
     bins, bound = check_packing(rows, 100), packing.lower_bound(n, 100)
     _, _, alone = packing.best_fit_decreasing(n, 100)
-    assert bound <= bins <= len(alone) + 3
+    assert bound <= bins == sequences <= len(alone) * 1.01
+
+
+@pytest.mark.parametrize("length", [700, 431, 1040])
+def test_lengths_that_never_fill_a_sequence_are_certified(spark, tmp_path, monkeypatch, length):
+    """Pieces of one length, or about it, over many groups: the bound is met, little is given up, and no group outgrows its size."""
+    rng = np.random.default_rng(length)
+    n = length + rng.integers(-8, 9, 6000)
+    sizes, whole = [], packing.written
+    monkeypatch.setattr(packing, "FAN_IN", 8)
+    monkeypatch.setattr(packing, "written", lambda df, name: sizes.append(whole(df, name)) or sizes[-1])
+    t = stored(spark, tmp_path, n)
+    places, sequences = packing.pack(t, 2048, group=400)
+    bins = check_packing(places.join(t, "row").collect(), 2048)
+    assert bins == sequences <= len(packing.best_fit_decreasing(n, 2048)[2]) * 1.01
+    bound = packing.lower_bound(n, 2048)
+    assert bound <= bins <= bound * 1.01 + 1
+    for out in sizes:
+        groups = out.groupBy((out.sequence_id / (1 << 24)).cast("long")).count().collect()
+        assert max(r["count"] for r in groups) <= 400 * 1.4
+    assert sizes[1].count() < len(n) / 8
+
+
+def test_bounds_hold_for_every_packing():
+    """No bound exceeds what an exhaustive search needs."""
+    rng = np.random.default_rng(0)
+
+    def fewest(left, rooms, best):
+        if len(rooms) >= best or not left:
+            return min(best, len(rooms)) if not left else best
+        for i, r in enumerate(rooms):
+            if r >= left[0] and r not in rooms[:i]:
+                best = fewest(left[1:], [*rooms[:i], r - left[0], *rooms[i + 1 :]], best)
+        return fewest(left[1:], [*rooms, 24 - left[0]], best)
+
+    for _ in range(60):
+        n = rng.integers(1, 25, 8)
+        assert packing.lower_bound(n, 24) <= fewest(sorted(n.tolist(), reverse=True), [], 9)
 
 
 def test_best_fit_takes_the_tightest_bin():
