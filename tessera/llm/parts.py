@@ -1,15 +1,15 @@
 """Looking up what documents share, without pairs and without a hot group in one task.
 
-Documents are dealt into parts by a hash of their id (about PART_BYTES of text each).
-A part reduces its documents to distinct packed keys before anything is shuffled, so
-a key held by a third of all rows arrives once from each part. Keys go to buckets;
-a bucket answers each part that asked. One plan does this twice:
+Documents are dealt into parts by a hash of id and text (about PART_BYTES of text each; rows
+without an id and rows that repeat one are spread like others). Within a part they are in
+order of id, then text, so a place in a part's text means the same in every pass. A part
+reduces what it asks to distinct rows before anything is shuffled, so a passage held by
+a third of all documents is sent once by each part. What parts send goes to buckets by packets (see exchange):
 
-  part -> filter keys -> bucket -> which are shared -> part -> entries -> bucket
-  -> which also occur in a smaller document -> part -> result rows
+  part -> keys of anchors -> bucket -> which are shared -> part -> entries -> bucket -> answers -> part
 
-The three passes over the texts read one exchange, which Spark plans once. Nothing
-is collected, so an executor that is lost costs its own tasks only.
+The passes over the texts read one exchange, which Spark plans once. Nothing is
+collected, so an executor that is lost costs its own tasks only.
 """
 
 from __future__ import annotations
@@ -21,134 +21,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_BYTES, LEAST_PART = 8 << 20, 256 << 10
-BLOBS, ANSWERS = "bucket int, part int, blob binary", "part int, blob binary"
-KEY_BYTES, KEY_BITS = 5, 40
+from . import exchange
+from .exchange import integers, planes
 
+PART_BYTES, LEAST_PART = 4 << 20, 256 << 10
+LEAST_BUCKETS, PARTS_A_BUCKET = 48, 4
+KEY_BYTES = 6
+#: Kinds of packets.
+KEYS, ENTRIES, NOTES = 0, 1, 2
 
-def deal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
-    """The documents with their part, and the number of parts. One aggregate over the texts gives the bytes."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+
+def deal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int, int]:
+    """The documents with their part, the number of parts, and the bytes of text. One aggregate over the texts gives the bytes."""
+    text = F.col(text_col).cast("string")
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, -(-size // PART_BYTES), min(wanted, size // LEAST_PART))  # small inputs still use the cluster's tasks
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("part")), n
-
-
-def blobs(bucket: np.ndarray, rows: np.ndarray, part: int, head: bytes = b"") -> Iterator[tuple[int, int, bytes]]:
-    """Rows (a byte matrix, in order of bucket) as a blob for each bucket that has some."""
-    at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(at, np.append(at[1:], len(bucket))[: len(at)], strict=True):
-        yield int(bucket[a]), part, head + rows[a:b].tobytes()
-
-
-def table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-
-def blob_table(rows: list[tuple]) -> pa.Table:
-    return table(rows, ["bucket", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()])
-
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *kept, F.xxhash64(text).alias("text_hash"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int")), n, size
 
-def answer_table(rows: list[tuple]) -> pa.Table:
-    return table(rows, ["part", "blob"], [pa.int32(), pa.binary()])
 
+def buckets(n_parts: int) -> int:
+    return max(LEAST_BUCKETS, -(-n_parts // PARTS_A_BUCKET))
 
-def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n]
 
+def ordered(t: pa.Table) -> pa.Table:
+    """A part in the order that every pass sees: by id (none last), then text."""
+    return t.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("text", "ascending")]) if t.num_rows else t
 
-def from_bytes(b: bytes | np.ndarray, n: int) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, n) if isinstance(b, bytes) else b
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :n] = raw
-    return out.reshape(-1).view("<u8").astype(np.uint64)
 
+def asked(hashes: np.ndarray, docs: np.ndarray, part: int, n_buckets: int) -> Iterator[tuple]:
+    """The part's distinct keys (47 bits of the hashes); the lowest bit tells that two of its documents hold one."""
+    key = hashes >> np.uint64(17)
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], docs[order]
+    first = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, np.int64)
+    two = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(first) else np.zeros(0, bool)
+    k = k[first]
+    to = (((k >> np.uint64(15)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+    return exchange.packed(KEYS, to, part, planes((k << np.uint64(1)) | two.astype(np.uint64), KEY_BYTES), exchange.spans(n_buckets)[0], part // exchange.FAN)
 
-def filter_keys(hashes: np.ndarray, docs: np.ndarray, part: int, n_buckets: int) -> pa.Table:
-    """The part's distinct filter hashes; the lowest bit tells that two of its documents hold one."""
-    order = np.argsort(hashes, kind="stable")
-    h, d = hashes[order], docs[order]
-    first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
-    two = np.zeros(len(first), bool)
-    if len(first):
-        two = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    h = h[first]
-    bucket = ((h >> np.uint64(KEY_BITS)) % np.uint64(n_buckets)).astype(np.int64)
-    key = (h & np.uint64((1 << KEY_BITS) - 2)) | two.astype(np.uint64)
-    order = np.argsort(bucket, kind="stable")
-    return blob_table(list(blobs(bucket[order], low_bytes(key[order], KEY_BYTES), part)))
 
-
-def shared_keys(t: pa.Table) -> pa.Table:
+def shared_keys(t: pa.Table, n_parts: int) -> pa.Table:
     """For each part those of its keys that another document holds."""
-    held = [np.frombuffer(b.as_buffer(), np.uint8) for b in t["blob"]]
-    if not held:
-        return answer_table([])
-    part = np.repeat(t["part"].to_numpy(), [len(b) // KEY_BYTES for b in held])
-    key = from_bytes(np.concatenate(held).reshape(-1, KEY_BYTES), KEY_BYTES)
+    to, part, rows = exchange.of_kind(t, KEYS)
+    if not len(to):
+        return exchange.table([])
+    bucket, key = int(to[0]), integers(rows, 0, KEY_BYTES)
     order = np.argsort(key >> np.uint64(1), kind="stable")
     key, part = key[order], part[order]
+    del order, rows
     at = np.flatnonzero(np.diff(key >> np.uint64(1), prepend=np.uint64(1 << 63)))
     n = np.diff(np.append(at, len(key)))
-    shared = np.repeat((n > 1) | ((key[at] & np.uint64(1)) == 1), n)
-    key, part = key[shared], part[shared]
-    order = np.argsort(part, kind="stable")
-    # the bucket number goes along in the key's place in the hash: keys of other buckets must not match
-    bucket = int(t["bucket"][0].as_py())
-    return answer_table([(p, np.array([bucket], "<u8").tobytes() + b) for p, _, b in blobs(part[order], low_bytes(key[order], KEY_BYTES), 0)])
+    shared = np.flatnonzero(np.repeat((n > 1) | (np.maximum.reduceat(key & np.uint64(1), at) == 1), n))
+    return exchange.table(exchange.packed(KEYS, part[shared], bucket, planes(key[shared] >> np.uint64(1), KEY_BYTES), exchange.spans(n_parts)[0], bucket // exchange.FAN))
 
 
 class Shared:
     """Membership of hashes in the answers of shared_keys."""
 
-    def __init__(self, answers: pa.Table, n_buckets: int) -> None:
-        self.n = np.uint64(n_buckets)
-        parts = [b.as_py() for b in answers["blob"]]
-        keys = [(from_bytes(b[8:], KEY_BYTES) >> np.uint64(1)) | (np.uint64(int.from_bytes(b[:8], "little")) << np.uint64(KEY_BITS - 1)) for b in parts]
-        self.keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    def __init__(self, answers: pa.Table) -> None:
+        _, _, rows = exchange.of_kind(answers, KEYS)
+        self.keys = np.sort(integers(rows, 0, KEY_BYTES)) if rows.size else np.zeros(0, np.uint64)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(hashes), bool)
-        own = ((hashes & np.uint64((1 << KEY_BITS) - 1)) >> np.uint64(1)) | (((hashes >> np.uint64(KEY_BITS)) % self.n) << np.uint64(KEY_BITS - 1))
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        return self.keys[at] == own
-
-
-def packed_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """A head with the least id and the width of the differences, and these."""
-    low = int(ids.min()) if len(ids) else 0
-    width = 4 if len(ids) and int(ids.max()) - low < 1 << 32 else 8
-    return np.array([low], "<i8").tobytes() + bytes([width]), low_bytes((ids - low).astype(np.uint64), width)
-
+        own = hashes >> np.uint64(17)
+        return self.keys[np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)] == own
 
-HEAD = 9
 
+def answered(dealt: DataFrame, n_parts: int, n_ranges: int, keys: Callable, entries: Callable, settle: Callable) -> DataFrame:
+    """Packets for the parts, by the plan described above.
 
-def run(dealt: DataFrame, n_parts: int, keys: Callable, entries: Callable, settle: Callable, result: Callable, schema: str) -> DataFrame:
-    """The plan described above. keys(table), entries(table, Shared) and result(table, answers) see a part in order of doc_id."""
-    n_buckets = max(16, n_parts)
-
-    def ordered(t: pa.Table) -> pa.Table:
-        return t.sort_by([("doc_id", "ascending")]) if t.num_rows else t
+    keys(table) gives hashes and documents' ids; entries(table, shared, part) gives packets for buckets 0 to n_ranges - 1;
+    settle(table) gives packets for the parts. Tables of documents are ordered.
+    """
+    n_buckets = buckets(n_parts)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         hashes, docs = keys(ordered(t))
-        return filter_keys(hashes, docs, key[0].as_py(), n_buckets)
+        out = exchange.table(asked(hashes, docs, key[0].as_py(), n_buckets))
+        exchange.release()
+        return out
+
+    def tell_shared(t: pa.Table) -> pa.Table:
+        out = shared_keys(t, n_parts)
+        exchange.release()
+        return out
 
     def put(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows or not answers.num_rows:
-            return blob_table([])
-        return blob_table(list(entries(ordered(t), Shared(answers, n_buckets), key[0].as_py(), n_buckets)))
+            return exchange.table([])
+        out = exchange.table(entries(ordered(t), Shared(answers), key[0].as_py()))
+        exchange.release()
+        return out
 
     def tell(t: pa.Table) -> pa.Table:
-        return answer_table(list(settle(t)))
-
-    def finish(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        return result(ordered(t), [b.as_py() for b in answers["blob"]])
-
-    shared = dealt.groupBy("part").applyInArrow(ask, BLOBS).groupBy("bucket").applyInArrow(shared_keys, ANSWERS)
-    found = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(put, BLOBS).groupBy("bucket").applyInArrow(tell, ANSWERS)
-    return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(finish, schema)
+        out = exchange.table(settle(t))
+        exchange.release()
+        return out
+
+    asked_for = exchange.delivered(dealt.groupBy("part").applyInArrow(ask, exchange.PACKET), n_buckets)
+    shared = exchange.delivered(asked_for.groupBy("to").applyInArrow(tell_shared, exchange.PACKET), n_parts)
+    offered = exchange.delivered(dealt.groupBy("part").cogroup(shared.groupBy("to")).applyInArrow(put, exchange.PACKET), n_ranges)
+    return exchange.delivered(offered.groupBy("to").applyInArrow(tell, exchange.PACKET), n_parts)

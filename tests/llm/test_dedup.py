@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import parts, substring_dedup, suffix_dedup
+from tessera.llm import exchange, parts, substring_dedup, suffix_dedup
 from tessera.llm.arrowtext import Texts
 from tests.llm.conftest import SCHEMA, awkward_rows
 
@@ -37,6 +38,7 @@ def brute(rows, split, window):
 def test_words_match_brute_force(spark, awkward, monkeypatch, small_parts):
     if small_parts:
         monkeypatch.setattr(parts, "PART_BYTES", 4000)
+        monkeypatch.setattr(exchange, "FAN", 3)  # packets are split on the way, more than once
     got = sorted(map(tuple, substring_dedup.substring_dedup(awkward, carry=("lang",)).select("doc_id", "n_words", "n_removed", "kept_text", "carry_0").collect()), key=repr)
     rows = awkward_rows()
     want = [(r[0], len(u), int(g.sum()), " ".join(np.array(u, object)[~g]), r[2]) for r, (u, g) in zip(rows, brute(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), 50), strict=True)]
@@ -47,6 +49,8 @@ def test_words_match_brute_force(spark, awkward, monkeypatch, small_parts):
 def test_bytes_match_brute_force(spark, awkward, monkeypatch, small_parts):
     if small_parts:
         monkeypatch.setattr(parts, "PART_BYTES", 4000)
+        monkeypatch.setattr(parts, "LEAST_BUCKETS", 5)
+        monkeypatch.setattr(exchange, "FAN", 3)
     got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(awkward).collect()], key=repr)
     rows, want = awkward_rows(), []
     for r, (u, g) in zip(rows, brute(rows, lambda t: list(t.encode()), 50), strict=True):
@@ -102,3 +106,49 @@ def test_spans_hash_content_not_place():
     t = Texts(np.frombuffer(b"one two one", np.uint8), np.array([0, 11]))
     h, first = t.word_hashes()
     assert h[0] == h[2] != h[1] and first.tolist() == [0, 3]
+
+
+def test_anchors_are_hashed_at_cover_positions_alone():
+    t = Texts.of(pa.array([" ".join(f"w{i}" for i in range(n)) for n in (49, 50, 81, 200)] + ["", None]))
+    period, mask = substring_dedup.cover_for(50)
+    start, doc, _ = substring_dedup.Words(t, 0).anchors(50)
+    first = t.words()[2]
+    want = [(d, p) for d, n in enumerate((49, 50, 81, 200)) if n >= 50 for p in range(n - 19) if mask[p % period]]
+    assert list(zip(doc.tolist(), (start - first[doc]).tolist(), strict=True)) == want
+
+
+def test_equal_hashes_of_different_words_are_an_error(spark):
+    """With hashes that tell nothing apart, the comparison of words stops the job: nothing is removed on a hash alone."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, " ".join([shared, *(f"d{i}x{j}" for j in range(60))]), *[None] * 10) for i in range(4)]
+    with pytest.raises(Exception, match="two different passages"):
+        substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA), bits=1).collect()
+
+
+def test_one_gram_with_many_surroundings_is_settled_in_portions(monkeypatch):
+    rng = np.random.default_rng(3)
+    g = suffix_dedup.Grams(20)
+    data = np.frombuffer(b"".join(bytes(rng.integers(97, 99, 12, np.uint8)) + b"QQQQQQQQQQQQ" + bytes(rng.integers(97, 99, 12, np.uint8)) for _ in range(300)), np.uint8)
+    gram = np.arange(300) * 36 + 12
+    rows = g.rows(data, gram, gram - g.reach, gram)
+    ids = rng.permutation(300)
+    want = suffix_dedup.settle_range(g, rows, ids)
+    monkeypatch.setattr(suffix_dedup, "PORTION", 40)
+    assert (suffix_dedup.settle_range(g, rows, ids) == want).all() and want.any()
+    for i in range(300):
+        for j in range(g.reach + 1):
+            w = data[gram[i] - g.reach + j : gram[i] - g.reach + j + 20].tobytes()
+            smaller = any(ids[k] < ids[i] and w == data[gram[k] - g.reach + j : gram[k] - g.reach + j + 20].tobytes() for k in range(300))
+            assert smaller == bool(want[i] >> j & 1)
+
+
+def test_packets_stay_in_proportion_to_senders():
+    for n in (300, 1200):
+        sent = sum(len(list(exchange.packed(0, np.arange(n), 0, np.zeros((4, n), np.uint8), exchange.spans(n)[0], 0))) for _ in range(n))
+        assert sent <= n * exchange.FAN
+
+
+def test_splitters_come_from_a_sample(spark):
+    df = spark.createDataFrame([(i, f"document {i} " * 30) for i in range(50)], "doc_id long, text string")
+    cuts = suffix_dedup.splitters(df, "text", suffix_dedup.Grams(50), 8, 20_000)
+    assert len(cuts) == 7 and (np.diff(cuts.astype(float)) > 0).all()
