@@ -7,11 +7,13 @@ component with probability the weighted Jaccard similarity. Levels of a count ar
 grouped in dyadic blocks, and a block's process is split in halves only when its next
 point can still matter, so a count of thousands costs few draws.
 
-Equal texts are one node from the start. Bands of equal components link each text to
-the least of its bucket; components of those links are clusters that hold every
-candidate pair. Within a cluster texts meet in blocks of at most BLOCK, each block pair
-counts multiset overlaps exactly and reports a spanning forest of the links found, not
-the pairs. Components of the links are the classes.
+Equal texts are one node from the start. Bands of equal components make buckets. First each text is
+compared with the least of each of its buckets, exactly, and only links found so are
+closed to classes. Then only buckets are left whose other members fall into several
+classes: a link may still lie between these. Their members meet in blocks of at most BLOCK,
+each pair of blocks counts multiset overlaps exactly and reports a spanning forest of the
+links found, not the pairs. So every pair of a bucket is in one class or was
+compared, and strangers that share a band are never joined.
 
 Two texts are linked if their similarity is `threshold` or more. Null texts are empty;
 texts without words are alike only if equal. Repeated rows are in one class. A class's id is the
@@ -29,10 +31,14 @@ from pyspark.sql import functions as F
 
 from .arrowtext import WORD_POWERS, Texts, mix, prefix, spans
 from .components import components
+from .exchange import release
 from .store import discard, written
+from .units import portions
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
-BLOCK, SMALL_GROUP = 512, 2048
+#: Texts beside one least text, texts of one bucket in a block, and texts in a group of such.
+STAR, BLOCK, SMALL_GROUP = 64, 512, 2048
+PORTION = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,11 +136,12 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _fingers(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text", PORTION)):
             sig = signatures(b.column("text"), bands * rows)
             hashes, empty = band_hashes(sig, bands, rows), np.isinf(sig[:, 0])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]), pa.int32()), pa.array(hashes[~empty].reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), lists], names=["doc_id", "text_hash", "bands"])
+        release()
 
     return run
 
@@ -181,31 +188,79 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _verify(threshold: float):
+def multisets(texts: pa.Array) -> list[np.ndarray]:
+    """The elements of each text: shingles, each with which time it occurs, as sorted hashes."""
+    out: list[np.ndarray] = []
+    for _, s in Texts.of(texts).slices():
+        doc, h, n = counted(*shingles(s))
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        element, of = mix(np.repeat(h, n) + nth.astype(np.uint64) * _STEP), np.repeat(doc, n)
+        order = np.lexsort((element, of))
+        element, of = element[order], of[order]
+        cut = np.searchsorted(of, np.arange(len(s) + 1))
+        out += [element[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two multisets have a Jaccard similarity of threshold or more."""
+    if not len(a) or min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-6:
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common >= threshold * (len(a) + len(b) - common) - 1e-6
+
+
+def _grouped(t: pa.Table, *keys: str) -> tuple[pa.Table, list[np.ndarray], Iterator[tuple[int, int]]]:
+    """A table in order of some keys and row, its texts' multisets, and where each value of the keys begins and ends."""
+    t = t.sort_by([(k, "ascending") for k in (*keys, "row")])
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([np.diff(t[k].to_numpy()) != 0 for k in keys], axis=0)
+    at = np.flatnonzero(new).tolist()
+    return t, multisets(t["text"].combine_chunks()), zip(at, [*at[1:], t.num_rows], strict=True)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    release()
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _stars(threshold: float):
+    """Links between the least text of a group (its row is `lead`) and the others."""
+
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("cluster", "ascending"), ("row", "ascending")])
-        rows, cluster = t["row"].to_numpy(), t["cluster"].to_numpy()
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:] != rows[:-1]) | (cluster[1:] != cluster[:-1])  # repeated rows of one text
-        keep = np.flatnonzero(fresh)
-        rows, cluster = rows[keep], cluster[keep]
-        text = t["text"].combine_chunks().take(pa.array(keep))
-        sets: list[np.ndarray] = []
-        for _, s in Texts.of(text).slices():
-            doc, h, n = counted(*shingles(s))
-            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            element, of = mix(np.repeat(h, n) + nth.astype(np.uint64) * _STEP), np.repeat(doc, n)
-            cut = np.searchsorted(of, np.arange(len(s) + 1))
-            sets += [element[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        found = []
-        at = np.append(np.flatnonzero(np.diff(cluster, prepend=-1)), len(cluster))
-        for a, b in zip(at[:-1], at[1:], strict=True):
+        t, sets, groups = _grouped(t, "lead", "parts", "part")
+        rows, leads, found = t["row"].to_numpy(), t["lead"].to_numpy(), []
+        for a, b in groups:
+            own = sets[a + int(np.argmax(rows[a:b] == leads[a]))]
+            found += [(int(rows[i]), int(leads[i])) for i in range(a, b) if rows[i] != leads[i] and similar(sets[i], own, threshold)]
+        return _edges(found)
+
+    return run
+
+
+def _blocks(threshold: float):
+    """A spanning forest of the links between the texts of each group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t, sets, groups = _grouped(t, "band", "i", "j")
+        rows, found = t["row"].to_numpy(), []
+        for a, b in groups:
             found += [(int(rows[a + i]), int(rows[a + j])) for i, j in forest(links(sets[a:b], threshold))]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        return _edges(found)
 
     return run
 
 
+def _met(want: DataFrame, texts: DataFrame, keys: tuple[str, ...], n_rows: int, verify) -> DataFrame:
+    """Edges from the groups of texts that `want` (row and keys) names; small groups share a call."""
+    own = F.pmod(F.xxhash64(*keys), F.lit(max(1, n_rows // SMALL_GROUP))).cast("int")
+    return want.join(texts, "row").withColumn("shared", own).groupBy("shared").applyInArrow(verify, "a long, b long")
+
+
+def _labelled(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    return nodes.join(near.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, text_hash and keeper of each row; one row of each class is its keeper. A stored table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -216,29 +271,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = written(base.groupBy("text_hash").agg(first.alias("first"), F.first("bands").alias("bands")).select("text_hash", "first.doc_id", "first.row", "bands"), "nodes")
     banded = nodes.select("row", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("row").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    stars = banded.join(leads, "band").where("row != lead").select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()
-    near = components(stars)
-    member = near.select(F.col("a").alias("row"), F.col("b").alias("cluster"))
-    member = member.unionByName(member.select(F.col("cluster").alias("row"), "cluster").distinct())
-    sizes = member.groupBy("cluster").agg(F.count("*").alias("n"))
-    member = written(member.join(sizes, "cluster").join(nodes.select("row", "doc_id", "text_hash"), "row"), "members")
-    discard(near)
-    n_groups = max(1, member.count() // SMALL_GROUP)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    dealt = member.withColumn("blocks", blocks).withColumn("block", own)
-    # a small cluster shares a group with others; a block of a large one meets each block, itself included
-    small = dealt.where("blocks = 1").select("row", "cluster", "doc_id", "text_hash", F.array(F.struct(F.lit(-1).cast("long").alias("c"), F.pmod(F.xxhash64("cluster"), F.lit(n_groups)).cast("int").alias("i"), F.lit(-1).alias("j"))).alias("meets"))
-    large = dealt.where("blocks > 1").select("row", "cluster", "doc_id", "text_hash", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("cluster").alias("c"), F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))).alias("meets"))
-    texts = source.alias("s").join(small.unionByName(large).alias("m"), (F.col("s.text_hash") == F.col("m.text_hash")) & F.col("s.doc_id").eqNullSafe(F.col("m.doc_id"))).select("m.row", "m.cluster", "s.text", F.explode("m.meets").alias("g"))
-    found = texts.select("row", "cluster", "text", "g.c", "g.i", "g.j").groupBy("c", "i", "j").applyInArrow(_verify(threshold), "a long, b long")
-    same = components(found)
-    labelled = nodes.select("text_hash", "doc_id", "row").join(same.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    leads = banded.groupBy("band").agg(F.min("row").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    held = written(banded.join(leads, "band").where("row != lead"), "buckets")
+    # a least text meets the others STAR at a time, so one with very many is dealt over tasks
+    stars = written(held.groupBy("row", "lead").agg(F.ceil(F.max("n") / STAR).cast("int").alias("parts")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")), "stars")
+    both = stars.unionByName(stars.select("lead", "parts", "part").distinct().withColumn("row", F.col("lead")))
+    members = nodes.join(both.select("row").distinct(), "row").select("row", "text_hash", "doc_id")
+    texts = written(source.alias("s").join(members.alias("m"), (F.col("s.text_hash") == F.col("m.text_hash")) & F.col("s.doc_id").eqNullSafe(F.col("m.doc_id"))).select("m.row", "s.text").dropDuplicates(["row"]), "texts")
+    sure = written(_met(both, texts, ("lead", "parts", "part"), stars.count(), _stars(threshold)), "links")
+    near = components(sure)
+    # buckets whose members, but for the least, are of several classes; the same members under several bands count once
+    roots = _labelled(held.select("band", "row"), near)
+    members = [F.count("*"), F.min("row"), F.max("row"), *(F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(38,0)")) for i in range(2))]
+    open_bands = roots.groupBy("band").agg((F.min("root") != F.max("root")).alias("several"), F.struct(*(c.alias(f"m{i}") for i, c in enumerate(members))).alias("members")).where("several")
+    once = open_bands.groupBy("members").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("members.m0") / BLOCK).cast("int").alias("blocks"))
+    # a small bucket is one group; a block of a large one meets each block, itself included
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    want = written(held.select("band", "row").join(once, "band").withColumn("block", block).select("band", "row", F.explode(meets).alias("g")).select("band", "row", "g.i", "g.j"), "open")
+    n_open = want.count()
+    if n_open:
+        more = written(sure.unionByName(_met(want, texts, ("band", "i", "j"), n_open, _blocks(threshold))), "links")
+        discard(near)
+        near = components(more)
+        discard(more)
+    discard(held, stars, texts, sure, want)
+    labelled = _labelled(nodes.select("text_hash", "doc_id", "row"), near)
     heads = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"))
     classes = labelled.join(heads, "root").select("text_hash", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"))
     out = written(base.select("doc_id", "text_hash", "row").join(classes, "text_hash").select("doc_id", "class_id", "text_hash", (F.col("row") == F.col("head_row")).alias("keeper")), "classes")
-    discard(base, nodes, member, same)
+    discard(base, nodes, near)
     return out
 
 

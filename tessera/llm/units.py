@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 GATHER, PORTION = 1 << 19, 10 << 20
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str | int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text (one row at least), so that working arrays stay small."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.concatenate([[0], np.cumsum(size)]), 0
