@@ -34,29 +34,39 @@ FROM d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id =
 """
 
 
-def _sections(text: str) -> str:
-    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), '')))"
+def _branches(text: str) -> str:
+    """Sections of a text: lists of paragraphs, each its hash and the joined short hashes of its runs."""
+    runs = f"list_transform(regexp_extract_all(p, '{RUN}'), lambda r: sha256(r))"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(list_transform(string_split(s, chr(10)), lambda p: {runs}), lambda h: {{'hash': sha256(array_to_string(h, '')), 'runs': array_to_string(list_transform(h, lambda x: substr(x, 1, 8)), ' ')}}))"
 
 
-def _runs(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '{RUN}'), lambda r: substr(md5(r), 1, 8))"
+def _rendered(branches: str) -> str:
+    sections = f"list_transform({branches}, lambda s: {{'hash': sha256(array_to_string(list_transform(s, lambda p: p.hash), '')), 'said': array_to_string(list_transform(s, lambda p: substr(p.hash, 1, 16) || '(' || p.runs || ')'), ',')}})"
+    return f"list_transform([{sections}], lambda a: sha256(array_to_string(list_transform(a, lambda s: s.hash), '')) || ':' || array_to_string(list_transform(a, lambda s: substr(s.hash, 1, 16) || '[' || s.said || ']'), '/'))[1]"
 
 
-def _likeness(a: str, b: str) -> str:
-    sizes = f"(len(list_distinct({a}r)) + len(list_distinct({b}r)))"
-    return f"CASE WHEN {a}root = {b}root THEN 1.0::DOUBLE WHEN {sizes} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(list_distinct({a}r), list_distinct({b}r))) / {sizes} END"
+def _walk(a: str, b: str, said: str) -> str:
+    """Steps from fingerprints a and b of a row of f to their likeness."""
+    sections = lambda x: f"list_distinct(string_split(split_part({x}, ':', 2), '/'))"
+    inner = lambda x, sep: f"flatten(list_transform({x}, lambda s: string_split(substr(s, 18, length(s) - 18), '{sep}')))"
+    minus = lambda x, y: f"list_filter({x}, lambda e: NOT list_contains({y}, e))"
+    both = lambda x, y: f"list_filter({x}, lambda e: list_contains({y}, e))"
+    weight = lambda x: f"coalesce(list_sum(list_transform({x}, lambda p: (length(p) - 17) // 9)), 0)"
+    return f"""
+{said}1 AS (SELECT doc_id, split_part({a}, ':', 1) = split_part({b}, ':', 1) AS equal, {sections(a)} AS sa, {sections(b)} AS sb FROM f),
+{said}2 AS (SELECT doc_id, equal, list_distinct({inner(both('sa', 'sb'), ',')}) AS same, list_distinct({inner(minus('sa', 'sb'), ',')}) AS pa, list_distinct({inner(minus('sb', 'sa'), ',')}) AS pb FROM {said}1),
+{said}3 AS (SELECT doc_id, equal, {weight('same')} + {weight(both('pa', 'pb'))} AS same, list_distinct(list_filter({inner(minus('pa', 'pb'), ' ')}, lambda r: r <> '')) AS ra, list_distinct(list_filter({inner(minus('pb', 'pa'), ' ')}, lambda r: r <> '')) AS rb FROM {said}2),
+{said} AS (SELECT doc_id, CASE WHEN equal THEN 1.0::DOUBLE WHEN 2 * same + len(ra) + len(rb) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * (same + len({both('ra', 'rb')})) / (2 * same + len(ra) + len(rb)) END AS near FROM {said}3)"""
 
 
 FINGERPRINTS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
 e AS (SELECT doc_id, t, nt, concat(substr(t, 1, length(t) - length(t) // 2), substr(nt, 1, length(t) // 2)) AS et FROM n),
-h AS (SELECT doc_id, t, et, {_sections('t')} AS s, {_sections('et')} AS es, {_sections('nt')} AS ns, {_runs('t')} AS r, {_runs('et')} AS er, {_runs('nt')} AS nr FROM e),
-f AS (SELECT *, sha256(array_to_string(s, '')) AS root, sha256(array_to_string(es, '')) AS eroot, sha256(array_to_string(ns, '')) AS nroot FROM h)
-SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(et) AS edited_sha256,
-concat_ws(':', root, array_to_string(list_transform(s, lambda x: substr(x, 1, 16)), '/'), array_to_string(r, ' ')) AS fingerprint,
-concat_ws(':', eroot, array_to_string(list_transform(es, lambda x: substr(x, 1, 16)), '/'), array_to_string(er, ' ')) AS edited_fingerprint,
-{_likeness('', 'e')} AS near_edited, {_likeness('', 'n')} AS near_next FROM f
+f AS (SELECT doc_id, t, et, {_rendered(_branches('t'))} AS own, {_rendered(_branches('et'))} AS edit, {_rendered(_branches('nt'))} AS next FROM e),
+{_walk('own', 'edit', 'w')}, {_walk('own', 'next', 'v')}
+SELECT f.doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, own AS fingerprint, edit AS edited_fingerprint, w.near AS near_edited, v.near AS near_next
+FROM f JOIN w ON w.doc_id = f.doc_id JOIN v ON v.doc_id = f.doc_id
 """
 
 EXACT_TOPK = """

@@ -3,9 +3,9 @@
 A range of document ids makes one file of ids (16 bits wide where the vocabulary
 allows, else 32), one of offsets (n + 1 64-bit integers from 0) and one of document
 ids, all little-endian, readable by memory map. A manifest gives each file's base:
-the tokens and documents before it, from prefix sums over the files' totals (at most
-4,096 rows on the driver). Documents are in ascending order of id, repeated ids in
-order of their token bytes, documents without an id last. Null texts are empty: they
+the tokens and documents before it, from prefix sums over the files' totals (a row on the
+driver for each FILE_BYTES of text). Documents are in ascending order of id, repeated ids in
+order of a hash of their text, then of their token bytes, documents without an id last. Null texts are empty: they
 hold the end id alone. An empty table makes no files. A task writes under a name of its own
 and renames, so a task that runs again leaves whole files only.
 """
@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import doc_ids, id_column
-from .ranges import id_range, id_splits
+from .exchange import release
+from .ranges import id_ranges
 from .tokenizer import word_tokenizer
 from .units import portions
 
-FILE_BYTES, LEAST_FILE = 16 << 20, 1 << 20
+FILE_BYTES, LEAST_FILE = 64 << 20, 1 << 20
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
-    """bucket, doc_id and ids as bytes of the given width, each document's end id with it."""
+    """bucket, doc_id, text_hash and ids as bytes of the given width, each document's end id with it."""
     kind = np.dtype(f"<u{width}")
     end = np.array([end_id], kind).tobytes()
 
@@ -42,9 +43,10 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
         for b in (p for whole in batches for p in portions(whole, "text")):
             codes = tokenizer.encode(b.column("text"))
             flat, at = codes.ids.astype(kind).tobytes(), codes.offsets * width
-            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), pa.array([flat[s:e] + end for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["bucket", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), b.column("text_hash"), pa.array([flat[s:e] + end for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["bucket", "doc_id", "text_hash", "ids"])
+            release()
 
-    return docs.mapInArrow(encode, "bucket int, doc_id long, ids binary")
+    return docs.mapInArrow(encode, "bucket int, doc_id long, text_hash long, ids binary")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -52,7 +54,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    splits = id_splits(texts, "doc_id", max(1, -(-size // FILE_BYTES), min(tasks, size // LEAST_FILE)))
+    ranges, text_hash = id_ranges(texts, "doc_id", max(1, -(-size // FILE_BYTES), min(tasks, size // LEAST_FILE))), F.xxhash64(F.coalesce("text", F.lit("")))
     width = 2 if max(word_tokenizer(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +94,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(3)], names=["bucket", "n_docs", "n_tokens"])
 
-    rows = encoded(texts.select(id_range(F.col("doc_id"), splits).cast("int").alias("bucket"), "doc_id", "text"), tokenizer, end_id, width)
-    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "ids")
+    rows = encoded(texts.select(ranges.of(F.col("doc_id"), text_hash).alias("bucket"), "doc_id", text_hash.alias("text_hash"), "text"), tokenizer, end_id, width)
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "text_hash", "ids")
     files = sorted(ordered.mapInArrow(write, "bucket long, n_docs long, n_tokens long").collect())
     manifest, docs_before, tokens_before = [], 0, 0
     for bucket, n_docs, n_tokens in files:
