@@ -29,7 +29,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_documents(spark, sf_dir), 8, law="bytes")[0]
+    return sharding.shard(_documents(spark, sf_dir), 8, law="bytes", store=new_path(spark, "slot-map"))[0]
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

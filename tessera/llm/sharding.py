@@ -3,10 +3,13 @@
 A record's slot is a hash of its id modulo a fixed number of slots, so it never
 changes. Which shard serves a slot is a small table (one row a slot, so its size
 has a fixed bound) that is edited, not recomputed, when shards are rebalanced or
-added; each edit makes a new version.
+added; each edit makes a new version. All versions are stored with the edits that made them, so any
+can be loaded and the way to it read.
 
-Null texts have size 1, as empty ones; a null id hashes to a slot of its own like
-any other value. Repeated rows get places of their own. An empty table gives no rows.
+Under law "key" the slot is a hash of the id alone; under law "bytes" it is a hash of id and text, so rows
+without an id and rows that repeat one are spread like others. Null texts have size 1, as empty ones.
+Repeated rows get places of their own. Places in a slot are numbered in SUBS lots by a
+hash of the text, so that a slot is no task of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+SLOTS, SUBS = 4096, 16
+MAP, EDITS = "version int, n_shards int, vslot int, shard int", "version int, vslot int, source int, target int"
 
 
 @dataclass(frozen=True)
@@ -87,43 +91,55 @@ class SlotMap:
         return self._edited(moves, n)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, s, k) for s, k in enumerate(self.owner)], "version int, vslot int, shard int")
+        return spark.createDataFrame([(self.version, self.n_shards, s, k) for s, k in enumerate(self.owner)], MAP)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
+        """Stores this version and the edits up to it; other versions stay."""
+        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/map/version={self.version}")
+        spark.createDataFrame(list(self.history), EDITS).coalesce(1).write.mode("overwrite").parquet(f"{path}/edits/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
-        rows = spark.read.parquet(f"{path}/version={version}").orderBy("vslot").collect()
-        return cls(max(r.shard for r in rows) + 1, tuple(r.shard for r in rows), version)
+        rows = spark.read.schema(MAP).parquet(f"{path}/map/version={version}").orderBy("vslot").collect()  # a row a slot
+        edits = spark.read.schema(EDITS).parquet(f"{path}/edits/version={version}").orderBy("version", "vslot").collect()
+        return cls(rows[0].n_shards, tuple(r.shard for r in rows), version, tuple(map(tuple, edits)))
 
 
-def sized(docs: DataFrame, key: Column, text: Column, n_slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot: all that sharding needs of a document."""
+def sized(docs: DataFrame, key: Column, text: Column, n_slots: int = SLOTS, law: str = "bytes") -> DataFrame:
+    """doc_id, size, text_crc32, vslot, sub: all that sharding needs of a document."""
     body = F.coalesce(text.cast("string"), F.lit(""))
-    return docs.select(key.alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int").alias("vslot"))
+    text_hash = F.xxhash64(body)
+    slot = F.xxhash64(key) if law == "key" else F.xxhash64(key, text_hash)
+    return docs.select(key.alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.pmod(slot, F.lit(n_slots)).cast("int").alias("vslot"), F.pmod(F.shiftright(text_hash, 32), F.lit(SUBS)).cast("int").alias("sub"))
 
 
-def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, law: str = "bytes", slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Places of all documents, and the map used.
+def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, law: str = "bytes", slot_map: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Places of all documents, and the map used; with `store`, the map is saved there and the places come from what was loaded back.
 
-    law "bytes": the slots' bytes are aggregated (at most n_slots rows come to the
+    law "bytes": the slots' bytes are aggregated (at most SUBS * n_slots rows come to the
     driver) and the map is edited until the shards' bytes are near equal.
     law "key": the map depends on the number of shards alone, and grown_shard tells
     where a row goes with one more shard.
     """
     if law not in ("bytes", "key"):
         raise ValueError(f"no such law: {law}")
-    spark, rows = docs.sparkSession, sized(docs, docs["doc_id"], docs["text"], n_slots)
-    loads = {r.vslot: (r.n, r.bytes) for r in rows.groupBy("vslot").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
+    spark, rows = docs.sparkSession, sized(docs, docs["doc_id"], docs["text"], n_slots, law)
+    lots = {(r.vslot, r["sub"]): (r.n, r.bytes) for r in rows.groupBy("vslot", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
     placed = slot_map or SlotMap.initial(n_shards, n_slots)
     if law == "bytes":
-        placed = placed.rebalanced({s: b for s, (_, b) in loads.items()})
-    later, base, next_place = placed.grown(), [0] * n_slots, [0] * placed.n_shards
-    for s, k in enumerate(placed.owner):
-        base[s] = next_place[k]
-        next_place[k] += loads.get(s, (0, 0))[0]
-    bounded = spark.createDataFrame([(s, k, base[s], later.owner[s] if law == "key" else None) for s, k in enumerate(placed.owner)], "vslot int, shard int, base long, grown_shard int")
-    in_slot = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32"))
-    out = rows.withColumn("nth", in_slot - 1).join(F.broadcast(bounded), "vslot")  # n_slots rows
-    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot"), "grown_shard"), placed
+        loads: dict[int, int] = {}
+        for (s, _), (_, b) in lots.items():
+            loads[s] = loads.get(s, 0) + b
+        placed = placed.rebalanced(loads)
+    if store:
+        placed.save(spark, store)
+        placed = SlotMap.load(spark, store, placed.version)
+    later, next_place, bases = placed.grown(), [0] * placed.n_shards, []
+    for (s, sub), (n, _) in sorted(lots.items()):
+        k = placed.owner[s]
+        bases.append((s, sub, k, next_place[k], later.owner[s] if law == "key" else None))
+        next_place[k] += n
+    bounded = spark.createDataFrame(bases, "vslot int, sub int, shard int, base long, grown_shard int")  # at most SUBS * n_slots rows
+    in_lot = F.row_number().over(Window.partitionBy("vslot", "sub").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32"))
+    out = rows.withColumn("nth", in_lot - 1).join(F.broadcast(bounded), ["vslot", "sub"])
+    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot"), "grown_shard", F.col("vslot").alias("virtual_slot"), F.lit(placed.version).alias("map_version")), placed

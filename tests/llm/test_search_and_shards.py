@@ -119,8 +119,32 @@ def test_key_law_grows_into_the_new_shard_only(spark):
 def test_maps_are_stored_by_version(spark, tmp_path):
     m = sharding.SlotMap.initial(3, 30).rebalanced({0: 100, 3: 90, 1: 5}).grown()
     m.save(spark, str(tmp_path))
+    back = sharding.SlotMap.load(spark, str(tmp_path), m.version)
+    assert back == m and back.history == m.history != ()
+    bare = sharding.SlotMap(8, (0, 1, 2) * 10, 7)  # shards 3 to 7 own no slot
+    bare.save(spark, str(tmp_path))
+    assert sharding.SlotMap.load(spark, str(tmp_path), 7).n_shards == 8
     assert sharding.SlotMap.load(spark, str(tmp_path), m.version) == m
 
 
+def test_shards_are_those_of_the_stored_map(spark, awkward, tmp_path):
+    """Each row's shard is recomputed from the map as stored: its virtual slot's owner; equal rows have equal slots."""
+    placed, m = sharding.shard(awkward, 8, store=str(tmp_path))
+    owner = {r.vslot: r.shard for r in spark.read.parquet(f"{tmp_path}/map/version={m.version}").collect()}
+    rows = placed.collect()
+    assert len(owner) == sharding.SLOTS and {r.map_version for r in rows} == {m.version} and all(owner[r.virtual_slot] == r.shard for r in rows)
+    slots = {}
+    for r in rows:
+        assert slots.setdefault((r.doc_id, r.text_crc32, r["size"]), r.virtual_slot) == r.virtual_slot
+
+
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    placed, _ = sharding.shard(df, 8)
+    assert placed.select("virtual_slot").distinct().count() > 1500
+    n = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(n) == 8 and max(n) < 1.2 * min(n)
+
+
 def test_no_rows(empty):
     assert sharding.shard(empty)[0].count() == 0
