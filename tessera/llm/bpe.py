@@ -8,7 +8,9 @@ lowest rank (leftmost first) until none is left.
 Texts are cut into units (white space and the run that follows), within which the
 split pattern cannot see the neighbours; distinct units are split and encoded once a
 batch. Where a text holds white space outside ASCII, the whole text is one unit.
-Null texts are empty and have no tokens; no text is cut and none is changed.
+What a worker keeps between batches is bounded: a number of units and pre-tokens of bounded length.
+Null texts are empty and have no tokens; no text is cut and none is changed. Each row is encoded for
+itself, so null and repeated ids and repeated rows are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import BYTE_POWERS, BYTE_TABLE, SPACES, Texts, mix, prefix, spans
-from .units import Codes, coded, gathered, ranges
+from .exchange import release
+from .units import PORTION, Codes, coded, gathered, portions, ranges
 
-CACHED, DECODE = 250_000, 1 << 17
+CACHED, SHORT, DECODE = 150_000, 64, 1 << 17
 
 
 class PerfectHash:
@@ -134,12 +137,22 @@ class BytePairs:
             i = end[i]
         return out
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Adds pre-tokens to the table: those that are tokens in one sweep, the others by merging."""
-        raw = [p.encode() for p in parts]
-        for part, piece, k in zip(parts, raw, self.whole.candidates(raw).tolist(), strict=True):
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens: those that are tokens in one sweep, the others by merging."""
+        raw, out = [p.encode() for p in parts], {}
+        for part, piece, k in zip(parts, raw, self.whole.candidates(raw).tolist() if raw else [], strict=True):
             ids = [self.token_ids[k]] if self.tokens[k] == piece else self.merged(piece)
-            self.parts[part] = np.array(ids, np.uint32).tobytes()
+            out[part] = np.array(ids, np.uint32).tobytes()
+        return out
+
+    @staticmethod
+    def _keep(cache: dict[str, bytes], new: dict[str, bytes]) -> None:
+        """Adds what is short, as long as there is room."""
+        for k, v in new.items():
+            if len(cache) >= CACHED:
+                return
+            if len(k) <= SHORT:
+                cache[k] = v
 
     def encode(self, column: pa.Array) -> Codes:
         texts = Texts.of(column)
@@ -148,17 +161,15 @@ class BytePairs:
             return Codes(np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
         bounds = np.append(starts, len(texts.data))
         distinct, which = coded(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts.data))))
-        if len(self.parts) > CACHED:
-            self.parts = {}
         new = {u: self.split.findall(u) for u in distinct if u not in self.units}
-        parts = self.parts
-        missing = list(dict.fromkeys(p for ps in new.values() for p in ps if p not in parts))
-        if missing:
-            self._encode_parts(missing)
-        own = {u: b"".join([parts[p] for p in ps]) for u, ps in new.items()}
+        known = self.parts
+        fresh = self._encode_parts(list(dict.fromkeys(p for ps in new.values() for p in ps if p not in known)))
+        own = {u: b"".join([known[p] if p in known else fresh[p] for p in ps]) for u, ps in new.items()}
+        del new
         ids = [own[u] if u in own else self.units[u] for u in distinct]
-        if len(self.units) < CACHED:
-            self.units.update(own)
+        self._keep(known, fresh)
+        self._keep(self.units, own)
+        del fresh, own
         return gathered(ids, which, before)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -209,7 +220,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(ranks, pattern)
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text")):
             codes = pairs.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([codes[i].astype("<u4").tobytes() for i in range(len(codes))], pa.binary()), pa.array([pairs.decode(codes[i]) for i in range(len(codes))], pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -221,9 +232,10 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(ranks, pattern)
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text", PORTION)):
             codes = pairs.encode(b.column("text"))
             each = [codes[i].astype("<u4", copy=False) for i in range(len(codes))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(codes.offsets)), pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()), pa.array([hashlib.sha256(pairs.decode(x)).hexdigest() for x in each], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import BYTE_POWERS, BYTE_TABLE, Texts, mix, prefix, spans
+from .exchange import release
+from .units import portions
 
 MAX_ROWS, SLICE = 20_000, 1 << 18
 _CLASSES = {
@@ -194,16 +196,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "quality") -> Forest:
-    """A forest from at most max_rows labelled documents outside the held-out quarter."""
+    """A forest from at most max_rows labelled documents outside the held-out quarter, though documents may repeat an id."""
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), "doc_id")  # max_rows rows
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(batch_statistics(b.column("text"))), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("y"), pa.array(list(batch_statistics(b.column("text"))), pa.list_(pa.float64()))], names=["doc_id", "text_hash", "y", "x"])
 
-    rows = texts.mapInArrow(measure, "doc_id long, y double, x array<double>").toArrow().sort_by("doc_id")
+    measured = texts.select("doc_id", "text", "text_hash", "y").mapInArrow(measure, "doc_id long, text_hash long, y double, x array<double>")
+    rows = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(max_rows).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, N_STATISTICS)
     return fit(x, (rows["y"].to_numpy() > 0).astype(float))
 
@@ -214,8 +217,9 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thres
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text")):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forest.scores(batch_statistics(b.column("text"))))], names=["doc_id", "score"])
+        release()
 
     rows = texts.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -227,6 +231,8 @@ def kept(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(forest.scores(batch_statistics(b.column(at).cast(pa.string()))) >= threshold))
+            good = [forest.scores(batch_statistics(p.column(at).cast(pa.string()))) >= threshold for p in portions(b, at)]
+            yield b.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)

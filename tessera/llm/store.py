@@ -12,7 +12,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; in local mode without one, a folder of this machine."""
+    """spark.checkpoint.dir as the cluster names it. Where it is unset, only a session in local mode (as in tests, where
+    driver and executors are one process) gets a folder of its own; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
