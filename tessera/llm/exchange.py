@@ -1,7 +1,7 @@
 """Rows of a fixed width on their way between numbered places, in few packets.
 
 A packet holds many rows, each with the place it goes to and the one it comes from, as
-planes of bytes (all first bytes, then all second ones, ...), which compress well. A
+planes of bytes (all first bytes, then all second ones, ...) or row by row, compressed. A
 place sends at most FAN packets. Where there are more than FAN places to send to, packets
 go to spans of places first and are split again on the way, FAN senders at a time, so the
 number of packets is in proportion to the number of senders at every size, and a task on the way holds
@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FAN = 256
+FAN, HEAD = 256, 13
+_CODEC = pa.Codec("zstd", 1)
 PACKET = "to int, via int, kind int, blob binary"
 _SCHEMA = pa.schema([("to", pa.int32()), ("via", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -51,8 +52,8 @@ def integers(rows: np.ndarray, at: int, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
-def packed(kind: int, to: np.ndarray, source: np.ndarray | int, rows: np.ndarray, span: int, via: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Packets of rows (planes) for each span of places that gets some."""
+def packed(kind: int, to: np.ndarray, source: np.ndarray | int, rows: np.ndarray, span: int, via: int, by_row: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
+    """Packets of rows (planes) for each span of places that gets some. Neighbouring rows that are much alike are smaller row by row."""
     n = len(to)
     if not n:
         return
@@ -62,16 +63,20 @@ def packed(kind: int, to: np.ndarray, source: np.ndarray | int, rows: np.ndarray
     coarse = to // span
     at = np.flatnonzero(np.diff(coarse, prepend=-1))
     for a, b in zip(at, np.append(at[1:], n), strict=True):
-        yield int(coarse[a]), via, kind, len(whole).to_bytes(4, "little") + np.ascontiguousarray(whole[:, a:b]).tobytes()
+        own = np.ascontiguousarray(whole[:, a:b].T if by_row else whole[:, a:b])
+        head = len(whole).to_bytes(4, "little") + own.nbytes.to_bytes(8, "little") + bytes([by_row])
+        yield int(coarse[a]), via, kind, head + _CODEC.compress(own, asbytes=True)
 
 
 def opened(blobs: Iterable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where to, where from, and planes of all rows of some packets of one kind."""
     found = []
     for b in blobs:
-        raw = np.frombuffer(b.as_buffer(), np.uint8)
-        width = int.from_bytes(raw[:4].tobytes(), "little")
-        found.append(raw[4:].reshape(width, -1))
+        raw = b.as_buffer()
+        head = raw[:HEAD].to_pybytes()
+        width, size, by_row = int.from_bytes(head[:4], "little"), int.from_bytes(head[4:12], "little"), head[12]
+        rows = np.frombuffer(_CODEC.decompress(raw[HEAD:], size), np.uint8)
+        found.append(rows.reshape(-1, width).T if by_row else rows.reshape(width, -1))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0), np.uint8)
     whole = np.concatenate(found, 1)
@@ -94,7 +99,8 @@ def _split(span: int):
         out: list[tuple] = []
         via = int(t["via"][0].as_py()) // FAN
         for kind in np.unique(t["kind"].to_numpy()).tolist():
-            out += packed(kind, *of_kind(t, kind), span, via)
+            to, source, rows = of_kind(t, kind)
+            out += packed(kind, to, source, rows, span, via, not rows.flags.c_contiguous)
         release()
         return table(out)
 

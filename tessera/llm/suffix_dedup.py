@@ -164,13 +164,16 @@ def settle_range(g: Grams, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each row a bit mask of its windows that also start in a document with a smaller id."""
     words = big_endian(rows)
     order = multikey_order(words)
-    rows, ids_s, words = rows[order], ids[order], words[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (words[1:] != words[:-1]).any(1)
+    ids_s, new = ids[order], np.zeros(len(rows), bool)
+    new[:1] = True
+    for column in words.T:
+        column = column[order]
+        new[1:] |= column[1:] != column[:-1]
+    del words
     seg_at = np.flatnonzero(new)
     seg = np.cumsum(new) - 1
     seg_min = np.minimum.reduceat(ids_s, seg_at)
-    segs = rows[seg_at]
+    segs = rows[order[seg_at]]
     gram_new = np.ones(len(segs), bool)
     gram_new[1:] = (segs[1:, : g.k] != segs[:-1, : g.k]).any(1)
     group_at = np.flatnonzero(gram_new)
@@ -227,7 +230,7 @@ def splitters(docs: DataFrame, text_col: str, g: Grams, n: int, size: int) -> np
                 yield pa.RecordBatch.from_arrays([pa.array([np.unique(keys).astype("<u8").tobytes()], pa.binary())], names=["keys"])
 
     found = [np.frombuffer(r[0], "<u8") for r in some.mapInArrow(sample, "keys binary").collect()]
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    keys = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)  # what many batches hold, many parts will send
     return np.unique(keys[np.arange(1, n) * len(keys) // n]) if len(keys) else keys
 
 
@@ -272,9 +275,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             same[a : a + CHUNK] = (g.rows(text.data, gram[x], first[x], last[x]) == g.rows(text.data, gram[y], first[y], last[y])).all(1)
         pick, again = np.sort(np.concatenate([pick, again[~same]])), again[same]
         span, via = exchange.spans(n_ranges)[0], part // exchange.FAN
-        to = np.searchsorted(cuts, leading(text.data, gram[pick]), "right")
+        lead = leading(text.data, gram[pick])
+        pick = pick[np.argsort(lead, kind="stable")]
+        to = np.searchsorted(cuts, np.sort(lead), "right")
         rows = np.vstack([g.rows(text.data, gram[pick], first[pick], last[pick]).T, planes(doc[pick], 8), planes(first[pick], 8)])
-        yield from exchange.packed(parts.ENTRIES, to, part, rows, span, via)
+        yield from exchange.packed(parts.ENTRIES, to, part, rows, span, via, by_row=True)
         # what repeats inside the part, by way of a range that only hands it on
         rows = np.vstack([planes(x, 8) for x in (first[again], last[again] - first[again], first[rep[again]], (doc[rep[again]] < doc[again]).astype(np.int64))])
         yield from exchange.packed(parts.NOTES, np.full(len(again), part % n_ranges), part, rows, span, via)

@@ -186,6 +186,12 @@ def test_bound_is_valid_and_beats_the_sum():
     assert packing.lower_bound(np.array([100, 1]), 100) == 2
 
 
+def test_a_lone_group_is_held_against_its_bound(spark):
+    for lengths, used, bound in (([6, 5, 4, 3, 2], 2, 2), ([6, 6, 6, 3], 3, 3), ([4, 4, 4], 2, 2), ([4, 4, 3, 3, 3, 3], 3, 2)):
+        places, sequences = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "row long, length long"), 10)
+        assert (sequences, places.select("sequence_id").distinct().count(), packing.lower_bound(np.array(lengths), 10)) == (used, used, bound)
+
+
 def test_packing_nothing(empty):
     assert packing.best_fit_packing(empty, WORD).count() == 0
 
