@@ -20,27 +20,54 @@ def name_matches(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return found.where(F.size(F.array_except("wanted", "tokens")) == 0).select("mention_id", "name_id")
 
 
-def contained_passages(passages: DataFrame, texts: DataFrame, grams: int = 8) -> DataFrame:
+#: Inner words of a passage that must occur in a row, and how many distinct runs of passages still make a bit map for the texts.
+RUN_WORDS, MOST_MAPPED = 3, 1 << 16
+
+
+def _bit_map(keys: DataFrame, most: int) -> tuple[Column, int] | None:
+    """A literal bit map of hashed keys (sixteen bits a key) and its size, or none for more than `most` keys."""
+    found = [r[0] for r in keys.distinct().limit(most + 1).collect()]  # at most `most` + 1
+    if len(found) > most:
+        return None
+    size = max(64, 1 << (16 * len(found)).bit_length())
+    words = [0] * (size // 64)
+    for k in found:
+        at = k % size
+        words[at // 64] |= 1 << at % 64
+    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
+    return F.split(F.lit(signed), ",").cast("array<long>"), size
+
+
+def contained_passages(passages: DataFrame, texts: DataFrame, mapped: int = MOST_MAPPED) -> DataFrame:
     """(passage_id, text_id) where a passage occurs in a text as it stands, case and white space included; its ends may cut words.
 
-    Up to `grams` whole words of a passage, from its second on, must occur as words in a text that holds it, so an equi-join
-    on that run's hash finds the candidates and the exact test is left to them. A passage of fewer than three words has no
-    word that must be whole, so it is tested against every text.
+    All words of a passage but its first and last are whole words of a text that holds it, so up to RUN_WORDS of them in a row are its
+    key: the longest such run, as the likeliest to be rare. Texts keep their runs that a bit map of all keys lets through (as
+    long as there are at most `mapped` keys; the map's size is checked), and an equi-join finds the candidates; the exact test is left to them. A
+    passage of fewer than three words has no word that must be whole, so it is tested against every text.
     """
     words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-    p = passages.withColumn("_w", words(F.col("passage"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(grams)))
+    run = lambda w, i, n: F.xxhash64(*(F.get(w, i + j) for j in range(n)), F.lit(n))
+    p = passages.withColumn("_w", words(F.col("passage"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(RUN_WORDS)))
     short, p = p.where("_n <= 0").select("passage_id", "passage"), p.where("_n > 0")
-    p = p.withColumn("_key", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n")), F.col("_n")))  # the first word may be cut from a longer one
-    lengths = [r[0] for r in p.select("_n").distinct().collect()]  # at most `grams` values
-    if not lengths:
-        lengths = [grams]
-    t = texts.withColumn("_w", words(F.col("text")))
+    starts = F.sequence(F.lit(1), F.size("_w") - 1 - F.col("_n"))  # from the second word on
+    longest = F.array_max(F.transform(starts, lambda i: F.struct(F.length(F.array_join(F.slice("_w", i + 1, F.col("_n")), "")).alias("size"), (-i).alias("i"))))
+    p = p.withColumn("_i", -longest["i"])
+    key = F.lit(None).cast("long")
+    for n in range(1, RUN_WORDS + 1):
+        key = F.when(F.col("_n") == n, run(F.col("_w"), F.col("_i"), n)).otherwise(key)
+    p = p.select("passage_id", "_n", key.alias("_key"))
+    lengths = sorted(r[0] for r in p.select("_n").distinct().collect()) or [RUN_WORDS]  # at most RUN_WORDS values
+    bits = _bit_map(p.select("_key"), mapped)
 
     def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(n)), F.lit(n)))
+        return F.transform("_w", lambda _, i: run(F.col("_w"), i, n))
 
     runs = F.flatten(F.array(*map(runs_of, lengths)))
-    keys = t.select("text_id", F.explode(F.array_distinct(runs)).alias("_key"))
+    if bits is not None:
+        where, size = bits
+        runs = F.filter(runs, lambda h: F.get(where, F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+    keys = texts.withColumn("_w", words(F.col("text"))).select("text_id", F.explode(F.array_distinct(runs)).alias("_key"))
     found = keys.join(p.select("passage_id", "_key"), "_key").select("passage_id", "text_id").distinct()
     both = found.join(passages, "passage_id").join(texts, "text_id")
     out = both.where(F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id")
@@ -64,14 +91,16 @@ def within(reading: Column, target: Column, tolerance: float) -> Column:
     return F.abs(reading - target) <= tolerance * target
 
 
-def cited(claims: DataFrame, blocks: DataFrame) -> DataFrame:
+def cited(claims: DataFrame, blocks: DataFrame, answer: tuple[str, ...] = ()) -> DataFrame:
     """Claims with their valid citations in order of first mention, and the number that name no block.
 
-    claims: claim_id, cites array<int>; blocks: rank int, and any columns. Claims without a valid citation are dropped by the caller.
+    claims: claim_id, cites array<int>, the columns of `answer`; blocks: those and rank. Ranks are local to an answer, so many answers are
+    checked at once, each against its own blocks; without such columns all claims are of one answer. Claims without a valid citation are
+    dropped by the caller; a claim that cites nothing has no row.
     """
-    each = claims.select("claim_id", F.posexplode(F.array_distinct("cites")).alias("pos", "rank"))
-    joined = each.join(blocks.select("rank", F.lit(True).alias("_held")), "rank", "left")
-    return joined.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_held"), F.struct("pos", "rank")))), lambda s: s["rank"]).alias("valid"), F.count_if(F.col("_held").isNull()).alias("invalid"))
+    each = claims.select(*answer, "claim_id", F.posexplode(F.array_distinct("cites")).alias("pos", "rank"))
+    joined = each.join(blocks.select(*answer, "rank").distinct().withColumn("_held", F.lit(True)), [*answer, "rank"], "left")
+    return joined.groupBy(*answer, "claim_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_held"), F.struct("pos", "rank")))), lambda s: s["rank"]).alias("valid"), F.count_if(F.col("_held").isNull()).alias("invalid"))
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str, order_left: str, order_right: str, how: str = "left") -> DataFrame:

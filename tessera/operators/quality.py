@@ -11,6 +11,15 @@ from ..schemas import METRICS
 REL_TOLERANCE, ABS_TOLERANCE, MIN_CHECKABLE = 1e-3, 1e-6, 3
 SCALE_REASONS = ("scale_ambiguous", "scale_disagreement", "scale_not_checkable")
 SCALE_STEP = 1e3
+# The sentence beside a figure by reason, and what follows where the right value can be told.
+NOTES = {
+    "null_field": "This figure was not extracted from the filing.",
+    "evidence_mismatch": "Flagged: the line cited for this figure does not contain it, so the value may be derived or drawn from a neighbouring item.",
+    "scale_disagreement": "Flagged: this figure's implied scale disagrees with the rest of the filing.",
+    "scale_ambiguous": "Flagged: figures in this filing were extracted at two different scales and neither is in the majority, so which is authoritative cannot be determined from the filing alone.",
+    "scale_not_checkable": "Flagged: the scale of this figure could not be checked.",
+}
+CORRECTABLE, LIKELY = "scale_disagreement", " The value is likely {}."
 
 
 def evidence_present(line: Column, source: Column) -> Column:
@@ -64,15 +73,10 @@ def assessed(records: DataFrame) -> DataFrame:
 
 def note(reason: Column, suspected: Column) -> Column:
     """The sentence shown beside a figure; null for a verified one."""
-    # The sentences.
-    likely = F.coalesce(F.concat(F.lit(" The value is likely "), F.format_number(suspected, 0), F.lit(".")), F.lit(""))
-    return (
-        F.when(reason == "null_field", "This figure was not extracted from the filing.")
-        .when(reason == "evidence_mismatch", "Flagged: the line cited for this figure does not contain it, so the value may be derived or drawn from a neighbouring item.")
-        .when(reason == "scale_disagreement", F.concat(F.lit("Flagged: this figure's implied scale disagrees with the rest of the filing."), likely))
-        .when(reason == "scale_ambiguous", "Flagged: figures in this filing were extracted at two different scales and neither is in the majority, so which is authoritative cannot be determined from the filing alone.")
-        .when(reason == "scale_not_checkable", "Flagged: the scale of this figure could not be checked.")
-    )
+    sentence = F.element_at(F.create_map(*(F.lit(x) for kv in NOTES.items() for x in kv)), reason)
+    before, after = LIKELY.split("{}")
+    likely = F.when((reason == CORRECTABLE) & suspected.isNotNull(), F.concat(F.lit(before), F.format_number(suspected, 0), F.lit(after))).otherwise("")
+    return F.concat(sentence, likely)
 
 
 def plausible_values(value: Column, suspected: Column) -> Column:

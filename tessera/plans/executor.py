@@ -19,7 +19,7 @@ from ..schemas import Intent, Status, Tool, Unresolved
 from . import render
 from .tasks import QueryPlan, Task
 
-TOP_K, SURVEY_K = 5, 2
+TOP_K, SURVEY_K, SURVEY_AT_ONCE = 5, 2, 5
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,9 @@ class Outcome:
     note: str | None = None
     withheld: int = 0
     findings: list[dict] = field(default_factory=list)
+    #: Figures withheld from what a model saw, and cited numbers that name no block.
+    masked: int = 0
+    invalid: int = 0
 
 
 def bind(task: Task, catalog: Catalog) -> tuple[dict | None, str | None, str | None]:
@@ -82,76 +85,123 @@ def _figures(task: Task, doc: dict | None, catalog: Catalog) -> Outcome:
     return Outcome(task, Status.SUCCESS, render.figures(task, shown, r.excluded.collect() if r.excluded is not None else [], r.flagged.collect() if r.flagged is not None else [], threshold))
 
 
-def _blocks(chunks: DataFrame, sections: tuple[str, ...]) -> DataFrame:
-    return chunks.where(F.col("source_section").isin(*sections))
-
-
 def _stored(ticker: str, sections: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(sorted({s for x in sections for s in retrieval.SECTION_ALIASES.get((ticker, x), (x,))}))
 
 
+def guard_targets(catalog: Catalog, tickers: DataFrame | None = None) -> DataFrame:
+    """ticker and the figures (targets) that no text about it may show; of some tickers, or of all."""
+    current = reads.current(catalog.docs, catalog.records)
+    rows = quality.assessed(current if tickers is None else current.join(tickers, "ticker", "left_semi"))
+    return quality.guard_values(rows).groupBy("ticker").agg(F.collect_set("target").alias("targets"))  # five figures, three readings each
+
+
+def masked_blocks(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """Retrieved blocks as a model may see them, with the number of figures withheld from each."""
+    return guards.masked(found, targets.withColumnRenamed("ticker", "source_ticker"), "source_ticker")
+
+
+def shown_claims(claims: DataFrame, targets: DataFrame) -> DataFrame:
+    """Claims (ticker, claim) as they may be shown: without inline passage references and without the ticker's figures."""
+    return guards.masked(claims.withColumn("claim", clean_claim(F.col("claim"))), targets, "ticker", "claim")
+
+
+def _source(b) -> tuple:
+    return b.source_ticker, b.source_year, b.source_section, b.chunk_index
+
+
+def _cited(numbers, blocks: list) -> tuple[list, int]:
+    """The blocks cited, in order of first mention, and how many numbers name none. Numbers are local to these blocks."""
+    asked = list(dict.fromkeys(numbers))
+    held = [blocks[n - 1] for n in asked if 1 <= n <= len(blocks)]
+    return held, len(asked) - len(held)
+
+
+def _answered(drafts: list[tuple[str, str, list]], targets: DataFrame, spark) -> tuple[list[tuple[str, str, list]], int]:
+    """(ticker, claim, blocks) with the claims as they may be shown, and the number of figures withheld."""
+    rows = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(drafts)], "n int, ticker string, claim string")
+    shown = shown_claims(rows, targets).orderBy("n").collect()
+    return [(r.ticker, r.claim, drafts[r.n][2]) for r in shown], sum(r.withheld for r in shown)
+
+
 def _narrative(task: Task, doc: dict, catalog: Catalog, k: int = TOP_K) -> Outcome:
+    spark = catalog.docs.sparkSession
     own = catalog.chunks.where(F.col("source_ticker") == doc["ticker"])
-    wanted = searched = _stored(doc["ticker"], retrieval.POLICY[task.intent.value])
+    targets = guard_targets(catalog, spark.createDataFrame([(doc["ticker"],)], "ticker string"))
     vector = catalog.embed(task.question)
-    found = retrieval.nearest(_blocks(own, searched), vector, k, key="chunk_index").collect()  # k rows
+
+    def found_in(sections: tuple[str, ...]) -> list:
+        near = retrieval.nearest(own.where(F.col("source_section").isin(*sections)), vector, k, key="chunk_index")
+        return masked_blocks(near, targets).orderBy("distance", "chunk_index").collect()  # k rows
+
+    wanted = searched = _stored(doc["ticker"], retrieval.POLICY[task.intent.value])
     fallback = retrieval.FALLBACKS.get(task.intent.value)
-    if not found and fallback:
+    blocks = found_in(wanted)
+    if not blocks and fallback:
         other = _stored(doc["ticker"], fallback)
-        found = retrieval.nearest(_blocks(own, other), vector, k, key="chunk_index").collect()
-        searched = other if found else wanted
-    if not found:
+        blocks = found_in(other)
+        searched = other if blocks else wanted
+    if not blocks:
         return Outcome(task, Status.REFUSED, render.narrative_refusal("section_absent", doc["name"], wanted), "section_absent")
-    rows = quality.assessed(reads.current(catalog.docs, catalog.records).where(F.col("id") == doc["id"]))
-    targets = [r.target for r in quality.guard_values(rows).collect()]  # five figures, three readings each
-    masked = [guards.withhold(b.text, targets) for b in found]
-    verdict, drafts = catalog.generate(task.question, [f"[{i}] {t}" for i, (t, _) in enumerate(masked, 1)])
-    swapped = searched != wanted
-    note = render.fallback_note(task.intent, doc["name"], wanted, searched, verdict == "answered") if swapped else None
-    if verdict != "answered" or not drafts:
-        reason = verdict if verdict != "answered" else "not_addressed"
+    masked = sum(b.withheld for b in blocks)
+    verdict, drafts = catalog.generate(task.question, [f"[{i}] {b.text}" for i, b in enumerate(blocks, 1)])
+    answered = verdict == "answered" and bool(drafts)
+    note = render.fallback_note(task.intent, doc["name"], wanted, searched, verdict == "answered") if searched != wanted else None
+    cites = [(text, *_cited(numbers, blocks)) for text, numbers in drafts] if answered else []
+    invalid = sum(n for _, _, n in cites)
+    kept = [(doc["ticker"], text, held) for text, held, _ in cites if held]
+    if not kept:
+        reason = "uncited" if answered else verdict if verdict != "answered" else "not_addressed"
         said = render.narrative_refusal(reason, doc["name"], searched)
-        return Outcome(task, Status.REFUSED, f"{note} {said}" if note else said, reason)
-    spark = catalog.docs.sparkSession
-    cleaned = [r[0] for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(drafts)], "i int, t string").orderBy("i").select(clean_claim(F.col("t"))).collect()]
-    claims, gone = [], 0
-    for text, (_, cites) in zip(cleaned, drafts, strict=True):
-        blocks = [found[n - 1] for n in dict.fromkeys(cites) if 1 <= n <= len(found)]
-        if blocks:
-            shown, n = guards.withhold(text, targets)
-            gone += n
-            claims.append((shown, [(b.source_ticker, b.source_year, b.source_section, b.chunk_index) for b in blocks]))
-    if not claims:
-        return Outcome(task, Status.REFUSED, render.narrative_refusal("uncited", doc["name"], searched), "uncited")
-    return Outcome(task, Status.SUCCESS, "", None, claims, note, gone)
+        return Outcome(task, Status.REFUSED, f"{note} {said}" if note and not answered else said, reason, masked=masked, invalid=invalid)
+    shown, gone = _answered(kept, targets, spark)
+    return Outcome(task, Status.SUCCESS, "", None, [(text, [_source(b) for b in held]) for _, text, held in shown], note, gone, masked=masked, invalid=invalid)
+
+
+def _judged(question: str, blocks: list, generate) -> tuple[str, str, list, int]:
+    """One company's verdict: status, claim, cited blocks, and numbers that name none. A claim without a source is not found; a fault is a finding."""
+    try:
+        verdict, drafts = generate(question, [f"[{i}] {b.text}" for i, b in enumerate(blocks, 1)])
+    except Exception:  # noqa: BLE001  one company's failure is a finding, not the survey's end
+        return "failed", "", [], 0
+    if verdict != "answered" or not drafts or not drafts[0][0]:
+        return "not_found", "", [], 0
+    held, invalid = _cited(drafts[0][1], blocks)
+    return ("supported", drafts[0][0], held, invalid) if held else ("not_found", "", [], invalid)
 
 
 def _survey(task: Task, catalog: Catalog) -> Outcome:
-    """One verdict for every embedded company from its own nearest blocks, so none can crowd another out."""
-    docs = catalog.docs.where("is_embedded").select("ticker", display_name(F.col("company_name"), F.col("ticker")).alias("name")).orderBy("ticker").collect()  # the corpus's companies
+    """One verdict for every embedded company from its own nearest blocks, so none can crowd another out; SURVEY_AT_ONCE verdicts at a time.
+
+    The blocks a company is judged by are masked, and claims are cleaned and withheld from, as in an answer about one company.
+    """
+    spark = catalog.docs.sparkSession
+    docs = catalog.docs.where("is_embedded").select("ticker", display_name(F.col("company_name"), F.col("ticker")).alias("name")).orderBy("ticker").collect()  # the answer names every company
     primary = F.col("source_section").isin(*retrieval.POLICY[task.intent.value])
     other = retrieval.FALLBACKS.get(task.intent.value, ())
-    rows = retrieval.with_fallback(catalog.docs.select(F.col("ticker").alias("source_ticker")), catalog.chunks, primary, F.col("source_section").isin(*other) if other else F.lit(False), "source_ticker")
-    near = retrieval.nearest_each(rows, catalog.embed(task.question), SURVEY_K, "source_ticker", key="chunk_index").orderBy("source_ticker", "rank").collect()
+    rows = retrieval.with_fallback(catalog.docs.where("is_embedded").select(F.col("ticker").alias("source_ticker")), catalog.chunks, primary, F.col("source_section").isin(*other) if other else F.lit(False), "source_ticker")
+    near = retrieval.nearest_each(rows, catalog.embed(task.question), SURVEY_K, "source_ticker", key="chunk_index")
+    targets = guard_targets(catalog)
     by: dict[str, list] = {}
-    for b in near:
-        by.setdefault(b.source_ticker, []).append(b)
+    for b in masked_blocks(near, targets).select("source_ticker", "source_year", "source_section", "chunk_index", "text", "withheld", "rank", "fallback_used").orderBy("source_ticker", "rank").toLocalIterator():
+        by.setdefault(b.source_ticker, []).append(b)  # SURVEY_K a company
+    if not by:
+        reason = "section_absent" if docs else "failed"
+        return Outcome(task, Status.REFUSED if docs else Status.FAILED, render.narrative_refusal(reason, "the companies in this corpus", retrieval.POLICY[task.intent.value]), reason)
+    with ThreadPoolExecutor(SURVEY_AT_ONCE) as pool:
+        verdicts = dict(zip(by, pool.map(lambda blocks: _judged(task.question, blocks, catalog.generate), by.values()), strict=True))
+    shown, gone = _answered([(t, claim, held) for t, (status, claim, held, _) in verdicts.items() if status == "supported"], targets, spark)
+    claims = {t: (claim, [_source(b) for b in held]) for t, claim, held in shown}
     findings = []
     for d in docs:
-        blocks = by.get(d.ticker, [])
-        f = {"ticker": d.ticker, "name": d.name, "status": "not_searchable", "claim": "", "sources": []}
-        if blocks:
-            try:
-                verdict, drafts = catalog.generate(task.question, [f"[{b.rank}] {b.text}" for b in blocks])
-                cites = [blocks[n - 1] for n in (drafts[0][1] if drafts else []) if 1 <= n <= len(blocks)]
-                ok = verdict == "answered" and bool(cites)
-                f |= {"status": "supported" if ok else "not_found", "claim": drafts[0][0] if ok else "", "sources": [(b.source_ticker, b.source_year, b.source_section, b.chunk_index) for b in cites] if ok else []}
-            except Exception:  # noqa: BLE001  one company's failure is a finding, not the survey's end
-                f["status"] = "failed"
-            if blocks[0].fallback_used:
-                f |= {"fallback_from": retrieval.POLICY[task.intent.value], "searched": other}
+        status = verdicts[d.ticker][0] if d.ticker in by else "not_searchable"
+        claim, sources = claims.get(d.ticker, ("", []))
+        f = {"ticker": d.ticker, "name": d.name, "status": status, "claim": claim, "sources": sources}
+        if d.ticker in by and by[d.ticker][0].fallback_used:
+            f |= {"fallback_from": retrieval.POLICY[task.intent.value], "searched": other}
         findings.append(f)
-    return Outcome(task, Status.SUCCESS, "", None, findings=findings)
+    masked, invalid = sum(b.withheld for blocks in by.values() for b in blocks), sum(v[3] for v in verdicts.values())
+    return Outcome(task, Status.SUCCESS, "", None, findings=findings, withheld=gone, masked=masked, invalid=invalid)
 
 
 def run_task(task: Task, catalog: Catalog) -> Outcome:
@@ -198,11 +248,23 @@ def assemble(plan: QueryPlan, outcomes: list[Outcome], name: Callable[[str], str
     return text + ("\n\nSources:\n" + "\n".join(citations.listed(name)) if citations.numbers else ""), statuses
 
 
+# The reasons a refusal may give.
+REASONS = (
+    "non_corpus_company", "company_not_embedded", "company_not_extracted", "year_not_held", "ambiguous_company", "no_company_mention",
+    "section_absent", "not_addressed", "figure_requested", "uncited", "threshold_unparsed", "sql_not_runnable",
+)
+
+
 def refusal_reason(o: Outcome) -> str | None:
-    """The one typed reason of a refused task."""
+    """The one typed reason of a refused task; none for an answer, a failure, or a narrative refusal of no known kind."""
     if o.status is not Status.REFUSED:
         return None
-    return o.failure or ("threshold_unparsed" if o.task.intent is Intent.FINANCIAL_FILTER else "sql_not_runnable")
+    own = o.failure.value if isinstance(o.failure, Unresolved) else o.failure
+    if own in REASONS:
+        return own
+    if o.task.tool is not Tool.SQL:
+        return None
+    return "threshold_unparsed" if o.task.intent is Intent.FINANCIAL_FILTER else "sql_not_runnable"
 
 
 def nothing_answered(statuses: list[Status]) -> bool:

@@ -169,7 +169,50 @@ def test_narrative_with_fallback_masking_and_citations(spark, store):
     assert "Rates may rise, with [figure withheld] of sales. [1]" in text and "No source" not in text and render.WITHHELD_NOTE in text and "[1] AAPL, FY2021, Risk Factors (Item 1A), chunk 0" in text
     survey = single(intent=Intent.MARKET_RISK, question="Which companies flag rate risk?")
     text, _ = executor.assemble(survey, executor.execute(survey, c))
-    assert "- Apple Inc. (AAPL):" in text and "Section not captured in this corpus: BAC, GS, INTC" in text and "was searched instead: AAPL" in text
+    assert "[1] Rates may rise; sales of [figure withheld]." in [blocks[0] for blocks in seen[1:]] and not any("365.8" in b for blocks in seen for b in blocks)
+    assert "- Apple Inc. (AAPL): Rates may rise, with [figure withheld] of sales. [1]" in text and render.WITHHELD_NOTE in text and "Section not captured in this corpus: BAC, GS, INTC" in text and "was searched instead: AAPL" in text
+
+
+def test_survey_counts_caps_and_downgrades(spark, store, monkeypatch):
+    """Verdicts run a bounded number at a time; a fault is a finding, an uncited yes is none; what is masked, withheld and invalid is counted."""
+    import threading
+    import time
+
+    docs, records = store
+    rows = [(t, "Item 1A", 2021, 0, f"{t} speaks of risk and $365.8 billion.", [1.0, 0.0]) for t in ("AAPL", "JPM", "BAC", "GS", "INTC")]
+    chunks = spark.createDataFrame(rows, "source_ticker string, source_section string, source_year int, chunk_index int, text string, embedding array<double>")
+    lock, now, peak = threading.Lock(), [0], [0]
+
+    def generate(question, blocks):
+        with lock:
+            now[0] += 1
+            peak[0] = max(peak[0], now[0])
+        time.sleep(0.05)
+        with lock:
+            now[0] -= 1
+        if "JPM" in blocks[0]:
+            raise RuntimeError("boom")
+        return "answered", [("Risk of $365.8 billion [1].", [1, 4] if "AAPL" in blocks[0] else [8])]
+
+    monkeypatch.setattr(executor, "SURVEY_AT_ONCE", 2)
+    c = executor.Catalog(docs, records, chunks, lambda q: [1.0, 0.0], generate)
+    (o,) = executor.execute(single(intent=Intent.RISK_FACTORS, question="Who names risks?"), c)
+    by = {f["ticker"]: f for f in o.findings}
+    assert by["AAPL"]["status"] == "supported" and by["AAPL"]["claim"] == "Risk of [figure withheld]." and by["JPM"]["status"] == "failed"
+    assert {by[t]["status"] for t in by if t not in ("AAPL", "JPM")} <= {"not_found", "not_searchable"} and peak[0] == 2
+    assert (o.masked, o.withheld, o.invalid) == (1, 1, 1 + sum(f["status"] == "not_found" for f in o.findings))
+    none = executor.Catalog(docs, records, chunks.limit(0), lambda q: [1.0, 0.0], generate)
+    (o,) = executor.execute(single(intent=Intent.RISK_FACTORS, question="Who names risks?"), none)
+    assert (o.status, executor.refusal_reason(o)) == (Status.REFUSED, "section_absent")
+
+
+def test_refusal_reasons():
+    figure, words = Task("a", Intent.FINANCIAL_FILTER, metric=Metric.NET_INCOME, comparison=Comparison.GT, threshold_text="x"), Task("a", Intent.STRATEGY, question="?")
+    ranked = Task("a", Intent.FINANCIAL_RANKING, metric=Metric.NET_INCOME, direction=Direction.HIGHEST)
+    reason = lambda t, f, s=Status.REFUSED: executor.refusal_reason(executor.Outcome(t, s, "", f))
+    for known in executor.REASONS:
+        assert reason(words, known) == known
+    assert (reason(figure, None), reason(ranked, None), reason(words, "failed"), reason(words, "uncited", Status.FAILED)) == ("threshold_unparsed", "sql_not_runnable", None, None)
 
 
 def test_plan_shapes_are_checked():

@@ -70,21 +70,28 @@ def test_capped_recall(spark):
     assert none.hit is None and none.recall is None and none.precision == 0
 
 
-def test_withheld_figures():
+def test_withheld_figures(spark):
+    figure = "[figure withheld]"
     targets = [365817e6, 94680e6]
-    assert guards.withhold("Sales of $365.8 billion", targets) == ("Sales of [figure withheld]", 1)
-    assert guards.withhold("Sales of 274.5 billion", targets) == ("Sales of 274.5 billion", 0)
-    assert guards.withhold("Total net sales$365,817 33 %$274,515 6 %", targets) == ("Total net sales$[figure withheld] 33 %$274,515 6 %", 1)
-    assert guards.withhold("154,000 employees", targets) == ("154,000 employees", 0)
-    assert guards.withhold("Net income (94,680)", targets) == ("Net income ([figure withheld])", 1)
-    assert guards.withhold("FY2021 and 27", [2021e6]) == ("FY2021 and 27", 0)
-    assert guards.withhold("any $1", []) == ("any $1", 0) and guards.withhold(None, targets) == (None, 0)
+    cases = [
+        ("Sales of $365.8 billion", targets, f"Sales of {figure}", 1), ("Sales of 274.5 billion", targets, "Sales of 274.5 billion", 0),
+        ("Total net sales$365,817 33 %$274,515 6 %", targets, f"Total net sales${figure} 33 %$274,515 6 %", 1), ("154,000 employees", targets, "154,000 employees", 0),
+        ("Net income (94,680)", targets, f"Net income ({figure})", 1), ("FY2021 and 27", [2021e6], "FY2021 and 27", 0), ("any $1", [], "any $1", 0), (None, targets, None, 0), ("$1 of 5", None, "$1 of 5", 0),
+        ("94.68 Billions, $ 94,680 million; 1.94,680 x94,680", targets, f"{figure}, {figure}; 1.94,680 x94,680", 2), ("$365,817", targets, figure, 1), ("", targets, "", 0),
+        ("é94,680 and _94,680 but -94,680", targets, f"é94,680 and _94,680 but -{figure}", 1), ("94680 is plain; $94680 is not", targets, f"94680 is plain; {figure} is not", 1),
+    ]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x, _, _) in enumerate(cases)], "i int, t string, x array<double>")
+    got = df.select("i", guards.withheld(F.col("t"), F.col("x")).alias("w")).orderBy("i").collect()
+    assert [(r.w.text, r.w.withheld) for r in got] == [(said, n) for _, _, said, n in cases]
 
 
 def test_citations_and_overlap(spark):
     claims = spark.createDataFrame([(1, [2, 2, 9, 1]), (2, [8]), (3, [])], "claim_id int, cites array<int>")
     blocks = spark.createDataFrame([(1,), (2,)], "rank int")
     assert {r.claim_id: (r.valid, r.invalid) for r in joins.cited(claims, blocks).collect()} == {1: ([2, 1], 1), 2: ([], 1)}
+    many = claims.select(F.lit("x").alias("a"), "claim_id", "cites").unionByName(claims.select(F.lit("y").alias("a"), "claim_id", "cites"))
+    own = spark.createDataFrame([("x", 1), ("x", 2), ("y", 8)], "a string, rank int")
+    assert {(r.a, r.claim_id): (r.valid, r.invalid) for r in joins.cited(many, own, ("a",)).collect()} == {("x", 1): ([2, 1], 1), ("x", 2): ([], 1), ("y", 1): ([], 3), ("y", 2): ([8], 0)}
     long = "".join(chr(97 + i % 26) + str(i) for i in range(400))
     df = spark.createDataFrame([(long, "zz" + long + "yy"), (long, long[::-1]), ("ab", "ab")], "a string, b string")
     assert [r[0] for r in df.select(joins.overlaps(F.col("a"), F.col("b"))).collect()] == [True, False, False]

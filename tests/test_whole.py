@@ -72,12 +72,3 @@ def test_short_passages_are_found_by_the_exact_test(spark):
     assert sorted(map(tuple, joins.contained_passages(p, t).collect())) == whole
     short = joins.contained_passages(p.where("passage_id = 1"), t)
     assert sorted(map(tuple, short.collect())) == [(1, 1), (1, 2)]
-
-
-def test_a_lone_group_is_held_against_its_bound(spark):
-    from tessera.llm import packing
-
-    for lengths, used, bound in (([6, 5, 4, 3, 2], 2, 2), ([6, 6, 6, 3], 3, 3), ([4, 4, 4], 2, 2), ([4, 4, 3, 3, 3, 3], 3, 2)):
-        rows = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
-        packed = packing.pack(rows, 10).join(rows, "row")
-        assert packing.certificate(packed, 10) == (used, bound) and packing.lower_bound(np.array(lengths), 10) == bound
