@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +61,14 @@ def group_summary(scores: DataFrame, group: str) -> DataFrame:
     """
     per_question = scores.groupBy(group, "question").agg(F.avg(F.col("strict").cast("double")).alias("s"), F.avg(F.col("lenient").cast("double")).alias("l"), (F.countDistinct("signature") > 1).alias("plan_varied"), (F.countDistinct("strict") > 1).alias("score_varied"))
     out = per_question.groupBy(group).agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("l").alias("l"), F.count_if("plan_varied").alias("plan_varied"), F.count_if("score_varied").alias("score_varied"))
-    ci = stats.wilson(F.col("s"), F.col("n"))
-    return out.select(group, "n", (F.col("s") / F.col("n")).alias("strict_mean"), (F.col("l") / F.col("n")).alias("lenient_mean"), ci["low"].alias("strict_low"), ci["high"].alias("strict_high"), "plan_varied", "score_varied")
+    ci, lenient = stats.wilson(F.col("s"), F.col("n")), stats.wilson(F.col("l"), F.col("n"))
+    intervals = ci["low"].alias("strict_low"), ci["high"].alias("strict_high"), lenient["low"].alias("lenient_low"), lenient["high"].alias("lenient_high")
+    return out.select(group, "n", (F.col("s") / F.col("n")).alias("strict_mean"), (F.col("l") / F.col("n")).alias("lenient_mean"), *intervals, "plan_varied", "score_varied")
+
+
+def run_counts(scores: DataFrame, group: str) -> DataFrame:
+    """How many questions of a group each run got right, strictly and leniently: a row for each group and run."""
+    return scores.groupBy(group, "run").agg(F.count_if("strict").alias("strict"), F.count_if("lenient").alias("lenient"))
 
 
 def multisets(tasks: DataFrame, by: str, key: Column) -> DataFrame:
@@ -211,6 +220,36 @@ def judged_sources(claims_: DataFrame, chunks: DataFrame) -> DataFrame:
     return each.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))), lambda x: x["text"]).alias("texts"), F.count_if(F.col("text").isNull()).alias("missing"))
 
 
+def judgements(claims_: DataFrame, judge: Callable[[str, list[str], int], tuple[str, str]], runs: int) -> DataFrame:
+    """Each claim judged `runs` times: item, run, verdict, span, span_found, error. A call that fails, or a claim with a missing source, has no verdict and an error.
+
+    claims_: item, claim, texts, missing (as judged_sources gives them). judge: from claim, texts and run to a verdict and its quoted span.
+    """
+    rows = claims_.select("item", "claim", "texts", "missing", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+
+    def one(claim: str, texts: list[str], missing: int, run: int) -> tuple[str | None, str | None, str | None]:
+        try:
+            if missing:
+                raise LookupError(f"{missing} cited sources are missing")
+            return (*judge(claim, list(texts), run), None)
+        except Exception as e:  # noqa: BLE001  one call's failure is counted, not raised
+            return None, None, f"{type(e).__name__}: {e}"
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = [one(*x) for x in zip(f["claim"], f["texts"], f["missing"], f["run"], strict=True)]
+            yield f[["item", "run", "excerpts"]].assign(verdict=[x[0] for x in said], span=[x[1] for x in said], error=[x[2] for x in said])
+
+    out = rows.withColumn("excerpts", F.array_join("texts", "\n\n")).mapInPandas(call, "item string, run int, excerpts string, verdict string, span string, error string")
+    return out.withColumn("span_found", span_found(F.col("verdict"), F.col("span"), F.col("excerpts"))).drop("excerpts")
+
+
+def settled(judged: DataFrame) -> DataFrame:
+    """The majority over a claim's runs, whether its verdict changed, and how many calls failed."""
+    flags = judged.withColumn("yes", F.col("verdict") == "supported")
+    return majority(flags, "item", "yes").join(judged.groupBy("item").agg(F.count_if(F.col("error").isNotNull()).alias("failed")), "item")
+
+
 def against_key(records: DataFrame, truth: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """A scored row for each record and field against the answer key (cik, fiscal_year); records the key lacks score n_a."""
     t = truth.select("cik", "fiscal_year", *(F.col(f).alias(f"_t_{f}") for f in fields))

@@ -17,7 +17,7 @@ COMPARE = {Comparison.GT: Column.__gt__, Comparison.GTE: Column.__ge__, Comparis
 
 def metric_rows(current: DataFrame, metric: Metric) -> DataFrame:
     """A row for each company's current record: name, ticker, year, period end, value and quality."""
-    rows = quality.assessed(current).where(F.col("metric") == Metric(metric).value)
+    rows = quality.assessed(current, Metric(metric).value)
     return rows.select(F.col("id").alias("document_id"), display_name(F.col("company_name"), F.col("ticker")).alias("company_name"), "ticker", F.col("filing_year").alias("fiscal_year"), "fiscal_year_end", "value", "verdict", "reason", "suspected_value")
 
 

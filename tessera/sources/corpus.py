@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cache_key, display_name
-from ..operators import quality
+from ..operators import quality, reads
 from ..schemas import METRICS, NARRATIVE
 
 EXPORT_COLUMNS = (
@@ -53,6 +56,29 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], usable: Column | Non
     return tagged.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_src")
 
 
+class Rejected(ValueError):
+    """Rows that a table must not take."""
+
+
+def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with new appended. Raises, before anything is written, if a key is held already or comes twice."""
+    again = reads.duplicate_keys(new, keys).select(*keys).unionByName(new.join(old.select(*keys), keys, "left_semi").select(*keys))
+    if (first := again.first()) is not None:
+        raise Rejected(f"a document with {first.asDict()} exists")
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def appended_attempts(docs: DataFrame, records: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and attempts after new attempts: the flag is derived from the attempts returned with it, so the two cannot disagree.
+
+    Fields that attempts do not have are dropped; an attempt without its document raises.
+    """
+    if (orphan := new.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_anti").first()) is not None:
+        raise Rejected(f"no document with id {orphan.document_id}")
+    records = records.unionByName(new.select(*(c for c in new.columns if c in records.columns)), allowMissingColumns=True)
+    return reads.with_derived_flag(docs, records), records
+
+
 def write_status(old: DataFrame, new: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Each key's status by content hash: new, changed, unchanged, or kept where nothing new came."""
     o = old.select(*keys, F.sha2(F.col(content), 256).alias("_o"))
@@ -92,6 +118,43 @@ def cached_or_missing(requests: DataFrame, cache: DataFrame, parts: list[str]) -
     return keyed.join(usable, "cache_key"), keyed.join(usable.select("cache_key"), "cache_key", "left_anti")
 
 
+def cache_entries(results: DataFrame, cache: DataFrame, parts: list[str]) -> DataFrame:
+    """What results (parts, extraction_status, response) add to the cache: cache_key, response and whether it failed validation.
+
+    A call that never completed (technical_failed) is not kept, so it is made again; an answer that failed validation is kept, so it is
+    not paid for again. Usable entries stay as they are.
+    """
+    keyed = results.where(F.col("extraction_status") != "technical_failed").select(cache_key(*(F.col(p) for p in parts)).alias("cache_key"), F.coalesce("response", F.lit("")).alias("response"), (F.col("extraction_status") == "extraction_failed").alias("invalid"))
+    fresh = keyed.groupBy("cache_key").agg(F.min(F.struct("invalid", "response")).alias("e")).select("cache_key", "e.response", "e.invalid")
+    return fresh.join(cache.where(F.col("response").isNotNull()).select("cache_key"), "cache_key", "left_anti")
+
+
+def fetched(wanted: DataFrame, fetch: Callable[[dict], str]) -> DataFrame:
+    """wanted with the text that `fetch` gives for each row, or the error that kept it; one row's failure leaves the others."""
+    columns = wanted.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            text, error = [], []
+            for row in f.to_dict("records"):
+                try:
+                    text.append(fetch({c: row[c] for c in columns}))
+                    error.append(None)
+                except Exception as e:  # noqa: BLE001  kept beside the row
+                    text.append(None)
+                    error.append(f"{type(e).__name__}: {e}")
+            yield f.assign(text=text, error=error)
+
+    return wanted.mapInPandas(run, T.StructType([*wanted.schema.fields, T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+def persisted(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Writes fetched texts by key, replacing only the keys that occur, and gives a row for each with whether it was kept."""
+    stored = rows.where(F.col("error").isNull()).select("text", *keys)
+    replace_partitions(stored, path, keys)
+    return rows.select(*keys, F.when(F.col("error").isNull(), "kept").otherwise("failed").alias("status"), "error")
+
+
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Writes rows partitioned by keys, replacing only the partitions that occur (delete, then insert)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

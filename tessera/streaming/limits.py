@@ -21,59 +21,58 @@ WINDOW = 60.0
 SCHEMA = "client string, request_id bigint, at double, admitted boolean, retry_after int"
 
 
+def seconds_to_wait(times: deque, now: float, per_window: int, window: float = WINDOW) -> int:
+    """0 if a request is admitted now, and its time is kept; else the whole seconds until one would be. Times out of the window are forgotten."""
+    while times and now - times[0] >= window:
+        times.popleft()
+    if len(times) < per_window:
+        times.append(now)
+        return 0
+    return max(1, math.ceil(window - (now - times[0])))
+
+
 @dataclass
 class Limiter:
-    """The sequential rule itself: per-client window first, then the budget; a refusal counts against neither."""
+    """The rule for a service, one request at a time: a refusal by either limit counts against neither."""
 
     per_window: int | None = None
     daily_budget: int | None = None
     window: float = WINDOW
     recent: dict[str, deque] = field(default_factory=dict)
-    day: object = None
-    used: int = 0
+    counted: dict[object, int] = field(default_factory=dict)
     swept: float = -math.inf
 
     def check(self, client: str, now: float, day: object = None, to_midnight: float = 86400.0) -> tuple[bool, int, str | None]:
         """(admitted, seconds to retry after, which limit refused)."""
-        if day != self.day:
-            self.day, self.used = day, 0
-        if now - self.swept >= self.window:
-            for c in [c for c, q in self.recent.items() if not q or now - q[-1] >= self.window]:
-                del self.recent[c]
-            self.swept = now
-        q = self.recent.setdefault(client, deque())
-        if self.per_window is not None:
-            while q and now - q[0] >= self.window:
-                q.popleft()
-            if len(q) >= self.per_window:
-                return False, max(1, math.ceil(self.window - (now - q[0]))), "window"
-        if self.daily_budget is not None and self.used >= self.daily_budget:
+        if now - self.swept >= self.window:  # clients that have been idle for a window are forgotten
+            self.recent, self.swept = {c: t for c, t in self.recent.items() if t and now - t[-1] < self.window}, now
+        self.counted = {day: self.counted.get(day, 0)}
+        times = self.recent.setdefault(client, deque())
+        if self.per_window is not None and (wait := seconds_to_wait(times, now, self.per_window, self.window)):
+            return False, wait, "window"
+        if self.daily_budget is not None and self.counted[day] >= self.daily_budget:
+            if self.per_window is not None:
+                times.pop()  # the budget refused what the window had let through
             return False, max(1, math.ceil(to_midnight)), "budget"
-        q.append(now)
-        self.used += 1
+        self.counted[day] += 1
         return True, 0, None
 
 
 def admitted(requests: DataFrame, per_window: int, window: float = WINDOW) -> DataFrame:
-    """Which requests a per-client sliding window admits. requests: client, request_id, at (seconds)."""
+    """Which requests a per-client sliding window admits. requests: client, request_id, at (seconds).
+
+    A client's requests are walked in one task, as each decision needs those before it; state is the admitted times of one window.
+    """
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, q = None, deque()  # rows come client by client, in order of time
         for f in frames:
-            ok, wait = [], []
+            wait = []
             for c, t in zip(f["client"], f["at"], strict=True):
                 if c != client:
                     client, q = c, deque()
-                while q and t - q[0] >= window:
-                    q.popleft()
-                if len(q) >= per_window:
-                    ok.append(False)
-                    wait.append(max(1, math.ceil(window - (t - q[0]))))
-                else:
-                    q.append(t)
-                    ok.append(True)
-                    wait.append(0)
-            yield f.assign(admitted=ok, retry_after=wait)
+                wait.append(seconds_to_wait(q, t, per_window, window))
+            yield f.assign(admitted=[w == 0 for w in wait], retry_after=wait)
 
     ordered = requests.select(F.col("client").cast("string").alias("client"), "request_id", F.col("at").cast("double").alias("at")).repartition("client").sortWithinPartitions("client", "at", "request_id")
     return ordered.mapInPandas(walk, SCHEMA)
@@ -112,17 +111,10 @@ def admitted_stream(requests: DataFrame, per_window: int, window: float = WINDOW
         q = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         at = rows["ts"].astype("int64").to_numpy() / (1e9 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1e6)
-        ok, wait = [], []
-        for t in at.tolist():
-            while q and t - q[0] >= window:
-                q.popleft()
-            ok.append(len(q) < per_window)
-            wait.append(0 if ok[-1] else max(1, math.ceil(window - (t - q[0]))))
-            if ok[-1]:
-                q.append(t)
+        wait = [seconds_to_wait(q, t, per_window, window) for t in at.tolist()]
         state.update((list(q),))
         state.setTimeoutDuration(int(window * 1000))
-        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "at": at, "admitted": ok, "retry_after": wait})
+        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "at": at, "admitted": [w == 0 for w in wait], "retry_after": wait})
 
     return requests.groupBy("client").applyInPandasWithState(step, SCHEMA, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 

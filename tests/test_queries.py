@@ -8,11 +8,11 @@ import pytest
 
 import __spark_entry__
 from tessera.operators import figures, reads
-from tessera.queries import corpus, evaluation, frames
+from tessera.queries import corpus, evaluation, fixed, frames
 from tessera.schemas import Direction, Metric
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = corpus.QUERIES | evaluation.QUERIES, corpus.ORACLE_SQL | evaluation.ORACLE_SQL
+QUERIES, SQL = corpus.QUERIES | evaluation.QUERIES | fixed.QUERIES, corpus.ORACLE_SQL | evaluation.ORACLE_SQL | fixed.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 

@@ -46,8 +46,10 @@ def test_extraction_keeps_evidence(spark):
     one = got[1]
     assert (one.total_revenue, one.net_income, one.total_assets, one.total_liabilities) == (365817e6, 94680e6, 351002e6, None)
     assert one.net_income_source_line == "Net income $94,680" and one.net_income_evidence_present and one.net_income_evidence_consistent and one.total_liabilities_evidence_present is None
-    assert [got[i].extraction_status for i in (1, 2, 3)] == ["success", "failed", "failed"] and json.loads(one.evidence_json)["net_income"]["value"] == 94680e6
-    values = extraction.extracted(docs).select("document_id", extraction.plain_figures(extraction.evidence_map()).alias("v"))
+    assert [got[i].extraction_status for i in (1, 2, 3)] == ["success", "extraction_failed", "technical_failed"] and json.loads(one.evidence_json)["net_income"]["value"] == 94680e6
+    with pytest.raises(KeyError):
+        extraction.extracted(docs, "S9")
+    values = extraction.extracted(docs).where("document_id = 1").select("document_id", extraction.plain_figures(extraction.evidence_map()).alias("v"))
     assert set(values.first().v) == set(METRICS)
 
 
