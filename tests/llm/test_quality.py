@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm import quality
 from tests.llm.conftest import awkward_rows
@@ -59,6 +60,54 @@ def test_forest_walk_equals_rules():
     assert len(f.roots) == 120 and (f.left[f.feature >= 0] > 0).all()
 
 
+def test_splits_and_leaves_equal_a_search_over_all():
+    """Every node's split has the highest gain of all features and cuts, leaves have the regularised step, and the flat walk is the recursive one."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(150, 3)), 2)
+    y = (x[:, 0] + 0.5 * x[:, 2] + 0.3 * rng.normal(size=150) > 0).astype(float)
+    rate, bins, l2, least = 0.1, 16, 1.0, 8
+    f = quality.fit(x, y, trees=3, depth=3, rate=rate, bins=bins, l2=l2, least=least)
+    cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(3)]
+    raw = np.full(len(y), f.base)
+    for root in f.roots:
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        out = np.zeros(len(y))
+
+        def grow(node, rows, depth):
+            score = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)  # noqa: E731, B023
+            gains = {}
+            for k in range(3):
+                for c in cuts[k]:
+                    left, right = rows[x[rows, k] <= c], rows[x[rows, k] > c]
+                    if min(len(left), len(right)) >= least:
+                        gains[k, float(c)] = score(left) + score(right) - score(rows)
+            if f.feature[node] < 0:
+                assert depth == 3 or not gains or max(gains.values()) <= 1e-6 + 1e-9
+                assert np.isclose(f.value[node], -rate * g[rows].sum() / (h[rows].sum() + l2))  # noqa: B023
+                out[rows] = f.value[node]  # noqa: B023
+                return
+            assert np.isclose(gains[int(f.feature[node]), float(f.limit[node])], max(gains.values()))
+            goes = x[rows, f.feature[node]] > f.limit[node]
+            grow(f.left[node], rows[~goes], depth + 1)
+            grow(f.left[node] + 1, rows[goes], depth + 1)
+
+        grow(root, np.arange(len(y)), 0)
+        raw += out
+    assert np.allclose(f.scores(x), 1 / (1 + np.exp(-raw)))
+
+
+def test_repeated_labelled_ids_stay_within_the_bound(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([(i % 4, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    sizes, whole = [], quality.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "fit", lambda x, y: sizes.append(len(x)) or whole(x, y))
+        quality.train(docs, labels, max_rows=10)
+    assert sizes == [10]
+
+
 def test_statistics_do_not_depend_on_the_batch():
     texts = [r[1] for r in awkward_rows()]
     whole = quality.batch_statistics(pa.array(texts, pa.string()))
