@@ -13,7 +13,6 @@ and renames, so a task that runs again leaves whole files only.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from .ranges import id_ranges
 from .tokenizer import word_tokenizer
 from .units import portions
 
-FILE_BYTES, LEAST_FILE = 64 << 20, 1 << 20
+FILE_BYTES, LEAST_FILE, READ_DOCS = 64 << 20, 1 << 20, 10_000
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
@@ -108,12 +107,23 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     return manifest
 
 
-def mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """A file's integers: by memory map where the store is a file system of this machine."""
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    with store.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), kind)
+class Mapped:
+    """A file's integers by slices: a memory map where the store is a file system of this machine, else reads of the bytes asked for."""
+
+    def __init__(self, store: fs.FileSystem, path: str, kind: str) -> None:
+        self.kind, self.size = np.dtype(kind), store.get_file_info(path).size // np.dtype(kind).itemsize
+        local = isinstance(store, fs.LocalFileSystem)
+        self.map = np.memmap(path, kind, "r") if local and self.size else None
+        self.file = None if local else store.open_input_file(path)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        a, b, _ = at.indices(self.size)
+        if self.file is None:
+            return np.zeros(0, self.kind) if self.map is None else self.map[a:b]
+        return np.frombuffer(self.file.read_at((b - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,11 +136,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
             for x in b.to_pylist():
-                ids, offsets, docs = mapped(store, f"{root}/{x['file']}.bin", f"<u{x['width']}"), mapped(store, f"{root}/{x['file']}.off", "<i8"), mapped(store, f"{root}/{x['file']}.ids", "<i8")
-                for a in range(0, len(docs), 10_000):
-                    at = offsets[a : a + 10_001]
-                    crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([id_column(np.array(docs[a : a + 10_000], np.int64)), pa.array(at[:-1] + x["token_base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ids, offsets, docs = (Mapped(store, f"{root}/{x['file']}.{suffix}", kind) for suffix, kind in (("bin", f"<u{x['width']}"), ("off", "<i8"), ("ids", "<i8")))
+                for a in range(0, len(docs), READ_DOCS):
+                    at = offsets[a : a + READ_DOCS + 1]
+                    own = ids[int(at[0]) : int(at[-1])]
+                    crc = [zlib.crc32(own[s:e].astype("<u4").tobytes()) for s, e in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([id_column(np.array(docs[a : a + READ_DOCS], np.int64)), pa.array(at[:-1] + x["token_base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame([(m["file"], m["token_base"], m["width"]) for m in manifest], "file string, token_base long, width int")
     return files.repartition(max(1, len(manifest))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -88,6 +88,18 @@ def test_token_files_hold_everything_in_order(spark, awkward, tmp_path, monkeypa
     assert not list(tmp_path.glob("files/.0*"))
 
 
+def test_files_in_another_store_are_read_by_ranges(tmp_path):
+    from pyarrow import fs
+
+    values = np.arange(1000, dtype="<u2")
+    (tmp_path / "x.bin").write_bytes(values.tobytes())
+    (tmp_path / "none.bin").write_bytes(b"")
+    for store, root in ((fs.LocalFileSystem(), tmp_path), (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "")):
+        m = token_files.Mapped(store, f"{root}/x.bin".lstrip("/") if root == "" else f"{root}/x.bin", "<u2")
+        assert len(m) == 1000 and (m[10:20] == values[10:20]).all() and (m[:] == values).all() and len(m[990:2000]) == 10
+        assert len(token_files.Mapped(store, "none.bin" if root == "" else f"{root}/none.bin", "<u2")[:]) == 0
+
+
 def test_no_rows_no_files(spark, empty, tmp_path):
     assert token_files.write_token_files(empty, f"file://{tmp_path}/none", WORD, 2) == []
     assert token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
