@@ -261,6 +261,21 @@ def _labelled(nodes: DataFrame, near: DataFrame) -> DataFrame:
     return nodes.join(near.select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
 
+def _joined(near: DataFrame, links_: DataFrame) -> DataFrame:
+    """Classes (a, b) after more links: only links between different classes are closed over, by the classes' roots."""
+    root = lambda side: near.select(F.col("a").alias(side), F.col("b").alias(f"{side}_root"))
+    ends = links_.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    across = written(ends.where("a != b").distinct(), "across")
+    if across.isEmpty():
+        discard(across)
+        return near
+    above = components(across)
+    moved = near.join(above.select(F.col("a").alias("b"), F.col("b").alias("top")), "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+    out = written(moved.unionByName(above), "classes")
+    discard(near, across, above)
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, text_hash and keeper of each row; one row of each class is its keeper. A stored table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -291,10 +306,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     want = written(held.select("band", "row").join(once, "band").withColumn("block", block).select("band", "row", F.explode(meets).alias("g")).select("band", "row", "g.i", "g.j"), "open")
     n_open = want.count()
     if n_open:
-        more = written(sure.unionByName(_met(want, texts, ("band", "i", "j"), n_open, _blocks(threshold))), "links")
-        discard(near)
-        near = components(more)
-        discard(more)
+        near = _joined(near, _met(want, texts, ("band", "i", "j"), n_open, _blocks(threshold)))
     discard(held, stars, texts, sure, want)
     labelled = _labelled(nodes.select("text_hash", "doc_id", "row"), near)
     heads = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"))
