@@ -78,11 +78,11 @@ class MetricResult:
 
 def run(docs: DataFrame, records: DataFrame, metric: Metric, document_id: int | None = None, direction: Direction | None = None, limit: int | None = None, comparison: Comparison | None = None, threshold: float | None = None) -> MetricResult:
     """One financial task: a lookup, a ranking or a filter, with its disclosures."""
-    rows = metric_rows(reads.current(docs, records), metric)
     if document_id is not None:
-        return MetricResult(lookup(rows, document_id), None, None)
+        return MetricResult(lookup(metric_rows(reads.current(docs, records), metric), document_id), None, None)
+    rows = metric_rows(reads.current(docs, records, "left"), metric)  # a document without a success has no value, so one read serves all parts
     shown = ranking(rows, direction, limit) if direction is not None else threshold_filter(rows, comparison, threshold)
-    excluded = excluded_null(rows, reads.without_success(docs, records)).orderBy("ticker")
+    excluded = rows.where(F.col("value").isNull()).select("document_id", "ticker", "company_name", "fiscal_year").orderBy("ticker")
     return MetricResult(shown, excluded, flagged_not_shown(rows, shown, comparison, threshold, direction, limit).orderBy("ticker"), threshold)
 
 

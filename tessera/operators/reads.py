@@ -14,11 +14,11 @@ def latest_success(records: DataFrame, key: str = "document_id", at: str = "extr
     return records.where(F.col("extraction_status") == SUCCESS).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def current(docs: DataFrame, records: DataFrame) -> DataFrame:
-    """Documents with their latest success (columns of the record under their own names, company_name and id from the document)."""
+def current(docs: DataFrame, records: DataFrame, how: str = "inner") -> DataFrame:
+    """Documents with their latest success (columns of the record under their own names, company_name and id from the document); with how="left" all documents."""
     latest = latest_success(records)
     own = [F.col(f"r.{c}").alias("record_id" if c == "id" else c) for c in latest.columns if c not in ("document_id", "company_name")]
-    return docs.alias("d").join(latest.alias("r"), F.col("d.id") == F.col("r.document_id")).select("d.*", *own)
+    return docs.alias("d").join(latest.alias("r"), F.col("d.id") == F.col("r.document_id"), how).select("d.*", *own)
 
 
 def without_success(docs: DataFrame, records: DataFrame) -> DataFrame:
