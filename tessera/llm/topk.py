@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .exchange import release
 
 QUERY_BLOCK, CANDIDATE_BLOCK, SHARD_BLOCKS = 1024, 32768, 8
-INNER_BLOCK, TOGETHER, TERMS = 2048, 64, 8
+INNER_BLOCK, MOST_INNER, TOGETHER, TERMS = 1024, 16384, 64, 8
 BLOCK = "block long, n int, dim int, width int, ids binary, rows binary"
 #: The largest double below the end of a long.
 MOST = float((1 << 63) - 1024)
@@ -128,11 +128,13 @@ def max_score(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
         return best, order, read
     kind = np.float32 if big < 1 << 24 else np.float64
     alike = np.argsort(np.abs(q).argmax(1), kind="stable")  # queries with one heaviest term lie together
-    for at in range(0, len(c), INNER_BLOCK):
-        part, part_ids = c[at : at + INNER_BLOCK].astype(kind), c_ids[at : at + INNER_BLOCK]
+    at, step = 0, INNER_BLOCK
+    while at < len(c):  # thresholds rise in the first, small blocks; later ones are larger
+        part, part_ids = c[at : at + step].astype(kind), c_ids[at : at + step]
         high, low = part.max(0).astype(np.float64), part.min(0).astype(np.float64)
         for a in range(0, len(q), TOGETHER):
             read += _together(q, q_ids, alike[a : a + TOGETHER], part, part_ids, high, low, at, best)
+        at, step = at + step, min(2 * step, MOST_INNER)
     return best, order, read
 
 
