@@ -31,7 +31,7 @@ from .arrowtext import BYTE_POWERS, BYTE_TABLE, SPACES, Texts, mix, prefix, span
 from .exchange import release
 from .units import PORTION, Codes, coded, gathered, portions, ranges
 
-CACHED, SHORT, DECODE = 150_000, 64, 1 << 17
+CACHED, SHORT, DECODE = 400_000, 32, 1 << 17
 
 
 class PerfectHash:
