@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ITEM_1, ITEM_1A, ITEM_7, ITEM_7A = "Item 1", "Item 1A", "Item 7", "Item 7A"
 # What a narrative question may search, where a label is stored otherwise, and what is searched in its absence.
@@ -24,6 +29,30 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64, text: str = "text") -> DataFrame:
+    """chunks with the vector of each text, from any function of a list of texts; it is called for at most `batch` texts at a time. Null texts are empty."""
+    columns = chunks.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), batch):
+                part = f.iloc[a : a + batch]
+                yield part.assign(embedding=embed(part[text].fillna("").tolist()))[[*columns, "embedding"]]
+
+    return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
+def hashed_words(texts: list[str], dim: int = 256) -> list[list[float]]:
+    """A stand-in for a model, for tests and use without a network: counts of words by a hash of each."""
+    out = []
+    for t in texts:
+        v = [0.0] * dim
+        for w in t.lower().split():
+            v[zlib.crc32(w.encode()) % dim] += 1.0
+        out.append(v)
+    return out
+
+
 def nearest(chunks: DataFrame, query: list[float], k: int, where: Column | None = None, key: str = "vec_id") -> DataFrame:
     """The k nearest chunks of those that pass the filter, fewer if there are fewer; ties by key."""
     if k < 1:

@@ -237,6 +237,22 @@ def a8_group_summary(s, d):
     return out.select("grp", "n", *(F.round(c, 9).alias(c) for c in ("strict_mean", "lenient_mean", "strict_low", "strict_high")), "plan_varied", "score_varied")
 
 
+def _routing(s, d):
+    """Events as scores: a question is a user, a run an hour of the day."""
+    return table(s, d, "events").select(F.col("event_type").alias("grp"), F.col("user_id").alias("question"), F.hour(F.col("ts").cast("timestamp_ntz")).alias("run"), (F.col("value") > 50).alias("strict"), (F.col("value") > 20).alias("lenient"), F.col("props").alias("signature"))
+
+
+@query("SELECT event_type AS grp, CAST(extract('hour' FROM ts) AS INT) AS run, count(*) FILTER (value > 50) AS strict, count(*) FILTER (value > 20) AS lenient FROM events GROUP BY 1, 2")
+def a8_run_counts(s, d):
+    return ev.run_counts(_routing(s, d), "grp")
+
+
+@query("WITH q AS (SELECT event_type, user_id, avg(CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS l FROM events GROUP BY 1, 2), g AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS n, sum(l) AS l FROM q GROUP BY 1) SELECT event_type AS grp, " + _WILSON.format(s="l", n="n", low="lenient_low", high="lenient_high") + " FROM g")
+def a8_lenient_interval(s, d):
+    out = ev.group_summary(_routing(s, d), "grp")
+    return out.select("grp", F.round("lenient_low", 9).alias("lenient_low"), F.round("lenient_high", 9).alias("lenient_high"))
+
+
 @query("WITH a AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS k FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1), b AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS k FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1) SELECT a.l_orderkey, a.k = b.k AS same FROM a JOIN b USING (l_orderkey)")
 def a9_multiset_match(s, d):
     li = table(s, d, "lineitem")

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, guards, joins, quality, sections
+from ..operators import evaluation, guards, joins, quality, retrieval, sections
 from ..plans import executor, planner, render
 from ..plans.tasks import QueryPlan, Task
 from ..schemas import Comparison, Direction, Intent, Metric, PlanType, Status
@@ -336,3 +336,140 @@ def t3_mentions(s, d):
     asked = ["apple", "AAPL", "Google", "Goldman Sachs", "bank", "Tesla", " ", "northern"]
     m = s.createDataFrame(list(enumerate(asked)), "mention_id int, mention string")
     return resolve.resolve_company(m, names).join(m, "mention_id").select("mention", "ticker", "failure")
+
+
+# plans, labels and gates
+
+def _error(f) -> str:
+    try:
+        f()
+    except Exception as e:  # noqa: BLE001  the message is what is asked for
+        return f"{type(e).__name__}: {e}"
+    return "accepted"
+
+
+@expects("name, accepted", ("total_revenue", True), ("operating_cash_flow", True), ("Total_Revenue", False), ("ticker", False), ("net_income; DROP TABLE docs", False))
+def r7_allowlist(s, d):
+    """Only the five figures are columns a query can be asked for."""
+    names = ["total_revenue", "operating_cash_flow", "Total_Revenue", "ticker", "net_income; DROP TABLE docs"]
+    return s.createDataFrame([(n, _error(lambda n=n: Metric(n)) == "accepted") for n in names], "name string, accepted boolean")
+
+
+@expects(
+    "i, said",
+    (0, "ValueError: a single plan has 1 to 1 tasks, not 0"), (1, "ValueError: a hybrid plan has 2 to 3 tasks, not 1"), (2, "ValueError: task ids must differ"), (3, "ValueError: an unsupported plan names its reason"),
+    (4, "ValueError: a clarification plan asks a question"), (5, "ValueError: financial_filter needs comparison"), (6, "ValueError: strategy needs question"), (7, "ValueError: the year must lie in 1990 to 2100"), (8, "ValueError: the limit must lie in 1 to 20"), (9, "accepted"),
+)
+def q9_plan_rules(s, d):
+    t = Task("a", Intent.FINANCIAL_METRIC, metric=Metric.NET_INCOME)
+    tries = [
+        lambda: QueryPlan(PlanType.SINGLE), lambda: QueryPlan(PlanType.HYBRID, (t,)), lambda: QueryPlan(PlanType.HYBRID, (t, t)), lambda: QueryPlan(PlanType.UNSUPPORTED), lambda: QueryPlan(PlanType.CLARIFICATION),
+        lambda: Task("a", Intent.FINANCIAL_FILTER, metric=Metric.NET_INCOME), lambda: Task("a", Intent.STRATEGY), lambda: Task("a", Intent.FINANCIAL_METRIC, metric=Metric.NET_INCOME, year=1980),
+        lambda: Task("a", Intent.FINANCIAL_RANKING, metric=Metric.NET_INCOME, direction=Direction.HIGHEST, limit=21), lambda: QueryPlan(PlanType.SINGLE, (t,)),
+    ]
+    return s.createDataFrame([(i, _error(f)) for i, f in enumerate(tries)], "i int, said string")
+
+
+@expects("intent, named, tool, corpus_wide, becomes", *((i, n, "sql" if i.startswith("financial") else "rag", not n if not i.startswith("financial") else i != "financial_metric", "financial_metric" if n and i.startswith("financial") else i) for i in ("financial_metric", "financial_ranking", "financial_filter", "strategy", "market_risk") for n in (True, False)))
+def p3_p4_p5_rewritten(s, d):
+    """The tool follows the intent; rankings and filters are corpus-wide, as are narratives that name nobody; one that names a company becomes its lookup."""
+    out = []
+    for intent in (Intent.FINANCIAL_METRIC, Intent.FINANCIAL_RANKING, Intent.FINANCIAL_FILTER, Intent.STRATEGY, Intent.MARKET_RISK):
+        for named in (True, False):
+            t = Task("a", intent, company_mention="Apple" if named else " ", metric=Metric.NET_INCOME, comparison=Comparison.GT, threshold_text="$1", direction=Direction.LOWEST, question="?")
+            out.append((intent.value, named, t.tool.value, t.corpus_wide, t.rewritten().intent.value))
+    return s.createDataFrame(out, "intent string, named boolean, tool string, corpus_wide boolean, becomes string")
+
+
+@expects(
+    "i, answer, statuses",
+    (0, "Why did Intel's margins fall? — The Business (Item 1) section of Intel's filing was not captured in this corpus, so this part can't be answered from the filing text.\n\nWhat was Tesla's net income? — I don't hold a filing for Tesla.\n\nApple Inc.'s net income for fiscal year 2021 was $94.68 billion.", "refused,refused,success"),
+    (1, f"Why? — {render.MISSING_PART}", "failed"), (2, render.OUT_OF_SCOPE, ""), (3, "Which company?", ""),
+    (4, "Growth. [1][2]\n\nMore. [2][3]\n\nSources:\n[1] <AAPL>, FY2021, Business (Item 1), chunk 4\n[2] <AAPL>, FY2021, Risk Factors (Item 1A), chunk 0\n[3] <INTC>, FY2022, Business (Item 1), chunk 4", "success,success"),
+)
+def s2_s3_p7_assembled(s, d):
+    """Plan order whatever came first, a missing outcome is reported, sources are numbered over the whole answer by first citation."""
+    why, what, sure = Task("a", Intent.STRATEGY, question="Why did Intel's margins fall?"), Task("b", Intent.FINANCIAL_METRIC, metric=Metric.NET_INCOME, question="What was Tesla's net income?"), Task("c", Intent.FINANCIAL_METRIC, metric=Metric.NET_INCOME)
+    refused = render.narrative_refusal("section_absent", "Intel", ("Item 1",))
+    three = [executor.Outcome(sure, Status.SUCCESS, "Apple Inc.'s net income for fiscal year 2021 was $94.68 billion."), executor.Outcome(why, Status.REFUSED, refused, "section_absent"), executor.Outcome(what, Status.REFUSED, "I don't hold a filing for Tesla.", "non_corpus_company")]
+    a, b, c = ("AAPL", 2021, "Item 1", 4), ("AAPL", 2021, "Item 1A", 0), ("INTC", 2022, "Item 1", 4)
+    lone = QueryPlan(PlanType.SINGLE, (Task("x", Intent.STRATEGY, question="Why?"),))
+    two = QueryPlan(PlanType.HYBRID, (Task("x", Intent.STRATEGY, question="Why?"), Task("y", Intent.STRATEGY, question="How?")))
+    cited = [executor.Outcome(two.tasks[1], Status.SUCCESS, "", claims=[("More.", [b, c, b])]), executor.Outcome(two.tasks[0], Status.SUCCESS, "", claims=[("Growth.", [a, b])])]
+    cases = [(QueryPlan(PlanType.HYBRID, (why, what, sure)), three), (lone, []), (QueryPlan(PlanType.OUT_OF_SCOPE), []), (QueryPlan(PlanType.CLARIFICATION, clarification_question="Which company?"), []), (two, cited)]
+    out = []
+    for i, (plan, outcomes) in enumerate(cases):
+        text, statuses = executor.assemble(plan, outcomes, lambda t: f"<{t}>")
+        out.append((i, text, ",".join(x.value for x in statuses)))
+    return s.createDataFrame(out, "i int, answer string, statuses string")
+
+
+@expects(
+    "reason, said",
+    ("section_absent", "The Business (Item 1) or Risk Factors (Item 1A) section of Intel's filing was not captured in this corpus, so this part can't be answered from the filing text."),
+    ("not_addressed", "The Business (Item 1) or Risk Factors (Item 1A) passages retrieved for Intel do not address this question."),
+    ("figure_requested", "Financial figures for Intel come from the structured data — ask for the metric directly, for example its total revenue or net income."),
+    ("uncited", "I couldn't produce an answer about Intel that is supported by cited passages."), ("failed", "I couldn't retrieve or read the narrative text for Intel just now."),
+)
+def n3_refusals(s, d):
+    reasons = ("section_absent", "not_addressed", "figure_requested", "uncited", "failed")
+    return s.createDataFrame([(r, render.narrative_refusal(r, "Intel", ("Item 1A", "Item 1"))) for r in reasons], "reason string, said string")
+
+
+@expects("i, said", (0, "hybrid:financial_ranking:highest,strategy:Its strategy?"), (1, "single:financial_filter:gt $1bn"), (2, "single:strategy:Why?"), (3, "LabelError: q: the label has no tasks"), (4, "LabelError: q: no threshold for the filter"), (5, "LabelError: q: no question for task t2"))
+def s6_label_plans(s, d):
+    """What a label stands for as a plan, and labels that stand for none."""
+    from ..plans import labels
+
+    ranking, own, over = {"intent": "financial_ranking", "metric": "net_income"}, {"intent": "strategy", "company": "AAPL"}, {"intent": "financial_filter", "metric": "net_income"}
+    tries = [
+        lambda: labels.plan_of_label("q1", "Why?", "hybrid", [ranking, own], task_questions={"q1": {"t2": "Its strategy?"}}), lambda: labels.plan_of_label("q2", "Which?", "single", [over], {"q2": ("gt", "$1bn")}), lambda: labels.plan_of_label("q3", "Why?", "single", [own]),
+        lambda: labels.plan_of_label("q", "x", "single", []), lambda: labels.plan_of_label("q", "x", "single", [over]), lambda: labels.plan_of_label("q", "x", "hybrid", [ranking, own]),
+    ]
+    what = lambda t: f"{t.intent.value}:" + (t.direction.value if t.direction else f"{t.comparison.value} {t.threshold_text}" if t.comparison else t.question)
+    out = []
+    for i, f in enumerate(tries):
+        said = _error(f)
+        if said == "accepted":
+            p = f()
+            said = f"{p.plan_type.value}:{','.join(map(what, p.tasks))}"
+        out.append((i, said))
+    return s.createDataFrame(out, "i int, said string")
+
+
+@expects("i, said", (0, "accepted"), (1, "LabelError: labels changed: ca978112ca1b is not 000"), (2, "accepted"), (3, "LabelError: 'm' is configured, 'n' answers"), (4, "LabelError: 'm' is configured, None answers"))
+def q11_preconditions(s, d):
+    """A run starts only with the labels frozen (line ends aside) and the model configured."""
+    import hashlib
+
+    from ..plans import labels
+
+    frozen = hashlib.sha256(b"a\nb").hexdigest()
+    tries = [lambda: labels.require_unchanged("a\r\nb", frozen), lambda: labels.require_unchanged("a", "000"), lambda: labels.require_served("m", lambda m: m), lambda: labels.require_served("m", lambda m: "n"), lambda: labels.require_served("m", lambda m: None)]
+    return s.createDataFrame([(i, _error(f)) for i, f in enumerate(tries)], "i int, said string")
+
+
+@expects("seconds, warmed, ready", (0.0, True, False), (5.0, False, False), (10.0, True, True), (11.0, False, True), (99.0, False, True))
+def w4_retry_gate(s, d):
+    """A failed warm-up is tried again after the gap at the earliest, a successful one never."""
+    from ..plans import labels
+
+    at, outcomes, out = [0.0, 5.0, 10.0, 11.0, 99.0], iter([False, True]), []
+    clock = iter(at)
+    gate, warmed = labels.RetryGate(10, lambda: next(clock)), []
+    for t in at:
+        n = len(warmed)
+        ready = gate.attempt(lambda: warmed.append(1) or next(outcomes))
+        out.append((t, len(warmed) > n, ready))
+    return s.createDataFrame(out, "seconds double, warmed boolean, ready boolean")
+
+
+@expects("a, b, near", ("rates may rise", "may rates rise", 1.0), ("rates may rise", "costs fell", 0.0), ("rates may rise", "", None), ("a a b", "a b b", 0.8))
+def c9_embedded(s, d):
+    """Texts through the embedding seam, a batch at a time; the stand-in counts words, so the cosine is that of counts."""
+    rows = [("rates may rise", "may rates rise"), ("rates may rise", "costs fell"), ("rates may rise", ""), ("a a b", "a b b")]
+    df = s.createDataFrame([(i, side, t) for i, r in enumerate(rows) for side, t in zip("ab", r, strict=True)], "i long, side string, text string")
+    vectors = retrieval.embedded(df, retrieval.hashed_words, batch=3)
+    both = vectors.where("side = 'a'").alias("x").join(vectors.where("side = 'b'").alias("y"), "i")
+    zero = retrieval.dot(F.col("y.embedding"), F.col("y.embedding")) == 0
+    return both.select(F.col("x.text").alias("a"), F.col("y.text").alias("b"), F.when(~zero, F.round(1 - retrieval.cosine_distance(F.col("x.embedding"), F.col("y.embedding")), 6)).alias("near"))
