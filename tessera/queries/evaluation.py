@@ -44,14 +44,8 @@ def c11_nearest_each(s, d):
     return retrieval.nearest_each(table(s, d, "embeddings"), _query_vector(s, d), 2, "label").select("label", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@query("SELECT l.label, CAST(coalesce(n, 0) AS BIGINT) AS n_blocks, CASE WHEN n IS NULL THEN 'no_matching_chunks' ELSE 'searched' END AS status FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN (SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 97 = 0 GROUP BY 1) e USING (label)")
-def c16_all_groups(s, d):
-    e = table(s, d, "embeddings")
-    return retrieval.with_status(e.select("label").distinct(), e.where("vec_id % 97 = 0"), "label").select("label", F.col("n_blocks").cast("long").alias("n_blocks"), "status")
-
-
 @query("SELECT label, count(*) AS n_blocks, 'searched' AS status FROM embeddings GROUP BY 1")
-def c16_all_groups_all(s, d):
+def c16_all_groups(s, d):
     e = table(s, d, "embeddings")
     return retrieval.with_status(e.select("label").distinct(), e, "label").select("label", F.col("n_blocks").cast("long").alias("n_blocks"), "status")
 
@@ -97,20 +91,10 @@ def s3_citation_numbers(s, d):
     return retrieval.citation_numbers(r).select("ticker", "section", "chunk_index", "number")
 
 
-@query("WITH e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS c FROM embeddings WHERE vec_id % 3 <> 0) SELECT label, vec_id FROM e WHERE n = least(10, c)")
-def c21_seed_swap(s, d):
-    from pyspark.sql import Window
-
-    e = table(s, d, "embeddings")
-    rest = e.join(e.where("vec_id % 3 = 0").select("vec_id"), "vec_id", "left_anti")
-    w = Window.partitionBy("label")
-    return rest.withColumn("n", F.row_number().over(w.orderBy("vec_id"))).withColumn("c", F.count("*").over(w)).where("n = least(10, c)").select("label", "vec_id")
-
-
 # every embedding is searched: four sections by id, and a seed of each kind for each label and section, whose claim is the vector of least id
 
 @query("WITH e AS (SELECT *, vec_id % 4 AS section, row_number() OVER (PARTITION BY label, vec_id % 4 ORDER BY vec_id) AS n FROM embeddings), s AS (SELECT label, section, kind, embedding AS qe FROM e, (VALUES ('wrong_block_same_company'), ('wrong_block_other_company')) k(kind) WHERE n = 1), d AS (SELECT s.label, s.section, kind, vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(qe[i] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS distance FROM s JOIN e ON e.section = s.section AND CASE kind WHEN 'wrong_block_same_company' THEN e.label = s.label AND n > 2 ELSE e.label <> s.label END), r AS (SELECT *, row_number() OVER (PARTITION BY label, section, kind ORDER BY distance, vec_id) AS nth, count(*) OVER (PARTITION BY label, section, kind) AS c FROM d) SELECT s.label, s.section, s.kind, CAST(nth AS INT) AS nth, vec_id, round(distance, 6) AS distance, CASE WHEN vec_id IS NULL THEN 'no_candidate' ELSE 'swapped' END AS status FROM s LEFT JOIN r ON r.label = s.label AND r.section = s.section AND r.kind = s.kind AND nth = CASE s.kind WHEN 'wrong_block_same_company' THEN least(10, c) ELSE 1 END")
-def c21_seed_swap_all(s, d):
+def c21_seed_swap(s, d):
     from pyspark.sql import Window
 
     e = table(s, d, "embeddings").select("vec_id", F.col("label").alias("company"), (F.col("vec_id") % 4).alias("section"), "embedding")
@@ -157,14 +141,8 @@ def c6_c7_chunks(s, d):
     return sections.with_ids(c, F.col("lang"), F.lit("2021"), F.col("source")).select("doc_id", "chunk_index", "chunk_id")
 
 
-@query("WITH n AS (SELECT source AS ticker, CASE lang WHEN 'en' THEN 'Item 1' WHEN 'de' THEN 'Item 1A' WHEN 'fr' THEN 'Item 7' ELSE 'Item 7A' END AS section, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1, 2), p(intent, sections) AS (VALUES ('company_overview', ['Item 1']), ('strategy', ['Item 1', 'Item 7']), ('competition_and_regulation', ['Item 1', 'Item 1A']), ('risk_factors', ['Item 1A']), ('management_commentary', ['Item 7']), ('market_risk', ['Item 7A', 'Item 7'])) SELECT ticker, intent, CAST(sum(CASE WHEN list_contains(sections, section) THEN n ELSE 0 END) AS BIGINT) AS eligible, CASE WHEN sum(CASE WHEN list_contains(sections, section) THEN n ELSE 0 END) > 0 THEN 'answerable' ELSE 'section_absent' END AS status FROM n CROSS JOIN p GROUP BY 1, 2")
-def c18_inventory(s, d):
-    t = table(s, d, "documents").where("doc_id % 5 <> 0").select(F.col("source").alias("ticker"), F.expr("CASE lang WHEN 'en' THEN 'Item 1' WHEN 'de' THEN 'Item 1A' WHEN 'fr' THEN 'Item 7' ELSE 'Item 7A' END").alias("section"))
-    return sections.inventory(t, retrieval.POLICY)
-
-
 @query("WITH n AS (SELECT source AS ticker, CASE lang WHEN 'en' THEN 'Item 1' WHEN 'de' THEN 'Item 1A' WHEN 'fr' THEN 'Item 7' ELSE 'Item 7A' END AS section, count(*) AS n FROM documents GROUP BY 1, 2), p(intent, sections) AS (VALUES ('company_overview', ['Item 1']), ('strategy', ['Item 1', 'Item 7']), ('competition_and_regulation', ['Item 1', 'Item 1A']), ('risk_factors', ['Item 1A']), ('management_commentary', ['Item 7']), ('market_risk', ['Item 7A', 'Item 7'])) SELECT ticker, intent, CAST(sum(CASE WHEN list_contains(sections, section) THEN n ELSE 0 END) AS BIGINT) AS eligible, CASE WHEN sum(CASE WHEN list_contains(sections, section) THEN n ELSE 0 END) > 0 THEN 'answerable' ELSE 'section_absent' END AS status FROM n CROSS JOIN p GROUP BY 1, 2")
-def c18_inventory_all(s, d):
+def c18_inventory(s, d):
     t = table(s, d, "documents").select(F.col("source").alias("ticker"), F.expr("CASE lang WHEN 'en' THEN 'Item 1' WHEN 'de' THEN 'Item 1A' WHEN 'fr' THEN 'Item 7' ELSE 'Item 7A' END").alias("section"))
     return sections.inventory(t, retrieval.POLICY)
 
@@ -281,16 +259,16 @@ def a12_common_keys(s, d):
     return ev.common_keys(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "o_orderstatus")
 
 
-_RANKED = "rk AS (SELECT source AS qid, doc_id AS key, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents WHERE doc_id % 4 <> 1), rel AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1 AND d.source <> 'src3'), jud AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+_RANKED = "rk AS (SELECT source AS qid, doc_id AS key, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents), rel AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1), jud AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
 
 
 def _ranking(s, d):
     from pyspark.sql import Window
 
     t = table(s, d, "documents")
-    rk = t.where("doc_id % 4 <> 1").select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
+    rk = t.select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
     lab = t.join(table(s, d, "labels"), "doc_id").select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), "toxic")
-    return rk, lab.where("toxic = 1 AND qid <> 'src3'").select("qid", "key"), lab.select("qid", "key")
+    return rk, lab.where("toxic = 1").select("qid", "key"), lab.select("qid", "key")
 
 
 @query(f"WITH {_RANKED}, j AS (SELECT rk.qid, rank, rel.key IS NOT NULL AS r, jud.key IS NOT NULL AS w FROM rk LEFT JOIN rel ON rel.qid = rk.qid AND rel.key = rk.key LEFT JOIN jud ON jud.qid = rk.qid AND jud.key = rk.key), g AS (SELECT qid, count(*) FILTER (rank <= 10 AND r) AS found, count(*) FILTER (rank <= 10) AS shown, min(rank) FILTER (r) AS first_rank, count(*) FILTER (rank <= 10 AND NOT w) AS unjudged FROM j GROUP BY 1), t AS (SELECT qid, count(*) AS total FROM rel GROUP BY 1) SELECT g.qid, coalesce(total, 0) AS relevant_total, first_rank, CASE WHEN total > 0 THEN found > 0 END AS hit, CASE WHEN total > 0 THEN round(CAST(found AS DOUBLE) / least(10, total), 9) END AS recall, round(CAST(found AS DOUBLE) / shown, 9) AS precision, unjudged FROM g LEFT JOIN t USING (qid)")
@@ -305,30 +283,6 @@ def a14_unjudged(s, d):
     return ev.unjudged_in_top(rk, jud, 10)
 
 
-_RANKED_ALL = "rk AS (SELECT source AS qid, doc_id AS key, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents), rel AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1), jud AS (SELECT d.source AS qid, d.doc_id AS key FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
-
-
-def _ranking_all(s, d):
-    from pyspark.sql import Window
-
-    t = table(s, d, "documents")
-    rk = t.select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
-    lab = t.join(table(s, d, "labels"), "doc_id").select(F.col("source").alias("qid"), F.col("doc_id").alias("key"), "toxic")
-    return rk, lab.where("toxic = 1").select("qid", "key"), lab.select("qid", "key")
-
-
-@query(f"WITH {_RANKED_ALL}, j AS (SELECT rk.qid, rank, rel.key IS NOT NULL AS r, jud.key IS NOT NULL AS w FROM rk LEFT JOIN rel ON rel.qid = rk.qid AND rel.key = rk.key LEFT JOIN jud ON jud.qid = rk.qid AND jud.key = rk.key), g AS (SELECT qid, count(*) FILTER (rank <= 10 AND r) AS found, count(*) FILTER (rank <= 10) AS shown, min(rank) FILTER (r) AS first_rank, count(*) FILTER (rank <= 10 AND NOT w) AS unjudged FROM j GROUP BY 1), t AS (SELECT qid, count(*) AS total FROM rel GROUP BY 1) SELECT g.qid, coalesce(total, 0) AS relevant_total, first_rank, CASE WHEN total > 0 THEN found > 0 END AS hit, CASE WHEN total > 0 THEN round(CAST(found AS DOUBLE) / least(10, total), 9) END AS recall, round(CAST(found AS DOUBLE) / shown, 9) AS precision, unjudged FROM g LEFT JOIN t USING (qid)")
-def a13_ranking_metrics_all(s, d):
-    m = ev.ranking_metrics(*_ranking_all(s, d), 10)
-    return m.withColumn("recall", F.round("recall", 9)).withColumn("precision", F.round("precision", 9))
-
-
-@query(f"WITH {_RANKED_ALL} SELECT qid, key, rank FROM rk WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM jud WHERE jud.qid = rk.qid AND jud.key = rk.key)")
-def a14_unjudged_all(s, d):
-    rk, _, jud = _ranking_all(s, d)
-    return ev.unjudged_in_top(rk, jud, 10)
-
-
 @query("WITH q AS (SELECT event_type, user_id, avg(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END) AS m FROM events GROUP BY 1, 2) SELECT event_type, round(avg(m), 6) AS mean, count(m) AS n_measured FROM q GROUP BY 1")
 def a15_a16_two_level_mean(s, d):
     e = table(s, d, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))

@@ -26,7 +26,7 @@ def test_seed_swap_query_searches_every_vector(spark, tmp_path):
 
     rows = [(i, 0, [1.0] * 63 + [i / 100]) for i in range(0, 52, 4)] + [(53, 1, [1.0] * 64), (48 + 8, 1, [1.0] * 64)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    out = evaluation.QUERIES["c21_seed_swap_all"](spark, str(tmp_path)).where((F.col("label") == 0) & (F.col("section") == 0))
+    out = evaluation.QUERIES["c21_seed_swap"](spark, str(tmp_path)).where((F.col("label") == 0) & (F.col("section") == 0))
     # 0 and 4 are cited, so the tenth nearest is 44; ids divisible by three are candidates as any other
     assert {r.kind: r.vec_id for r in out.collect()} == {retrieval.SAME_COMPANY: 44, retrieval.OTHER_COMPANY: 56}
 
@@ -36,7 +36,7 @@ def test_assembled_input_reaches_the_end_of_every_text(spark, tmp_path):
 
     body = "x" * 30_000
     spark.createDataFrame([(1, body + "a"), (2, body + "b"), (3, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.doc_id: r.assembled for r in corpus.QUERIES["e3_assembled_input_all"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: r.assembled for r in corpus.QUERIES["e3_assembled_input"](spark, str(tmp_path)).collect()}
     whole = lambda t: hashlib.sha256(f"{t[:12_000]}\n\n{t}".encode()).hexdigest()
     assert found == {1: whole(body + "a"), 2: whole(body + "b"), 3: whole("short")} and found[1] != found[2]
 
@@ -49,13 +49,13 @@ def test_inventory_statuses_and_rankings_read_every_row(spark, tmp_path):
     spark.createDataFrame([(5, 1), (1, 1), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     run = lambda name: evaluation.QUERIES[name](spark, str(tmp_path)).collect()
-    inventory = {(r.ticker, r.intent): (r.eligible, r.status) for r in run("c18_inventory_all")}
+    inventory = {(r.ticker, r.intent): (r.eligible, r.status) for r in run("c18_inventory")}
     assert inventory["p", "risk_factors"] == (2, "answerable") and inventory["q", "company_overview"] == (2, "answerable")
     assert inventory["q", "risk_factors"] == (0, "section_absent")
-    found = {r.qid: (r.relevant_total, r.first_rank, r.hit, r.unjudged) for r in run("a13_ranking_metrics_all")}
+    found = {r.qid: (r.relevant_total, r.first_rank, r.hit, r.unjudged) for r in run("a13_ranking_metrics")}
     assert found == {"p": (1, 1, True, 1), "q": (1, 1, True, 1), "r": (0, None, None, 0)}
-    assert {(r.qid, r.key, r["rank"]) for r in run("a14_unjudged_all")} == {("p", 10, 2), ("q", 2, 2)}
-    assert {r.label: r.n_blocks for r in run("c16_all_groups_all")} == {1: 2, 2: 1}
+    assert {(r.qid, r.key, r["rank"]) for r in run("a14_unjudged")} == {("p", 10, 2), ("q", 2, 2)}
+    assert {r.label: r.n_blocks for r in run("c16_all_groups")} == {1: 2, 2: 1}
 
 
 def test_a_group_without_blocks_keeps_its_status(spark):
