@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def _folder(s) -> str:
     shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared and not s.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared.rstrip('/')}/{next(tempfile._get_candidate_names())}" if shared else f"file://{tempfile.mkdtemp()}"
+    return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp()}"
 
 
 @expects("i, said", (0, "3 rows"), (1, "a document with {'cik': '1', 'year': 2021} exists"), (2, "a document with {'cik': '3', 'year': 2021} exists"))
