@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
+from .arrowtext import mix
 from .exchange import integers, planes
 
 PART_BYTES, LEAST_PART = 4 << 20, 256 << 10
@@ -51,9 +52,14 @@ def ordered(t: pa.Table) -> pa.Table:
     return t.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("text", "ascending")]) if t.num_rows else t
 
 
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """47 bits of hashes, mixed again: those of least grams are small numbers, and buckets are ranges of keys."""
+    return mix(hashes) >> np.uint64(17)
+
+
 def asked(hashes: np.ndarray, docs: np.ndarray, part: int, n_buckets: int) -> Iterator[tuple]:
     """The part's distinct keys (47 bits of the hashes); the lowest bit tells that two of its documents hold one."""
-    key = hashes >> np.uint64(17)
+    key = _key(hashes)
     order = np.argsort(key, kind="stable")
     k, d = key[order], docs[order]
     first = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, np.int64)
@@ -88,7 +94,7 @@ class Shared:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(hashes), bool)
-        own = hashes >> np.uint64(17)
+        own = _key(hashes)
         return self.keys[np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)] == own
 
 

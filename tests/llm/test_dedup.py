@@ -152,3 +152,11 @@ def test_splitters_come_from_a_sample(spark):
     df = spark.createDataFrame([(i, f"document {i} " * 30) for i in range(50)], "doc_id long, text string")
     cuts = suffix_dedup.splitters(df, "text", suffix_dedup.Grams(50), 8, 20_000)
     assert len(cuts) == 7 and (np.diff(cuts.astype(float)) > 0).all()
+
+
+def test_keys_of_small_hashes_are_dealt_evenly():
+    """Hashes of least grams are small numbers; their buckets must not be the first few."""
+    n = [0] * 16
+    for to, _, _, blob in parts.asked(np.arange(40_000, dtype=np.uint64) << np.uint64(20), np.zeros(40_000, np.int64), 0, 16):
+        n[to] = len(exchange.opened([pa.scalar(blob, pa.binary())])[0])
+    assert sum(n) == 40_000 and max(n) < 1.1 * min(n)
