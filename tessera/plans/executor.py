@@ -78,11 +78,13 @@ def _figures(task: Task, doc: dict | None, catalog: Catalog) -> Outcome:
         threshold = catalog.docs.sparkSession.createDataFrame([(task.threshold_text,)], "t string").select(parse_threshold(F.col("t"))).first()[0]
         if threshold is None:
             return Outcome(task, Status.REFUSED, f"I couldn't read the threshold {task.threshold_text!r}.", "threshold_unparsed")
-    r = figures.run(catalog.docs, catalog.records, task.metric, doc["id"] if doc else None, task.direction if doc is None else None, task.limit, task.comparison, threshold)
+    r = figures.run(catalog.docs, catalog.records, task.metric, doc["id"] if doc else None, task.direction if doc is None else None, task.limit, task.comparison, threshold, keep=True)
     shown = r.rows.collect()  # at most CAP
     if not shown and doc:
         return Outcome(task, Status.REFUSED, render.not_extracted(doc["name"], doc["filing_year"]), Unresolved.NOT_EXTRACTED.value)
-    return Outcome(task, Status.SUCCESS, render.figures(task, shown, r.excluded.collect() if r.excluded is not None else [], r.flagged.collect() if r.flagged is not None else [], threshold))
+    excluded, flagged = (x.collect() if x is not None else [] for x in (r.excluded, r.flagged))  # the answer names them all
+    r.release()
+    return Outcome(task, Status.SUCCESS, render.figures(task, shown, excluded, flagged, threshold))
 
 
 def _stored(ticker: str, sections: tuple[str, ...]) -> tuple[str, ...]:
