@@ -62,7 +62,7 @@ def assessed(records: DataFrame, only: str | None = None) -> DataFrame:
     names = [c for c in records.columns if c not in METRICS and not c.endswith("_source_line")]
     figures = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"{m}_source_line").alias("line"), implied_multiplier(F.col(m), F.col(f"{m}_source_line")).alias("multiplier")) for m in METRICS))
     rows = records.withColumn("_f", figures).withColumn("_s", document_scale(F.transform("_f", lambda f: f["multiplier"])))
-    each = F.explode("_f") if only is None else F.element_at("_f", METRICS.index(only) + 1)
+    each = F.explode("_f" if only is None else F.slice("_f", METRICS.index(only) + 1, 1))
     rows = rows.select(*names, "_s", each.alias("f")).select(*names, "f.*", F.col("_s.scale").alias("document_scale"), F.col("_s.ambiguous").alias("_a"))
     v, m, s = F.col("value"), F.col("multiplier"), F.col("document_scale")
     reason = F.when(v.isNull(), "null_field").when(m.isNull(), "evidence_mismatch").when(F.col("_a"), "scale_ambiguous").when(s.isNull(), "scale_not_checkable").when(m != s, "scale_disagreement").otherwise("consistent")
