@@ -29,11 +29,13 @@ def _literal(v) -> str:
 
 
 def expects(columns: str, *rows: tuple):
-    """Registers a query with the rows it must give."""
+    """Registers a query with the rows it must give; a column may be followed by the type its numbers have."""
+    named = [c.split() for c in columns.split(", ")]
+    chosen = ", ".join(f"CAST({n} AS {kind[0]}) AS {n}" if kind else n for n, *kind in named)
 
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({columns})"
+        ORACLE_SQL[f.__name__] = f"SELECT {chosen} FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({', '.join(c[0] for c in named)})"
         return f
 
     return add
@@ -53,7 +55,7 @@ def q7_q7n_masked(s, d):
     return rows.select("i", guards.withheld(F.col("t"), F.array(F.lit(365817e6), F.lit(94680e6))).alias("w")).select("i", "w.text", "w.withheld")
 
 
-@expects("client, request_id, admitted, retry_after", ("a", 1, True, 0), ("a", 2, True, 0), ("a", 3, False, 50), ("a", 4, True, 0), ("a", 5, False, 1), ("a", 6, True, 0), ("b", 7, True, 0), ("b", 8, True, 0), ("b", 9, False, 60))
+@expects("client, request_id BIGINT, admitted, retry_after", ("a", 1, True, 0), ("a", 2, True, 0), ("a", 3, False, 50), ("a", 4, True, 0), ("a", 5, False, 1), ("a", 6, True, 0), ("b", 7, True, 0), ("b", 8, True, 0), ("b", 9, False, 60))
 def w1_admitted_cases(s, d):
     """Two requests a minute: a refusal does not count, the window is half open, clients are apart."""
     at = [("a", 1, 0.0), ("a", 2, 5.0), ("a", 3, 10.0), ("a", 4, 60.0), ("a", 5, 64.5), ("a", 6, 65.0), ("b", 7, 1.0), ("b", 8, 1.0), ("b", 9, 1.0)]
@@ -68,14 +70,14 @@ def w3_limiter_cases(s, d):
     return s.createDataFrame([(i, *limiter.check(c, at, day, 600.0)) for i, (c, at, day) in enumerate(asked)], "n int, admitted boolean, wait int, refused_by string")
 
 
-@expects("doc_id, chunk_index, text", (1, 0, "one two three four"), (1, 1, "four five six seven"), (1, 2, "eight nine"), (2, 0, "short text of four"))
+@expects("doc_id BIGINT, chunk_index, text", (1, 0, "one two three four"), (1, 1, "four five six seven"), (1, 2, "eight nine"), (2, 0, "short text of four"))
 def c5_recursive_cases(s, d):
     """At most four words, one shared; the coarsest separator that serves comes first, so the blank line ends a piece."""
     docs = s.createDataFrame([(1, "one two three four five six seven\n\neight nine"), (2, "short text of four"), (3, ""), (4, None)], "doc_id long, text string")
     return sections.recursive_chunks(docs, 4, 1, True, 1)
 
 
-@expects("step, n_rows, matches, texts", ("empty", -1, None, ""), ("added", 4, True, "old 0,old 1,old 2,other"), ("replaced", 2, True, "new,other"), ("reset", -1, True, ""))
+@expects("step, n_rows BIGINT, matches, texts", ("empty", -1, None, ""), ("added", 4, True, "old 0,old 1,old 2,other"), ("replaced", 2, True, "new,other"), ("reset", -1, True, ""))
 def io13_io14_io15_store(s, d):
     """A store says under which parameters it was made, replaces the filings that come again, and is emptied."""
     store, out = chunk_store.ChunkStore(s, f"{_folder(s)}/chunks", chunk_store.params_hash(size=500)), []
@@ -117,7 +119,7 @@ def _or_error(f) -> str:
         return str(e)
 
 
-@expects("id, is_extracted, attempts", (1, True, 2), (2, False, 1), (-1, None, None))
+@expects("id BIGINT, is_extracted, attempts BIGINT", (1, True, 2), (2, False, 1), (-1, None, None))
 def io6_appended(s, d):
     """The flag follows the attempts, unknown fields are dropped, and an attempt without a document (-1) is rejected."""
     docs = s.createDataFrame([(1, False), (2, True)], "id long, is_extracted boolean")
@@ -167,7 +169,7 @@ _FILING = "COVER\n(in millions)\nTotal net sales $365,817 274,515\nOf which net
 
 
 @expects(
-    "strategy, document_id, extraction_status, failure_reason, total_revenue, net_income, line, present, input_tokens",
+    "strategy, document_id BIGINT, extraction_status, failure_reason, total_revenue, net_income, line, present, input_tokens BIGINT",
     ("S0", 1, "success", None, 365817.0, 94680.0, None, None, 16), ("S1", 1, "success", None, 365817e6, 94680e6, None, None, 16), ("S2", 1, "success", None, 365817.0, None, None, None, 16),
     ("S3", 1, "success", None, 365817e6, None, "Total net sales $365,817 274,515", True, 16), ("S4", 1, "success", None, 365817e6, None, None, None, 16),
     ("S3", 2, "extraction_failed", "no figure found", None, None, None, None, 2), ("S3", 3, "technical_failed", "FileNotFoundError: the document has no text", None, None, None, None, 0),
@@ -183,7 +185,7 @@ def e1_attempts(s, d):
     return out.select("strategy", "document_id", "extraction_status", "failure_reason", "total_revenue", "net_income", F.col("total_revenue_source_line").alias("line"), F.col("total_revenue_evidence_present").alias("present"), "input_tokens")
 
 
-@expects("processed, success, extraction_failed, technical_failed, cached_hits, billed_input_tokens, billed_output_tokens, replayed_input_tokens, replayed_output_tokens", (5, 1, 2, 2, 1, 18, 2, 7, 3))
+@expects("processed BIGINT, success BIGINT, extraction_failed BIGINT, technical_failed BIGINT, cached_hits BIGINT, billed_input_tokens BIGINT, billed_output_tokens BIGINT, replayed_input_tokens BIGINT, replayed_output_tokens BIGINT", (5, 1, 2, 2, 1, 18, 2, 7, 3))
 def e1_run_summary(s, d):
     docs = s.createDataFrame([(1, _FILING), (2, "nothing here"), (3, None), (4, "boom"), (5, "odd")], "document_id long, text string")
     return extraction.run_summary(extraction.extracted(docs, "S3", _odd))
@@ -197,7 +199,7 @@ def _judge(claim: str, texts: list[str], run: int) -> tuple[str, str]:
     return "supported", "Rates  MAY rise" if claim != "flips" else "made up"
 
 
-@expects("item, majority, flipped, failed, quoted", ("a", True, False, 0, 3), ("b", True, True, 0, 0), ("c", True, False, 1, 2), ("d", None, False, 3, 0))
+@expects("item, majority, flipped, failed BIGINT, quoted BIGINT", ("a", True, False, 0, 3), ("b", True, True, 0, 0), ("c", True, False, 1, 2), ("d", None, False, 3, 0))
 def e4_judged(s, d):
     """Three calls a claim: failed ones are left out of the majority, and a claim whose source is missing is not judged."""
     rows = s.createDataFrame([("a", "holds", ["k1"]), ("b", "flips", ["k1", "k2"]), ("c", "breaks", ["k1"]), ("d", "holds", ["k1", "k9"])], "item string, claim string, sources array<string>")
@@ -206,7 +208,7 @@ def e4_judged(s, d):
     return evaluation.settled(judged).join(judged.groupBy("item").agg(F.count_if("span_found").alias("quoted")), "item").select("item", "majority", "flipped", "failed", "quoted")
 
 
-@expects("answer, claim_id, valid, invalid", ("x", 1, "2,1", 1), ("x", 2, "", 1), ("y", 1, "1", 2), ("y", 2, "8", 0))
+@expects("answer, claim_id, valid, invalid BIGINT", ("x", 1, "2,1", 1), ("x", 2, "", 1), ("y", 1, "1", 2), ("y", 2, "8", 0))
 def j9_answers_apart(s, d):
     """Block numbers are local to an answer."""
     claims = s.createDataFrame([(a, i, c) for a in "xy" for i, c in ((1, [2, 2, 9, 1]), (2, [8]))], "answer string, claim_id int, cites array<int>")
