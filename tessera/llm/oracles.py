@@ -75,4 +75,30 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 SELECT query_id, CAST(nth AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM s) WHERE nth <= 20
 """
 
-ORACLE_SQL = {"op1_substring_dedup": SUBSTRING_DEDUP, "op7_merkle_fingerprints": FINGERPRINTS, "op8_exact_topk": EXACT_TOPK, "op10_suffix_dedup": SUFFIX_DEDUP}
+# crc32 of an id in decimal: the table's 256 entries are made by eight steps each.
+_CRC_TABLE = "list_transform(range(0, 256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS STRING), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, y: xor(x // 256, t[(xor(x, y) % 256) + 1])))"
+
+# A lag is tried in full for a document where four words in a row at that stride are equal, as every run of four periods has them.
+PERIODIC_RUNS = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, {_CRC} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents, crc),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS echoed, h // 10 AS g FROM d),
+a AS (SELECT doc_id, w, n, echoed, CASE WHEN echoed THEN g % n END AS a, g FROM g),
+p AS (SELECT doc_id, w, n, a, CASE WHEN echoed THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+e AS (SELECT doc_id, n, CASE WHEN p IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM p),
+pos AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS w FROM e),
+strides AS (SELECT doc_id, q, unnest(range(0, n, q)) AS i FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM e)),
+four AS (SELECT s.doc_id, q, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM strides s JOIN pos ON pos.doc_id = s.doc_id AND pos.i = s.i WINDOW o AS (PARTITION BY s.doc_id, q ORDER BY s.i)),
+tried AS (SELECT DISTINCT doc_id, q FROM four WHERE w = w1 AND w1 = w2 AND w2 = w3),
+same AS (SELECT t.doc_id, q, x.i, x.i - row_number() OVER (PARTITION BY t.doc_id, q ORDER BY x.i) AS island FROM tried t JOIN pos x ON x.doc_id = t.doc_id JOIN pos y ON y.doc_id = t.doc_id AND y.i = x.i + q WHERE x.w = y.w),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM same GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY 1, 2, 3),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS top FROM run GROUP BY 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM pos ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT e.doc_id, CAST(coalesce(s.n_runs, 0) AS BIGINT) AS n_runs, CAST(s.top.start AS BIGINT) AS start, CAST(s.top.length AS BIGINT) AS length, CAST(s.top.period AS BIGINT) AS period, CAST(1000 * s.top.length // s.top.period AS BIGINT) AS exponent_milli, sha256(coalesce(s.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM e LEFT JOIN said s ON s.doc_id = e.doc_id LEFT JOIN kept k ON k.doc_id = e.doc_id
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": SUBSTRING_DEDUP, "op7_merkle_fingerprints": FINGERPRINTS, "op8_exact_topk": EXACT_TOPK, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_periodic_runs": PERIODIC_RUNS}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, minhash, packing, quality, sharding, substring_dedup, suffix_dedup, token_files, topk
+from . import bpe, fingerprint, minhash, packing, periodic, quality, sharding, substring_dedup, suffix_dedup, token_files, topk
 from .oracles import ORACLE_SQL  # noqa: F401
 from .store import new_path
 
@@ -60,4 +60,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op6_minhash_near_dedup, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.echoed(_documents(spark, sf_dir)), min_exp=4, least=6))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op6_minhash_near_dedup, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup, op11_periodic_runs)}
