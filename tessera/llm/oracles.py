@@ -101,4 +101,34 @@ SELECT e.doc_id, CAST(coalesce(s.n_runs, 0) AS BIGINT) AS n_runs, CAST(s.top.sta
 FROM e LEFT JOIN said s ON s.doc_id = e.doc_id LEFT JOIN kept k ON k.doc_id = e.doc_id
 """
 
-ORACLE_SQL = {"op1_substring_dedup": SUBSTRING_DEDUP, "op7_merkle_fingerprints": FINGERPRINTS, "op8_exact_topk": EXACT_TOPK, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_periodic_runs": PERIODIC_RUNS}
+LANGUAGE_ID = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, lang, ({_CRC}) % 5 AS fold, concat(' ', trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')), ' ') AS s FROM documents, crc),
+place AS (SELECT doc_id, lang, fold, s, unnest(range(1, length(s) + 1)) AS i FROM d),
+g AS (SELECT doc_id, lang, fold, substr(s, CAST(i AS BIGINT), CAST(k AS BIGINT)) AS gram, k FROM place, (SELECT unnest([1, 2, 3]) AS k)),
+n AS (SELECT doc_id, lang, fold, gram, count(*) AS n FROM g WHERE length(gram) = k AND trim(gram) <> '' AND (k < 3 OR substr(gram, 2, 1) <> ' ') GROUP BY ALL),
+learned AS (SELECT lang, gram, sum(n) AS n FROM n WHERE fold <> 0 AND lang IS NOT NULL GROUP BY ALL),
+profile AS (SELECT lang, gram, place FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS place FROM learned) WHERE place < 400),
+own AS (SELECT doc_id, gram, place FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS place FROM n) WHERE place < 400),
+away AS (SELECT o.doc_id, l.lang, CAST(sum(coalesce(abs(o.place - p.place), 400)) AS BIGINT) AS away, count(*) AS m FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.gram = o.gram GROUP BY 1, 2),
+best AS (SELECT doc_id, lang, 1 - CAST(away AS DOUBLE) / CAST(400 * m AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) AS nth FROM away) WHERE nth = 1)
+SELECT d.doc_id, fold = 0 AS held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(b.score, 0.0::DOUBLE) AS score FROM d LEFT JOIN best b ON b.doc_id = d.doc_id
+"""
+
+PHRASES = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 100),
+longer AS (SELECT lang, f, unnest([g[1:len(g) - 1], g[2:len(g)]]) AS g FROM f WHERE len(g) > 2),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) >= 2 AND NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = f.lang AND o.g = f.g AND o.f >= f.f)),
+cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+scored AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, t.n, CAST((CAST(1000 AS HUGEINT) * a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)] JOIN total t ON t.lang = c.lang),
+least AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM scored) WHERE nth = 1)
+SELECT * FROM (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank, phrase, a, l, r, n, score FROM least) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": SUBSTRING_DEDUP, "op7_merkle_fingerprints": FINGERPRINTS, "op8_exact_topk": EXACT_TOPK, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_periodic_runs": PERIODIC_RUNS, "op12_phrase_mining": PHRASES, "op13_language_id": LANGUAGE_ID}

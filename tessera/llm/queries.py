@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, minhash, packing, periodic, quality, sharding, substring_dedup, suffix_dedup, token_files, topk
+from . import bpe, fingerprint, langid, minhash, packing, periodic, phrases, quality, sharding, substring_dedup, suffix_dedup, token_files, topk
 from .oracles import ORACLE_SQL  # noqa: F401
 from .store import new_path
 
@@ -64,4 +64,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(periodic.echoed(_documents(spark, sf_dir)), min_exp=4, least=6))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op6_minhash_near_dedup, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup, op11_periodic_runs)}
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir), longest=5, least=100, top=2000)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learned_and_judged(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_best_fit_packing, op4_sharding, op5_byte_bpe, op6_minhash_near_dedup, op7_merkle_fingerprints, op8_exact_topk, op9_token_files, op10_suffix_dedup, op11_periodic_runs, op12_phrase_mining, op13_language_id)}
