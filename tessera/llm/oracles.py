@@ -104,9 +104,9 @@ FROM e LEFT JOIN said s ON s.doc_id = e.doc_id LEFT JOIN kept k ON k.doc_id = e.
 LANGUAGE_ID = f"""
 WITH crc AS (SELECT {_CRC_TABLE} AS t),
 d AS (SELECT doc_id, lang, ({_CRC}) % 5 AS fold, concat(' ', trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')), ' ') AS s FROM documents, crc),
-place AS (SELECT doc_id, lang, fold, s, unnest(range(1, length(s) + 1)) AS i FROM d),
-g AS (SELECT doc_id, lang, fold, substr(s, CAST(i AS BIGINT), CAST(k AS BIGINT)) AS gram, k FROM place, (SELECT unnest([1, 2, 3]) AS k)),
-n AS (SELECT doc_id, lang, fold, gram, count(*) AS n FROM g WHERE length(gram) = k AND trim(gram) <> '' AND (k < 3 OR substr(gram, 2, 1) <> ' ') GROUP BY ALL),
+place AS (SELECT doc_id, lang, fold, unnest(c) AS x, unnest(list_append(c[2:], '')) AS y, unnest(list_concat(c[3:], ['', ''])) AS z FROM (SELECT doc_id, lang, fold, string_split(s, '') AS c FROM d)),
+g AS (SELECT doc_id, lang, fold, unnest([x, CASE WHEN y <> '' THEN x || y END, CASE WHEN y <> ' ' AND z <> '' THEN x || y || z END]) AS gram FROM place),
+n AS (SELECT doc_id, lang, fold, gram, count(*) AS n FROM g WHERE trim(gram) <> '' GROUP BY ALL),
 learned AS (SELECT lang, gram, sum(n) AS n FROM n WHERE fold <> 0 AND lang IS NOT NULL GROUP BY ALL),
 profile AS (SELECT lang, gram, place FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS place FROM learned) WHERE place < 400),
 own AS (SELECT doc_id, gram, place FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS place FROM n) WHERE place < 400),

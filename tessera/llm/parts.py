@@ -32,12 +32,12 @@ KEY_BYTES = 6
 KEYS, ENTRIES, NOTES = 0, 1, 2
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int, int]:
-    """The documents with their part, the number of parts, and the bytes of text. One aggregate over the texts gives the bytes."""
+def deal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], part_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """The documents with their part (of about `part_bytes`), the number of parts, and the bytes of text. One aggregate over the texts gives the bytes."""
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, -(-size // PART_BYTES), min(wanted, size // LEAST_PART))  # small inputs still use the cluster's tasks
+    n = max(1, -(-size // (part_bytes or PART_BYTES)), min(wanted, size // LEAST_PART))  # small inputs still use the cluster's tasks
     kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *kept, F.xxhash64(text).alias("text_hash"))
     return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int")), n, size

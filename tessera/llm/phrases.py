@@ -36,8 +36,10 @@ UNKNOWN, LONGEST, LEAST = "und", 5, 100
 SALT_AT = 1 << 17
 #: Bytes of a word's number, of a count, and of the two hashes that tell words apart.
 ID, COUNT, H1, H2 = 6, 6, 8, 4
-#: Kinds of packets: words and counts, frequent words, and fragments of k words as kind k.
-WORDS, FREQUENT = 1, 0
+#: Kinds of packets: frequent words, words and counts, and fragments.
+FREQUENT, WORDS, FRAGMENTS = 0, 1, 2
+#: Larger parts than elsewhere: the more text a part has, the fewer parts send the same word or fragment.
+PART_BYTES = 8 << 20
 SLICE = 1 << 20
 
 _BREAKS = np.zeros(256, bool)
@@ -128,7 +130,7 @@ def _counts(n_buckets: int):
     return count
 
 
-def _frequent(n_parts: int, least: int):
+def _frequent(n_parts: int, n_buckets: int, least: int):
     def tell(t: pa.Table) -> pa.Table:
         """For each part those of its words that occur often enough in all: hashes, count, number, and whether this part is to name it."""
         to, part, rows = exchange.of_kind(t, WORDS)
@@ -139,12 +141,11 @@ def _frequent(n_parts: int, least: int):
         total = np.add.reduceat(n[order], at)
         times = np.diff(np.append(at, len(order)))
         often = total >= least
-        number = np.cumsum(often) - 1
-        if often.sum() > 1 << 24:
-            raise ValueError("too many frequent words in one bucket")
+        number = np.empty(len(at), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(at))  # frequent words get small numbers, which take little room in fragments
         keep = np.repeat(often, times)
         pick, group = order[keep], np.repeat(np.arange(len(at)), times)[keep]
-        ids = (np.uint64(bucket) << np.uint64(24)) | number[group].astype(np.uint64)
+        ids = (number[group] * n_buckets + bucket).astype(np.uint64)
         naming = np.repeat(np.minimum.reduceat(part[order], at), times)[keep] == part[pick]
         out = np.vstack([planes(h1[pick], H1), planes(h2[pick].astype(np.uint64), H2), planes(total[group], COUNT), planes(ids, ID), planes(naming.astype(np.uint64), 1)])
         exchange.release()
@@ -242,7 +243,7 @@ def _put(n_buckets: int, longest: int, salt_at: int):
                 first = at[own] - left[own]
                 found.setdefault(k, []).append(np.vstack([left[own], *(place[first + j] for j in range(k))]).astype(np.int32))
         salts = -(-v.total // salt_at)
-        out: list[tuple] = []
+        most, bodies, places = 2 * longest - 1, [], []
         for k in sorted(found):
             rows = np.concatenate(found.pop(k), 1)
             pick, n = _grouped(list(rows[1:].astype(np.int64)) + [rows[0].astype(np.int64)], np.ones(rows.shape[1], np.int64), max(len(v.id), 16))
@@ -251,12 +252,18 @@ def _put(n_buckets: int, longest: int, salt_at: int):
             content = mix(rows[0].astype(np.uint64))
             for c in rows[1:]:
                 content = mix(content * np.uint64(BYTE_BASE) + v.id[c])
-            salt = np.where(salts[pivot] > 1, content % salts[pivot].astype(np.uint64), 0).astype(np.uint64)
-            to = (((mix(mix(v.id[pivot]) + salt) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-            body = np.vstack([planes(((rows[0].astype(np.uint64) << np.uint64(1)) | (salts[pivot] > 1)), 1), planes(n, COUNT), *(planes(v.id[c], ID) for c in rows[1:])])
-            out += exchange.packed(k, to, part, body, exchange.spans(n_buckets)[0], part // exchange.FAN)
+            split = salts[pivot] > 1
+            salt = np.where(split, content % salts[pivot].astype(np.uint64), 0).astype(np.uint64)
+            places.append((((mix(mix(v.id[pivot]) + salt) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64))
+            body = np.zeros((2 + COUNT + most * ID, len(pick)), np.uint8)
+            body[0], body[1] = k, rows[0] << 1 | split
+            body[2 : 2 + COUNT] = planes(n, COUNT)
+            for j, c in enumerate(rows[1:]):
+                body[2 + COUNT + j * ID : 2 + COUNT + (j + 1) * ID] = planes(v.id[c], ID)
+            bodies.append(body)
+        out = exchange.table(exchange.packed(FRAGMENTS, np.concatenate(places), part, np.concatenate(bodies, 1), exchange.spans(n_buckets)[0], part // exchange.FAN) if places else [])
         exchange.release()
-        return exchange.table(out)
+        return out
 
     return put
 
@@ -265,10 +272,12 @@ def _mined(longest: int, least: int):
     def mine(t: pa.Table) -> pa.Table:
         """Phrases owned by this bucket's pivots: their words' numbers and counts. Those of pivots of one bucket alone are final here."""
         frags = []
-        for k in np.unique(t["kind"].to_numpy()).tolist():
-            _, _, rows = exchange.of_kind(t, k)
-            head = integers(rows, 0, 1).astype(np.int64)
-            frags.append((k, head >> 1, head & 1, integers(rows, 1, COUNT).astype(np.int64), [integers(rows, 1 + COUNT + ID * j, ID) for j in range(k)]))
+        _, _, rows = exchange.of_kind(t, FRAGMENTS)
+        for k in np.unique(rows[0]).tolist() if rows.size else []:
+            own = rows[:, rows[0] == k]
+            head = own[1].astype(np.int64)
+            frags.append((k, head >> 1, head & 1, integers(own, 2, COUNT).astype(np.int64), [integers(own, 2 + COUNT + ID * j, ID) for j in range(k)]))
+        del rows
         vocabulary = np.unique(np.concatenate([np.unique(c) for f in frags for c in f[4]])) if frags else np.zeros(0, np.uint64)
         frags = [(k, o, s, n, [np.searchsorted(vocabulary, c).astype(np.int32) for c in words]) for k, o, s, n, words in frags]
         keys, counts = [], []
@@ -346,10 +355,10 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if longest < 2 or least < 1:
         raise ValueError("phrases have two words at least and occur once at least")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-    dealt, n_parts, _ = parts.deal(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")), "doc_id", "text", ("lang",))
+    dealt, n_parts, _ = parts.deal(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")), "doc_id", "text", ("lang",), PART_BYTES)
     n_words, n_buckets = parts.buckets(n_parts), max(parts.LEAST_BUCKETS, n_parts)
     words = exchange.delivered(dealt.groupBy("part").applyInArrow(_counts(n_words), exchange.PACKET), n_words)
-    answers = exchange.delivered(words.groupBy("to").applyInArrow(_frequent(n_parts, least), exchange.PACKET), n_parts)
+    answers = exchange.delivered(words.groupBy("to").applyInArrow(_frequent(n_parts, n_words, least), exchange.PACKET), n_parts)
     asked = dealt.groupBy("part").cogroup(answers.groupBy("to"))
     named = asked.applyInArrow(_name, "lang string, word string, key binary, n bigint")
     sent = exchange.delivered(asked.applyInArrow(_put(n_buckets, longest, salt_at), exchange.PACKET), n_buckets)

@@ -65,7 +65,7 @@ def test_collocations_match_brute_force(spark, how):
 
 def test_many_parts_and_salted_pivots(spark, monkeypatch):
     monkeypatch.setattr(parts, "LEAST_PART", 500)
-    monkeypatch.setattr(parts, "PART_BYTES", 600)
+    monkeypatch.setattr(phrases, "PART_BYTES", 600)
     rows = some_rows(80, 6)
     assert found(spark, rows, least=5, salt_at=7) == brute([(k, t) for _, t, k in rows], 5)
 
