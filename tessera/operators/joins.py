@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,29 @@ def within(reading: Column, target: Column, tolerance: float) -> Column:
     return F.abs(reading - target) <= tolerance * target
 
 
+def band_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, target: str, tolerance: float) -> DataFrame:
+    """Rows of both sides with equal keys whose value lies within `tolerance` (relative) of the target: an equi-join by logarithmic buckets.
+
+    A bucket is wider than the band on either side of a target, so a value near a target is in its bucket or in one beside it:
+    the right side has a row for each of the three, the left side one, so that each pair meets once; then the exact test. A hot key is many
+    buckets, and a bucket that is hot still is a join's skewed partition, which adaptive execution splits. Zero equals zero alone;
+    null keys and values, and numbers below zero or not finite, match nothing, as within() has it.
+    """
+    if not 0 < tolerance < 1:
+        raise ValueError("the tolerance is between 0 and 1")
+    width = -1.01 * math.log1p(-tolerance)
+
+    def bucket(v: Column) -> Column:
+        return F.when(v > 0, F.floor(F.ln(v) / width)).when(v == 0, F.lit(None).cast("long"))
+
+    finite = lambda c: F.col(c).isNotNull() & (F.col(c) >= 0) & (F.col(c) < math.inf)
+    zero = F.lit(-(1 << 62)).cast("long")
+    l = left.where(finite(value)).withColumn("_bucket", F.coalesce(bucket(F.col(value)), zero))  # noqa: E741
+    at = bucket(F.col(target))
+    r = right.where(finite(target)).withColumn("_bucket", F.explode(F.when(at.isNull(), F.array(zero)).otherwise(F.array(at - 1, at, at + 1))))
+    return l.join(r, [*keys, "_bucket"]).where(within(F.col(value), F.col(target), tolerance)).drop("_bucket")
+
+
 def cited(claims: DataFrame, blocks: DataFrame, answer: tuple[str, ...] = ()) -> DataFrame:
     """Claims with their valid citations in order of first mention, and the number that name no block.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import METRICS
 
@@ -44,6 +47,22 @@ CTE_ASSESSED = (
 )
 
 
+def registry() -> tuple[dict, dict, Callable]:
+    """Queries by name, their SQL, and a decorator that adds both."""
+    queries, oracle = {}, {}
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, oracle, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +73,23 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {n}" for n, e in RECORDS.items()))
+
+
+_P = [PRINTED.format(k=k) for k in range(1, 6)]
+#: One attempt's figures as a report prints them: behind a letter's dollar sign, with a percentage in front, scaled by words, in brackets, and where they are no amounts.
+STATEMENT = (
+    f"concat('Total net sales$', {{c[0]}}, ' 33 %$', {{c[1]}}, ' 6 %; assets of $ ', CAST({{third}} AS STRING), '.', lpad(CAST({_P[2]} % 1000 AS STRING), 3, '0'),"
+    f" ' Billions (', {{c[3]}}, '), FY2021, cash ', CAST({_P[4]} AS STRING), ' mn and x', {{c[0]}}, '.')"
+)
+CTE_REPORTS = (
+    "statements AS (SELECT o_custkey AS id, string_agg(" + STATEMENT.format(c=[f"format('{{:,}}', {p})" for p in _P], third=f"{_P[2]} // 1000") + ", ' ' ORDER BY o_orderkey) AS said FROM orders GROUP BY 1), "
+    "reports AS (SELECT doc_id, concat('T', CAST(doc_id + 1 AS STRING)) AS ticker, concat(text, chr(10), said) AS text FROM documents LEFT JOIN statements ON id = doc_id + 1)"
+)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each with all attempts' figures of the company next in number printed behind its text."""
+    said = F.expr(STATEMENT.format(c=[f"format_number({p}, 0)" for p in _P], third=f"{_P[2]} div 1000"))
+    of_company = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", said.alias("said")))), lambda x: x["said"]), " ").alias("said"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") + 1).alias("id")).join(of_company, "id", "left")
+    return d.select("doc_id", F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"), F.concat("text", F.lit("\n"), F.coalesce("said", F.lit(""))).alias("text"))

@@ -1,41 +1,27 @@
-"""Rules that no SQL of another engine can state, on small fixtures, against expectations written out as VALUES."""
+"""Rules on small fixtures, each with the rows it must give."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, guards, joins, quality, retrieval, sections
-from ..plans import executor, planner, render
-from ..plans.tasks import QueryPlan, Task
-from ..schemas import Comparison, Direction, Intent, Metric, PlanType, Status
-from ..sources import chunk_store, corpus, extraction
-from ..streaming import limits
-
-QUERIES, ORACLE_SQL = {}, {}
-
+from tessera.operators import evaluation, guards, joins, quality, retrieval, sections
+from tessera.plans import executor, planner, render
+from tessera.plans.tasks import QueryPlan, Task
+from tessera.schemas import Comparison, Direction, Intent, Metric, PlanType, Status
+from tessera.sources import chunk_store, corpus, extraction
+from tessera.store import new_folder
+from tessera.streaming import limits
 
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).upper()
-    if isinstance(v, float):
-        return f"{v!r}::DOUBLE"
-    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+CASES = {}
 
 
 def expects(columns: str, *rows: tuple):
-    """Registers a query with the rows it must give; a column may be followed by the type its numbers have."""
-    named = [c.split() for c in columns.split(", ")]
-    chosen = ", ".join(f"CAST({n} AS {kind[0]}) AS {n}" if kind else n for n, *kind in named)
+    """Registers a case with the rows it must give; types behind a column's name are for the reader."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = f"SELECT {chosen} FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({', '.join(c[0] for c in named)})"
+        CASES[f.__name__] = (f, names, rows)
         return f
 
     return add
@@ -80,7 +66,7 @@ def c5_recursive_cases(s, d):
 @expects("step, n_rows BIGINT, matches, texts", ("empty", -1, None, ""), ("added", 4, True, "old 0,old 1,old 2,other"), ("replaced", 2, True, "new,other"), ("reset", -1, True, ""))
 def io13_io14_io15_store(s, d):
     """A store says under which parameters it was made, replaces the filings that come again, and is emptied."""
-    store, out = chunk_store.ChunkStore(s, f"{_folder(s)}/chunks", chunk_store.params_hash(size=500)), []
+    store, out = chunk_store.ChunkStore(s, f"{new_folder(s, 'cases')}/chunks", chunk_store.params_hash(size=500)), []
     schema = "source_cik string, source_year int, source_section string, chunk_index int, text string"
 
     def step(name: str) -> None:
@@ -97,14 +83,6 @@ def io13_io14_io15_store(s, d):
     return s.createDataFrame(out, "step string, n_rows long, matches boolean, texts string")
 
 
-def _folder(s) -> str:
-    """A new folder in the one that driver and executors share; in local mode without one, a temporary folder."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not s.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp()}"
-
-
 @expects("i, said", (0, "3 rows"), (1, "a document with {'cik': '1', 'year': 2021} exists"), (2, "a document with {'cik': '3', 'year': 2021} exists"))
 def io5_inserted(s, d):
     """A key that is held, or that comes twice, rejects the whole insert."""
@@ -136,7 +114,7 @@ def io6_appended(s, d):
 @expects("question, response, invalid", ("b", "half", True), ("c", "good", False))
 def io18_write_policy(s, d):
     """Held entries stay, invalid answers are kept, calls that did not complete are not."""
-    from ..functions.text import cache_key
+    from tessera.functions.text import cache_key
 
     results = s.createDataFrame([("a", "success", "new"), ("b", "extraction_failed", "half"), ("c", "success", "good"), ("d", "technical_failed", None)], "question string, extraction_status string, response string")
     cache = results.where("question = 'a'").select(cache_key(F.col("question")).alias("cache_key"), F.lit("old").alias("response"))
@@ -151,7 +129,7 @@ def _fetch(row: dict) -> str:
 
 @expects("cik, year, status, error, text", ("1", 2021, "kept", None, "filing 1"), ("2", 2022, "failed", "ConnectionError: gone", None), ("3", 2020, "kept", None, "filing 3"))
 def io3_fetched(s, d):
-    path = f"{_folder(s)}/texts"
+    path = f"{new_folder(s, 'cases')}/texts"
     wanted = s.createDataFrame([("1", 2021), ("2", 2022), ("3", 2020)], "cik string, year int")
     kept = corpus.persisted(corpus.fetched(wanted, _fetch), path, ["cik", "year"])
     return kept.join(s.read.schema("text string, cik string, year int").parquet(path), ["cik", "year"], "left")
@@ -333,7 +311,7 @@ def q2_q3_q4_many_numbers(s, d):
 @expects("mention, ticker, failure", ("apple", "AAPL", None), ("AAPL", "AAPL", None), ("Google", "GOOGL", None), ("Goldman Sachs", "GS", None), ("bank", None, "ambiguous_company"), ("Tesla", None, "non_corpus_company"), (" ", None, "no_company_mention"), ("northern", None, "ambiguous_company"))
 def t3_mentions(s, d):
     """Ticker, alias, one name with all tokens; several names are ambiguous."""
-    from ..operators import resolve
+    from tessera.operators import resolve
 
     names = s.createDataFrame([("AAPL", "Apple Inc."), ("GOOGL", "Alphabet Inc."), ("GS", "Goldman Sachs Group Inc"), ("NOC", "Northern Lights Corp"), ("NTRS", "Northern Trust Corp")], "ticker string, company_name string")
     asked = ["apple", "AAPL", "Google", "Goldman Sachs", "bank", "Tesla", " ", "northern"]
@@ -422,7 +400,7 @@ def n3_refusals(s, d):
 @expects("i, said", (0, "hybrid:financial_ranking:highest,strategy:Its strategy?"), (1, "single:financial_filter:gt $1bn"), (2, "single:strategy:Why?"), (3, "LabelError: q: the label has no tasks"), (4, "LabelError: q: no threshold for the filter"), (5, "LabelError: q: no question for task t2"))
 def s6_label_plans(s, d):
     """What a label stands for as a plan, and labels that stand for none."""
-    from ..plans import labels
+    from tessera.plans import labels
 
     ranking, own, over = {"intent": "financial_ranking", "metric": "net_income"}, {"intent": "strategy", "company": "AAPL"}, {"intent": "financial_filter", "metric": "net_income"}
     tries = [
@@ -445,7 +423,7 @@ def q11_preconditions(s, d):
     """A run starts only with the labels frozen (line ends aside) and the model configured."""
     import hashlib
 
-    from ..plans import labels
+    from tessera.plans import labels
 
     frozen = hashlib.sha256(b"a\nb").hexdigest()
     tries = [lambda: labels.require_unchanged("a\r\nb", frozen), lambda: labels.require_unchanged("a", "000"), lambda: labels.require_served("m", lambda m: m), lambda: labels.require_served("m", lambda m: "n"), lambda: labels.require_served("m", lambda m: None)]
@@ -455,7 +433,7 @@ def q11_preconditions(s, d):
 @expects("seconds, warmed, ready", (0.0, True, False), (5.0, False, False), (10.0, True, True), (11.0, False, True), (99.0, False, True))
 def w4_retry_gate(s, d):
     """A failed warm-up is tried again after the gap at the earliest, a successful one never."""
-    from ..plans import labels
+    from tessera.plans import labels
 
     at, outcomes, out = [0.0, 5.0, 10.0, 11.0, 99.0], iter([False, True]), []
     clock = iter(at)
