@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,60 +24,104 @@ def name_matches(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return found.where(F.size(F.array_except("wanted", "tokens")) == 0).select("mention_id", "name_id")
 
 
-#: Inner words of a passage that must occur in a row, and how many distinct runs of passages still make a bit map for the texts.
-RUN_WORDS, MOST_MAPPED = 3, 1 << 16
+#: Inner words of a passage that must occur in a row, letters of a gram, the rarest grams of a passage that are looked up, and bits of a map at most.
+RUN_WORDS, GRAM, RAREST, MOST_BITS = 3, 3, 2, 1 << 24
 
 
-def _bit_map(keys: DataFrame, most: int) -> tuple[Column, int] | None:
-    """A literal bit map of hashed keys (sixteen bits a key) and its size, or none for more than `most` keys."""
-    found = [r[0] for r in keys.distinct().limit(most + 1).collect()]  # at most `most` + 1
-    if len(found) > most:
-        return None
-    size = max(64, 1 << (16 * len(found)).bit_length())
+def _mapped(keys: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test whether a hashed key may be among these (about n of them): a bit map of sixteen bits a key, MOST_BITS at most.
+
+    The bits are set by an aggregate; its rows (one for 64 bits) are what comes to the driver. More keys than fit make the test let
+    more through, no less.
+    """
+    size = min(MOST_BITS, max(64, 1 << (16 * n - 1).bit_length()))
+    at = F.pmod(F.col("_key"), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
     words = [0] * (size // 64)
-    for k in found:
-        at = k % size
-        words[at // 64] |= 1 << at % 64
-    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
-    return F.split(F.lit(signed), ",").cast("array<long>"), size
+    for word, bits in keys.groupBy(F.floor(at / 64).cast("int")).agg(F.bit_or(bit)).collect():  # at most MOST_BITS / 64
+        words[word] = bits
+    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
+
+    def let_through(h: Column) -> Column:
+        own = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.get(held, F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")).bitwiseAND(own) != 0
+
+    return let_through
 
 
-def contained_passages(passages: DataFrame, texts: DataFrame, mapped: int = MOST_MAPPED) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+
+
+def contained_passages(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """(passage_id, text_id) where a passage occurs in a text as it stands, case and white space included; its ends may cut words.
 
     All words of a passage but its first and last are whole words of a text that holds it, so up to RUN_WORDS of them in a row are its
-    key: the longest such run, as the likeliest to be rare. Texts keep their runs that a bit map of all keys lets through (as
-    long as there are at most `mapped` keys; the map's size is checked), and an equi-join finds the candidates; the exact test is left to them. A
-    passage of fewer than three words has no word that must be whole, so it is tested against every text.
+    key: the longest such run, as the likeliest to be rare. A passage of fewer than three words has no word that must be whole; its
+    keys are its rarest grams of three letters (short_passages). Texts keep the keys that a bit map of all the passages' lets through, an
+    equi-join finds the candidates, and the exact test is left to them. A null passage or text matches nothing, an empty passage every text.
+    While the plan is built, the passages are counted by length of their keys and their keys mapped.
     """
-    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
     run = lambda w, i, n: F.xxhash64(*(F.get(w, i + j) for j in range(n)), F.lit(n))
-    p = passages.withColumn("_w", words(F.col("passage"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(RUN_WORDS)))
-    short, p = p.where("_n <= 0").select("passage_id", "passage"), p.where("_n > 0")
-    starts = F.sequence(F.lit(1), F.size("_w") - 1 - F.col("_n"))  # from the second word on
-    longest = F.array_max(F.transform(starts, lambda i: F.struct(F.length(F.array_join(F.slice("_w", i + 1, F.col("_n")), "")).alias("size"), (-i).alias("i"))))
-    p = p.withColumn("_i", -longest["i"])
-    key = F.lit(None).cast("long")
-    for n in range(1, RUN_WORDS + 1):
-        key = F.when(F.col("_n") == n, run(F.col("_w"), F.col("_i"), n)).otherwise(key)
-    p = p.select("passage_id", "_n", key.alias("_key"))
-    lengths = sorted(r[0] for r in p.select("_n").distinct().collect()) or [RUN_WORDS]  # at most RUN_WORDS values
-    bits = _bit_map(p.select("_key"), mapped)
-
-    def runs_of(n: int) -> Column:
-        return F.transform("_w", lambda _, i: run(F.col("_w"), i, n))
-
-    runs = F.flatten(F.array(*map(runs_of, lengths)))
-    if bits is not None:
-        where, size = bits
-        runs = F.filter(runs, lambda h: F.get(where, F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0)
-    keys = texts.withColumn("_w", words(F.col("text"))).select("text_id", F.explode(F.array_distinct(runs)).alias("_key"))
-    found = keys.join(p.select("passage_id", "_key"), "_key").select("passage_id", "text_id").distinct()
-    both = found.join(passages, "passage_id").join(texts, "text_id")
-    out = both.where(F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id")
-    if short.isEmpty():
-        return out
-    return out.unionByName(short.join(texts, F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id"))
+    p = passages.where(F.col("passage").isNotNull()).withColumn("_w", _words(F.col("passage"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(RUN_WORDS)))
+    counts = {max(0, n): k for n, k in p.groupBy(F.greatest("_n", F.lit(0))).count().collect()}  # at most RUN_WORDS + 1 rows
+    found = []
+    if counts.get(0):
+        found.append(short_passages(p.where("_n <= 0").select("passage_id", "passage"), texts))
+    lengths = sorted(n for n in counts if n)
+    if lengths:
+        p = p.where("_n > 0")
+        starts = F.sequence(F.lit(1), F.size("_w") - 1 - F.col("_n"))  # from the second word on
+        longest = F.array_max(F.transform(starts, lambda i: F.struct(F.length(F.array_join(F.slice("_w", i + 1, F.col("_n")), "")).alias("size"), (-i).alias("i"))))
+        p = p.withColumn("_i", -longest["i"])
+        key = F.lit(None).cast("long")
+        for n in range(1, RUN_WORDS + 1):
+            key = F.when(F.col("_n") == n, run(F.col("_w"), F.col("_i"), n)).otherwise(key)
+        p = p.select("passage_id", key.alias("_key"))
+        may = _mapped(p, sum(counts[n] for n in lengths))
+        runs_of = lambda n: F.transform("_w", lambda _, i: run(F.col("_w"), i, n))
+        runs = F.filter(F.flatten(F.array(*map(runs_of, lengths))), may)
+        keys = texts.withColumn("_w", _words(F.col("text"))).select("text_id", F.explode(F.array_distinct(runs)).alias("_key"))
+        found.append(_tested(keys.join(p, "_key").select("passage_id", "text_id").distinct(), passages, texts))
+    return reduce(DataFrame.unionByName, found) if found else passages.select("passage_id").join(texts.select("text_id"), F.lit(False))
+
+
+def _tested(candidates: DataFrame, passages: DataFrame, texts: DataFrame) -> DataFrame:
+    both = candidates.join(passages, "passage_id").join(texts, "text_id")
+    return both.where(F.contains(F.col("text"), F.col("passage"))).select("passage_id", "text_id")
+
+
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Hashes of the distinct stretches of n letters of a text."""
+    letters = F.split(text, "")  # by place at no cost, as a text's letters are not
+    letters = F.filter(letters, lambda c: c != "")
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(n)), F.lit(n)))
+    return F.get(F.transform(F.array(letters), lambda c: F.when(F.size(c) >= n, F.array_distinct(each(c))).otherwise(F.array().cast("array<long>"))), 0)
+
+
+def short_passages(passages: DataFrame, texts: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """contained_passages by postings of grams: texts that hold the `rarest` grams of a passage that fewest texts hold are candidates.
+
+    A passage of fewer than GRAM letters is one gram of its own length, the empty one a gram that every text has. Texts give their
+    distinct grams that some passage has; how many texts hold each is counted from these postings.
+    """
+    n = F.least(F.length("passage"), F.lit(GRAM))
+    own = F.when(n == 0, F.array(F.xxhash64(F.lit(0))))
+    for k in range(1, GRAM + 1):
+        own = own.when(n == k, grams(F.col("passage"), k))
+    held = passages.select("passage_id", n.alias("_n"), F.explode(own).alias("_key"))
+    lengths = {r[0]: r[1] for r in held.groupBy("_n").count().collect()}  # at most GRAM + 1 rows
+    if not lengths:
+        return passages.select("passage_id").join(texts.select("text_id"), F.lit(False))
+    may = _mapped(held, sum(lengths.values()))
+    given = F.flatten(F.array(*(grams(F.col("text"), k) if k else F.array(F.xxhash64(F.lit(0))) for k in sorted(lengths))))
+    postings = texts.where(F.col("text").isNotNull()).select("text_id", F.explode(F.filter(given, may)).alias("_key"))
+    spread = postings.groupBy("_key").agg(F.count("*").alias("_texts"))
+    nth = F.row_number().over(Window.partitionBy("passage_id").orderBy(F.coalesce("_texts", F.lit(0)), "_key"))
+    keys = held.select("passage_id", "_key").join(spread, "_key", "left").withColumn("_nth", nth).where(F.col("_nth") <= rarest)
+    asked = keys.withColumn("_asked", F.count("*").over(Window.partitionBy("passage_id"))).select("passage_id", "_key", "_asked")
+    both = asked.join(postings.distinct(), "_key").groupBy("passage_id", "text_id").agg(F.count("*").alias("_hits"), F.first("_asked").alias("_asked"))
+    return _tested(both.where("_hits = _asked").select("passage_id", "text_id"), passages, texts)
 
 
 def middle_slice(inner: Column, length: int) -> Column:

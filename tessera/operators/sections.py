@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import chunk_id, unspaced
 from . import joins
@@ -51,50 +47,68 @@ def line_chunks(docs: DataFrame, least: int = LEAST_CHUNK) -> DataFrame:
     return pieces.where(F.length(F.trim("text")) >= least)
 
 
-def split_recursively(text: str, size: int, overlap: int, length=len, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size`, cut at the coarsest separator that serves; neighbours share up to `overlap`."""
-    for k, sep in enumerate(separators):
-        if sep == "" or sep in text:
-            break
-    parts = list(text) if sep == "" else text.split(sep)
-    done: list[str] = []
-    window: list[str] = []
-
-    def size_of(items: list[str]) -> int:
-        return sum(map(length, items)) + length(sep) * max(0, len(items) - 1)
-
-    def flush() -> None:
-        piece = sep.join(window).strip()
-        if piece:
-            done.append(piece)
-
-    for part in parts:
-        if length(part) > size and k + 1 < len(separators):
-            if window:
-                flush()
-                window = []
-            done += split_recursively(part, size, overlap, length, separators[k + 1 :])
-            continue
-        if window and size_of([*window, part]) > size:
-            flush()
-            while window and (size_of(window) > overlap or size_of([*window, part]) > size):
-                window = window[1:]
-        window = [*window, part]
-    if window:
-        flush()
-    return done
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def recursive_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, words: bool = True, least: int = LEAST_CHUNK) -> DataFrame:
-    """doc_id, chunk_index, text by recursive splitting; length in words unless told otherwise (no token data offline)."""
-    measure = (lambda s: len(s.split())) if words else len
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def recursive_pieces(text: Column, size: int, overlap: int, length=word_count, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """Pieces of a text of at most `size`, cut at the coarsest separator that serves; neighbours share up to `overlap`.
+
+    A text is cut before each of the first separator. What is shorter than `size` is gathered up to `size`, in a fold whose state is the piece in the
+    making; a new piece begins with as much of the last one's end as fits the overlap. What is longer is cut at the next separator, and at the last one it
+    stays whole. Pieces lose white space at their ends; empty ones are left out. A null text has null pieces.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap is shorter than a piece")
+    part = "array<struct<text: string, n: int>>"
+
+    def stripped(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+
+    def piece(window: Column) -> Column:
+        return F.filter(F.array(stripped(F.array_join(F.transform(window, lambda w: w["text"]), ""))), lambda t: t != "")
+
+    def end_of(window: Column, total: Column, most: Column) -> Column:
+        """The longest end of a window of at most `most`, and its length."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, c) for d, t in zip(f["doc_id"], f["text"], strict=True) for i, c in enumerate(split_recursively(t or "", size, overlap, measure)) if len(c.strip()) >= least]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
+        def step(state: Column, w: Column) -> Column:
+            long = state["total"] > most
+            return F.struct(F.when(long, state["window"]).otherwise(F.array_append(state["window"], w)).alias("window"), F.when(long, state["total"] - w["n"]).otherwise(state["total"]).alias("total"))
 
-    return docs.select("doc_id", "text").mapInPandas(run, T.StructType.fromDDL("doc_id bigint, chunk_index int, text string"))
+        return F.aggregate(window, F.struct(F.array().cast(part).alias("window"), total.alias("total")), step)
+
+    def cut(t: Column, separator: str) -> Column:
+        if not separator:
+            return F.split(t, "")
+        quoted = "".join(f"\\x{{{ord(c):x}}}" for c in separator)
+        return F.transform(F.split(t, quoted), lambda p, i: F.when(i > 0, F.concat(F.lit(separator), p)).otherwise(p))
+
+    def level(t: Column, k: int) -> Column:
+        parts = F.transform(F.filter(cut(t, separators[k]), lambda p: p != ""), lambda p: F.struct(p.alias("text"), length(p).cast("int").alias("n")))
+
+        def state(out: Column, window: Column, total: Column) -> Column:
+            return F.struct(out.alias("out"), window.alias("window"), total.cast("int").alias("total"))
+
+        def step(s: Column, p: Column) -> Column:
+            finer = level(p["text"], k + 1) if k + 1 < len(separators) else F.array(p["text"])
+            done = F.concat(s["out"], piece(s["window"]))
+            over = _bound(end_of(s["window"], s["total"], F.least(F.lit(overlap), size - p["n"])), lambda e: state(done, F.array_append(e["window"], p), e["total"] + p["n"]))
+            return F.when(p["n"] >= size, state(F.concat(done, finer), F.array().cast(part), F.lit(0))).when(s["total"] + p["n"] > size, over).otherwise(state(s["out"], F.array_append(s["window"], p), s["total"] + p["n"]))
+
+        return F.aggregate(parts, state(F.array().cast("array<string>"), F.array().cast(part), F.lit(0)), step, lambda s: F.concat(s["out"], piece(s["window"])))
+
+    return level(text, 0)
+
+
+def recursive_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, words: bool = True, least: int = LEAST_CHUNK) -> DataFrame:
+    """doc_id, chunk_index, text by recursive splitting; length in words unless told otherwise (no token data offline). Numbers count short pieces too, which are then dropped."""
+    pieces = recursive_pieces(F.col("text"), size, overlap, word_count if words else F.length)
+    return docs.select("doc_id", F.posexplode(pieces).alias("chunk_index", "text")).where(F.length(F.trim("text")) >= least)
 
 
 def with_ids(chunks: DataFrame, cik: Column, year: Column, section: Column) -> DataFrame:

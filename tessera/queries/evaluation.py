@@ -129,11 +129,6 @@ def c3_c4_accepted_sections(s, d):
     return sections.accepted_sections(t, ("Item 1A", "Item 7", "Item 1", "Item 7A"), 200, 100, 300)
 
 
-@query()
-def c5_recursive_chunks(s, d):
-    return sections.recursive_chunks(table(s, d, "documents"), 100, 10)
-
-
 @query("WITH c AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS chunk_index, substr(sha256(concat_ws('|', lang, '2021', source, CAST(i AS STRING), piece)), 1, 32) AS chunk_id FROM c WHERE length(trim(piece)) >= 100")
 def c6_c7_chunks(s, d):
     t = table(s, d, "documents")
@@ -377,7 +372,7 @@ def w1_offered_load(s, d):
     return limits.offered(e, 3600).select("event_id", "n_offered")
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6::DOUBLE AS asked, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events), r AS (SELECT event_id, user_id, nth, 0 AS wait, NULL::DOUBLE AS older, asked AS newer FROM e WHERE nth = 1 UNION ALL SELECT e.event_id, e.user_id, e.nth, CASE WHEN older IS NULL OR asked - older >= 3600 THEN 0 ELSE greatest(1, CAST(ceil(3600 - (asked - older)) AS INT)) END, CASE WHEN older IS NULL OR asked - older >= 3600 THEN newer ELSE older END, CASE WHEN older IS NULL OR asked - older >= 3600 THEN asked ELSE newer END FROM r JOIN e ON e.user_id = r.user_id AND e.nth = r.nth + 1) SELECT event_id, wait = 0 AS admitted, CAST(wait AS INT) AS retry_after FROM r")
 def w1_admitted(s, d):
     e = table(s, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return limits.admitted(e, 2, 3600.0).select(F.col("request_id").alias("event_id"), "admitted", "retry_after")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guards, quality, reads
-from .frames import CTE_ASSESSED, CTE_REPORTS, docs, records, registry, reports
+from ..operators import guards, joins, quality, reads, sections
+from .frames import CTE_ASSESSED, CTE_REPORTS, docs, records, registry, reports, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -47,3 +47,44 @@ def q7_masked_reports(s, d):
     targets = _targets(s, d).groupBy("ticker").agg(F.collect_list("target").alias("targets"))  # at most 3 for each of five figures
     return guards.masked(reports(s, d), targets, "ticker").select("doc_id", F.sha2("text", 256).alias("masked"), "withheld")
 
+
+def _split_sql(text: str, k: int, size: int, overlap: int) -> str:
+    """Pieces of a text at the separators from the kth on, as nested folds of lists; every element has the shape of the fold's state."""
+    s, p = f"s{k}", f"p{k}"
+    q = sections.SEPARATORS[k].replace("'", "''").replace("\n", "' || chr(10) || '")
+    cut = f"string_split({text}, '')" if not sections.SEPARATORS[k] else f"list_transform(string_split({text}, '{q}'), lambda x{k}, i{k}: CASE WHEN i{k} > 1 THEN concat('{q}', x{k}) ELSE x{k} END)"
+    empty = "CAST([] AS STRUCT(t VARCHAR, n INT)[])"
+    make = lambda out, window, total, t="''", n="0": f"struct_pack(o := {out}, w := {window}, c := CAST({total} AS INT), t := {t}, n := CAST({n} AS INT))"
+    piece = lambda w: f"list_filter([regexp_replace(array_to_string(list_transform({w}, lambda y{k}: y{k}.t), ''), '^\\s+|\\s+$', '', 'g')], lambda z{k}: z{k} <> '')"
+    most = f"least({overlap}, {size} - {p}.n)"
+    end = f"list_filter({s}.w, lambda e{k}, j{k}: {s}.c - coalesce(list_sum(list_transform({s}.w[1:j{k} - 1], lambda f{k}: f{k}.n)), 0) <= {most})"
+    done = f"list_concat({s}.o, {piece(s + '.w')})"
+    finer = _split_sql(f"{p}.t", k + 1, size, overlap) if k + 1 < len(sections.SEPARATORS) else f"[{p}.t]"
+    own = f"struct_pack(t := {p}.t, n := {p}.n)"
+    step = (
+        f"CASE WHEN {p}.n >= {size} THEN {make(f'list_concat({done}, {finer})', empty, 0)}"
+        f" WHEN {s}.c + {p}.n > {size} THEN {make(done, f'list_append({end}, {own})', f'coalesce(list_sum(list_transform({end}, lambda g{k}: g{k}.n)), 0) + {p}.n')}"
+        f" ELSE {make(f'{s}.o', f'list_append({s}.w, {own})', f'{s}.c + {p}.n')} END"
+    )
+    none = "CAST([] AS VARCHAR[])"
+    words = f"len(list_filter(regexp_split_to_array(m{k}, '\\s+'), lambda h{k}: h{k} <> ''))"
+    parts = f"list_transform(list_filter({cut}, lambda l{k}: l{k} <> ''), lambda m{k}: {make(none, empty, 0, f'm{k}', words)})"
+    folded = f"list_reduce(list_prepend({make(none, empty, 0)}, {parts}), lambda {s}, {p}: {step})"
+    return f"list_transform([{folded}], lambda {s}: list_concat({s}.o, {piece(s + '.w')}))[1]"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index, c AS text FROM (SELECT doc_id, unnest(c) AS c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {_split_sql('text', 0, 100, 10)} AS c FROM documents)) WHERE length(trim(c)) >= 100")
+def c5_recursive_chunks(s, d):
+    return sections.recursive_chunks(table(s, d, "documents"), 100, 10)
+
+
+_SHORT = "p AS (SELECT item_id * 3 + k AS passage_id, CASE k WHEN 0 THEN w[3] WHEN 1 THEN concat(w[3], ' ', w[4]) ELSE left(w[5], 2) END AS passage FROM (SELECT item_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark), (VALUES (0), (1), (2)) v(k))"
+
+
+@query(f"WITH {_SHORT} SELECT passage_id, doc_id AS text_id FROM p JOIN documents ON contains(text, passage)")
+def q1_short_passages(s, d):
+    """A word, two words and two letters of each benchmark passage, looked for in all whole texts."""
+    w = table(s, d, "benchmark").select("item_id", F.split("text", r"\s+").alias("w"))
+    said = F.array(F.get("w", 2), F.concat(F.get("w", 2), F.lit(" "), F.get("w", 3)), F.left(F.get("w", 4), F.lit(2)))
+    p = w.select("item_id", F.posexplode(said).alias("k", "passage")).select((F.col("item_id") * 3 + F.col("k")).alias("passage_id"), "passage")
+    return joins.contained_passages(p, table(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))

@@ -1,4 +1,4 @@
-"""Chunks with vectors as Parquet, partitioned by filing, with the parameters they were made under beside them."""
+"""Chunks with vectors, keyed by filing, in versions (see snapshots), with the parameters they were made under."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import corpus
+from .snapshots import Snapshots
 
 KEYS = ["source_cik", "source_year"]
 
@@ -19,28 +19,32 @@ def params_hash(**params: object) -> str:
 
 class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, params: str) -> None:
-        self.spark, self.path, self.params = spark, path.rstrip("/"), params
+        self.params, self.table = params, Snapshots(spark, path, KEYS, params)
 
     def matches(self) -> bool | None:
         """Whether the store was built with these parameters (None: it does not say). A mismatch is reported, not raised."""
-        return corpus.params_match(self.spark, f"{self.path}.meta", self.params)
+        held = self.table.manifest()["params"]
+        return None if held is None else held == self.params
 
-    def add(self, chunks: DataFrame) -> None:
-        """Replaces the filings that occur in chunks; chunks with a null in their metadata are refused."""
+    def add(self, chunks: DataFrame) -> int:
+        """Replaces the filings that occur in chunks, as one version; chunks with a null in their metadata are refused."""
         meta = [c for c in chunks.columns if c.startswith("source_") or c == "chunk_index"]
         if chunks.where(F.greatest(*(F.col(c).isNull() for c in meta))).limit(1).count():
             raise ValueError("chunk metadata must not be null")
-        corpus.replace_partitions(chunks, f"{self.path}/chunks", KEYS)
-        self.spark.createDataFrame([(self.params,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}.meta/_params")
+        return self.table.upsert(chunks)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
 
     def count(self) -> int:
-        return corpus.row_count(self.spark, f"{self.path}/chunks")
+        """Chunks in the store, or -1 if it cannot be read."""
+        try:
+            m = self.table.manifest()
+            return self.table.read().count() if m["version"] and m["folders"] else -1
+        except Exception:  # noqa: BLE001  any failure to read means the same here
+            return -1
 
     def reset(self, docs: DataFrame) -> DataFrame:
         """Empties the store; the documents come back with is_embedded cleared, so the two agree."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/chunks")
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        self.table.clear()
         return docs.withColumn("is_embedded", F.lit(False))

@@ -106,6 +106,24 @@ def read_narrative(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """rows with the fields of a JSON text and status: read, malformed or missing.
+
+    Each row is parsed by itself, so one that cannot be read leaves the others; its fields are null, as are those of a text that is no object or
+    has a value of another type. Absent fields are null, others than the schema's are ignored. A null or blank text is missing.
+    """
+    fields = T.StructType.fromDDL(schema)
+    both = T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())])
+    j = F.from_json(F.col(column), both, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    out = rows.withColumn("_j", j)
+    text = F.trim(column)
+    status = F.when(F.col(column).isNull() | (text == ""), "missing").when(F.col("_j._corrupt").isNotNull() | F.col("_j").isNull() | ~F.startswith(text, F.lit("{")), "malformed").otherwise("read")
+    out = out.withColumn("status", status)
+    for f in fields.fields:
+        out = out.withColumn(f.name, F.when(F.col("status") == "read", F.col(f"_j.{f.name}")))
+    return out.drop("_j")
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files: path and text."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

@@ -56,5 +56,19 @@ class Files:
         self._fs.mkdirs(self._path(new).getParent())
         return self._fs.rename(self._path(old), self._path(new))
 
+    def write_text(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read_text(self, path: str) -> str:
+        into = self._fs.open(self._path(path))
+        try:
+            return bytes(into.readAllBytes()).decode()
+        finally:
+            into.close()
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)

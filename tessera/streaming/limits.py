@@ -1,8 +1,8 @@
 """Admission by a sliding window per client and a daily budget over all.
 
-A request's admission depends on earlier admissions, so no window function can
-express it: a client's requests are walked in order of time, with the admitted times of one
-window as the only state. The daily budget alone is a running count. Both together need one
+A request's admission depends on earlier admissions, so no window function can express it. But a request that comes a whole window after the
+one before it owes nothing to what went before: a client's requests fall into islands that are judged apart, each by a fold over
+its times in order, whose state is the admitted times of one window. The daily budget alone is a running count. Both together need one
 clock over all clients; Limiter is that sequential rule, for a service.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 60.0
@@ -58,24 +58,71 @@ class Limiter:
         return True, 0, None
 
 
+#: Windows in a span of time within which a client's requests are ordered, and requests in a fold's block.
+SPAN, BLOCK = 64, 512
+
+
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def waits(times: Column, per_window: int, window: float = WINDOW) -> Column:
+    """For each of an array of times in order 0 if it is admitted, else the whole seconds until a request would be.
+
+    A fold in blocks, so that what is appended to stays short however long the array is.
+    """
+    none, numbers = F.array().cast("array<double>"), F.array().cast("array<int>")
+
+    def judged(state: Column, now: Column, live: Column) -> Column:
+        free = F.size(live) < per_window
+        wait = F.when(free, 0).otherwise(F.greatest(F.lit(1), F.ceil(window - (now - F.get(live, 0))).cast("int")))
+        return F.struct(F.when(free, F.array_append(live, now)).otherwise(live).alias("times"), F.array_append(state["out"], wait).alias("out"))
+
+    def step(state: Column, now: Column) -> Column:
+        return _bound(F.filter(state["times"], lambda t: now - t < window), lambda live: judged(state, now, live))
+
+    def block(state: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(state["times"].alias("times"), numbers.alias("out")), step)
+        return _bound(done, lambda d: F.struct(d["times"].alias("times"), F.array_append(state["out"], d["out"]).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(times) - 1) / BLOCK).cast("int")), lambda i: F.slice(times, i * BLOCK + 1, BLOCK))
+    folded = F.aggregate(blocks, F.struct(none.alias("times"), F.array().cast("array<array<int>>").alias("out")), block)
+    return F.when(F.size(times) > 0, F.flatten(folded["out"])).otherwise(numbers)
+
+
+def islands(requests: DataFrame, window: float = WINDOW) -> DataFrame:
+    """client, request_id, at and island: the number of its client's requests so far that came a window or more after the one before.
+
+    A client's requests are ordered within spans of time, and spans by their first and last request, so a client with
+    most of the requests is many tasks. A null client is a client.
+    """
+    rows = requests.select(F.col("client").cast("string").alias("client"), "request_id", F.col("at").cast("double").alias("at"))
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), "client"), F.lit(""))).withColumn("_span", F.floor(F.col("at") / (SPAN * window)))
+    order = Window.partitionBy("_key", "_span").orderBy("at", "request_id")
+    spans = Window.partitionBy("_key").orderBy("_span")  # a row a span
+    last = rows.groupBy("_key", "_span").agg(F.max("at").alias("_last")).withColumn("_before", F.lag("_last").over(spans)).drop("_last")
+    near = rows.withColumn("_prev", F.lag("at").over(order)).join(last, ["_key", "_span"]).withColumn("_prev", F.coalesce("_prev", "_before"))
+    fresh = near.withColumn("_fresh", F.when(F.col("at") - F.col("_prev") < window, 0).otherwise(1)).withColumn("_nth", F.sum("_fresh").over(order))
+    starts = fresh.groupBy("_key", "_span").agg(F.sum("_fresh").alias("_n"))
+    base = starts.withColumn("_base", F.coalesce(F.sum("_n").over(spans.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return fresh.join(base, ["_key", "_span"]).select("client", "request_id", "at", "_key", (F.col("_base") + F.col("_nth")).alias("island"))
+
+
 def admitted(requests: DataFrame, per_window: int, window: float = WINDOW) -> DataFrame:
     """Which requests a per-client sliding window admits. requests: client, request_id, at (seconds).
 
-    A client's requests are walked in one task, as each decision needs those before it; state is the admitted times of one window.
+    Requests of one time are taken by request_id. A request without a time is neither admitted nor refused (nulls). What stays in one
+    task is one island: requests that follow one another without a pause of a window.
     """
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, q = None, deque()  # rows come client by client, in order of time
-        for f in frames:
-            wait = []
-            for c, t in zip(f["client"], f["at"], strict=True):
-                if c != client:
-                    client, q = c, deque()
-                wait.append(seconds_to_wait(q, t, per_window, window))
-            yield f.assign(admitted=[w == 0 for w in wait], retry_after=wait)
-
-    ordered = requests.select(F.col("client").cast("string").alias("client"), "request_id", F.col("at").cast("double").alias("at")).repartition("client").sortWithinPartitions("client", "at", "request_id")
-    return ordered.mapInPandas(walk, SCHEMA)
+    if per_window < 1 or window <= 0:
+        raise ValueError("a window admits one request at least")
+    timed = islands(requests.where(F.col("at").isNotNull()), window)
+    each = timed.groupBy("_key", "island").agg(F.first("client").alias("client"), F.array_sort(F.collect_list(F.struct("at", "request_id"))).alias("r"))
+    judged = each.select("client", F.explode(F.arrays_zip("r", waits(F.transform("r", lambda x: x["at"]), per_window, window).alias("wait"))).alias("x"))
+    out = judged.select("client", "x.r.request_id", "x.r.at", (F.col("x.wait") == 0).alias("admitted"), F.col("x.wait").alias("retry_after"))
+    untimed = requests.where(F.col("at").isNull()).select(F.col("client").cast("string").alias("client"), "request_id", F.lit(None).cast("double").alias("at"), F.lit(None).cast("boolean").alias("admitted"), F.lit(None).cast("int").alias("retry_after"))
+    return out.unionByName(untimed)
 
 
 def offered(requests: DataFrame, seconds: int = 60) -> DataFrame:
