@@ -7,7 +7,8 @@ has its own split: the terms after it are non-essential, because the bound on wh
 (the least of the sum of their highest contributions and the product of norms) does not exceed the
 query's threshold. Essential postings are traversed for all candidates; the others are probed, a group of
 terms at a time, only for candidates that are still competitive. Blocks of candidates are
-shards: each gives its own best k of a query, and a window merges them.
+shards: each gives its own best k of a query, and a window merges them. Where products may exceed what a double holds, bounds have a
+margin for its error, and the candidates that pass them are scored again in whole numbers.
 
 Queries and candidates are packed into blocks of rows; a block of queries meets a
 block of candidates by an equi-join on the shard number, so the rows shuffled are
@@ -110,36 +111,29 @@ def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def max_score(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[Best, np.ndarray, int]:
+def max_score(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, inner: int = INNER_BLOCK) -> tuple[Best, np.ndarray, int]:
     """The best k candidates of each query (ties to the smaller id), the order of candidates that positions refer to, and how many postings were read."""
     order = np.argsort(c_ids, kind="stable")
     c, c_ids, best, read = c[order], c_ids[order], Best(len(q), k), 0
     size = lambda m: int(max(m.max(initial=0), -int(m.min(initial=0))))
     big = size(q) * size(c) * q.shape[1]
-    if big >= 1 << 53:
-        q, c = q.astype(np.int64), c.astype(np.int64)
-        for at in range(0, len(c), INNER_BLOCK):
-            for a in range(0, len(q), TOGETHER):
-                scores = exact_scores(q[a : a + TOGETHER], c[at : at + INNER_BLOCK])
-                read += scores.size * q.shape[1]
-                for i, s in enumerate(scores, a):
-                    other = np.flatnonzero(c_ids[at : at + INNER_BLOCK] != q_ids[i])
-                    best.add(i, other + at, s[other])
-        return best, order, read
     kind = np.float32 if big < 1 << 24 else np.float64
-    alike = np.argsort(np.abs(q).argmax(1), kind="stable")  # queries with one heaviest term lie together
-    at, step = 0, INNER_BLOCK
+    if sure := big >= 1 << 53:  # bounds are compared with a margin; who is left is scored again in whole numbers
+        q, c = q.astype(np.int64), c.astype(np.int64)
+    alike = np.argsort(np.abs(q.astype(np.float64)).argmax(1), kind="stable")  # queries with one heaviest term lie together
+    at, step = 0, inner
     while at < len(c):  # thresholds rise in the first, small blocks; later ones are larger
-        part, part_ids = c[at : at + step].astype(kind), c_ids[at : at + step]
+        whole, part_ids = c[at : at + step], c_ids[at : at + step]
+        part = whole.astype(kind)
         high, low = part.max(0).astype(np.float64), part.min(0).astype(np.float64)
         for a in range(0, len(q), TOGETHER):
-            read += _together(q, q_ids, alike[a : a + TOGETHER], part, part_ids, high, low, at, best)
-        at, step = at + step, min(2 * step, MOST_INNER)
+            read += _together(q, q_ids, alike[a : a + TOGETHER], part, part_ids, high, low, at, best, whole if sure else None)
+        at, step = at + step, min(2 * step, max(inner, MOST_INNER))
     return best, order, read
 
 
-def _together(q: np.ndarray, q_ids: np.ndarray, own: np.ndarray, part: np.ndarray, part_ids: np.ndarray, high: np.ndarray, low: np.ndarray, at: int, best: Best) -> int:
-    """Searches a block of candidates for some queries that share an order of terms. Gives the number of postings read."""
+def _together(q: np.ndarray, q_ids: np.ndarray, own: np.ndarray, part: np.ndarray, part_ids: np.ndarray, high: np.ndarray, low: np.ndarray, at: int, best: Best, whole: np.ndarray | None = None) -> int:
+    """Searches a block of candidates for some queries that share an order of terms. Gives the number of postings read. whole: the candidates in whole numbers, where floats do not hold their products."""
     x = q[own].astype(np.float64)
     reach = np.maximum(x * high, x * low)  # the most that each term can add
     terms = np.argsort(-(np.abs(x).sum(0) * np.maximum(np.abs(high), np.abs(low))), kind="stable")
@@ -179,11 +173,11 @@ def _together(q: np.ndarray, q_ids: np.ndarray, own: np.ndarray, part: np.ndarra
             scores[n, alive] += part[np.ix_(alive, groups[j])] @ query[n, groups[j]]
             read += len(alive) * len(groups[j])
         if len(alive):
-            best.add(i, alive + at, scores[n, alive].astype(np.int64))
+            best.add(i, alive + at, scores[n, alive].astype(np.int64) if whole is None else exact_scores(q[i : i + 1], whole[alive])[0])
     return read
 
 
-def _search(k: int):
+def _search(k: int, inner: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
@@ -193,7 +187,7 @@ def _search(k: int):
                 dim = max(q.shape[1], c.shape[1])
                 q, c = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) if m.shape[1] < dim else m for m in (q, c))
                 q_ids, c_ids = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                best, order, _ = max_score(q, q_ids, c, c_ids, k)
+                best, order, _ = max_score(q, q_ids, c, c_ids, k, inner)
                 n, which = [len(w) for w in best.where], np.concatenate(best.where)
                 columns = np.repeat(q_ids, n), np.repeat(x["q_block"] * QUERY_BLOCK + np.arange(len(q)), n), c_ids[order[which]], np.concatenate(best.scores)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["query_id", "query_row", "vec_id", "score"])
@@ -202,12 +196,15 @@ def _search(k: int):
     return search
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other vectors of each query. vectors: vec_id and v, as integer_vectors gives them."""
-    candidates = vectors.mapInArrow(_pack(CANDIDATE_BLOCK), BLOCK)
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, inner: int = INNER_BLOCK, block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best other vectors of each query. vectors: vec_id and v, as integer_vectors gives them.
+
+    block: candidates of a shard's block; inner: how many of them are searched before thresholds rise for the first time.
+    """
+    candidates = vectors.mapInArrow(_pack(block), BLOCK)
     queries = vectors.where(is_query).mapInArrow(_pack(QUERY_BLOCK), BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dim", "width", "ids", "rows")))
-    shards = max(16, vectors.count() // (CANDIDATE_BLOCK * SHARD_BLOCKS))  # a block of queries is copied once a shard
+    shards = max(16, vectors.count() // (block * SHARD_BLOCKS))  # a block of queries is copied once a shard
     pairs = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(candidates.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int")), "shard")
-    found = pairs.mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
+    found = pairs.mapInArrow(_search(k, inner), "query_id long, query_row long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
