@@ -1,31 +1,19 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Tables written to the shared folder to cut lineage, and removed when they are done with."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
+from ..store import Files, new_folder, shared_folder  # noqa: F401
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it. Where it is unset, only a session in local mode (as in tests, where
-    driver and executors are one process) gets a folder of its own; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
@@ -49,9 +37,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    Files(spark, path).remove(path)
 
 
 def _remove_all() -> None:
