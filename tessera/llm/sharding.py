@@ -6,10 +6,11 @@ has a fixed bound) that is edited, not recomputed, when shards are rebalanced or
 added; each edit makes a new version. All versions are stored with the edits that made them, so any
 can be loaded and the way to it read.
 
-Under law "key" the slot is a hash of the id alone; under law "bytes" it is a hash of id and text, so rows
-without an id and rows that repeat one are spread like others. Null texts have size 1, as empty ones.
-Repeated rows get places of their own. Places in a slot are numbered in SUBS lots by a
-hash of the text, so that a slot is no task of its own. An empty table gives no rows.
+Under law "key" the slot is a hash of the id alone, so rows that repeat an id are in one slot, as that law asks. Under law "bytes" it is a hash of id and
+text; of rows that repeat both, up to SHARES shares go to slots of their own, so that no group of equal rows makes a shard heavy. Equal rows
+are counted first and get their places from their number, so they are one row in every shuffle however many they are. Null texts have size 1, as
+empty ones; rows without an id are spread by their text and their number. Places in a slot are numbered in SUBS lots by a hash of the text, so that a slot is no task of
+its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS, SUBS = 4096, 16
+SLOTS, SUBS, SHARES, RUN = 4096, 16, 1024, 1 << 16
 MAP, EDITS = "version int, n_shards int, vslot int, shard int", "version int, vslot int, source int, target int"
 
 
@@ -106,11 +107,15 @@ class SlotMap:
 
 
 def sized(docs: DataFrame, key: Column, text: Column, n_slots: int = SLOTS, law: str = "bytes") -> DataFrame:
-    """doc_id, size, text_crc32, vslot, sub: all that sharding needs of a document."""
+    """doc_id, size, text_crc32, copies, vslot, sub: equal rows counted, and in law "bytes" dealt to shares of about one size."""
     body = F.coalesce(text.cast("string"), F.lit(""))
-    text_hash = F.xxhash64(body)
-    slot = F.xxhash64(key) if law == "key" else F.xxhash64(key, text_hash)
-    return docs.select(key.alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.pmod(slot, F.lit(n_slots)).cast("int").alias("vslot"), F.pmod(F.shiftright(text_hash, 32), F.lit(SUBS)).cast("int").alias("sub"))
+    rows = docs.select(key.alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("_hash"))
+    equal = rows.groupBy("doc_id", "size", "text_crc32", "_hash").agg(F.count("*").alias("_n"))
+    shares = F.least("_n", F.lit(SHARES if law == "bytes" else 1)).cast("int")
+    each = equal.withColumn("_shares", shares).withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    copies = F.floor(F.col("_n") / F.col("_shares")) + F.when(F.col("_share") < F.col("_n") % F.col("_shares"), 1).otherwise(0)
+    slot = F.xxhash64("doc_id") if law == "key" else F.when(F.col("_share") == 0, F.xxhash64("doc_id", "_hash")).otherwise(F.xxhash64("doc_id", "_hash", "_share"))
+    return each.select("doc_id", "size", "text_crc32", "_hash", "_share", copies.cast("long").alias("copies"), F.pmod(slot, F.lit(n_slots)).cast("int").alias("vslot"), F.pmod(F.shiftright("_hash", 32), F.lit(SUBS)).cast("int").alias("sub"))
 
 
 def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, law: str = "bytes", slot_map: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
@@ -124,7 +129,7 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, law: str = "
     if law not in ("bytes", "key"):
         raise ValueError(f"no such law: {law}")
     spark, rows = docs.sparkSession, sized(docs, docs["doc_id"], docs["text"], n_slots, law)
-    lots = {(r.vslot, r["sub"]): (r.n, r.bytes) for r in rows.groupBy("vslot", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
+    lots = {(r.vslot, r["sub"]): (r.n, r.bytes) for r in rows.groupBy("vslot", "sub").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("bytes")).collect()}
     placed = slot_map or SlotMap.initial(n_shards, n_slots)
     if law == "bytes":
         loads: dict[int, int] = {}
@@ -140,6 +145,10 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = SLOTS, law: str = "
         bases.append((s, sub, k, next_place[k], later.owner[s] if law == "key" else None))
         next_place[k] += n
     bounded = spark.createDataFrame(bases, "vslot int, sub int, shard int, base long, grown_shard int")  # at most SUBS * n_slots rows
-    in_lot = F.row_number().over(Window.partitionBy("vslot", "sub").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32"))
-    out = rows.withColumn("nth", in_lot - 1).join(F.broadcast(bounded), ["vslot", "sub"])
-    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot"), "grown_shard", F.col("vslot").alias("virtual_slot"), F.lit(placed.version).alias("map_version")), placed
+    in_lot = Window.partitionBy("vslot", "sub").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32", "_hash", "_share").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("before", F.coalesce(F.sum("copies").over(in_lot), F.lit(0))).join(F.broadcast(bounded), ["vslot", "sub"])
+    runs = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    here = F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("run") * RUN)
+    each = runs.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), here - 1)))
+    place = F.col("base") + F.col("before") + F.col("run") * RUN + F.col("nth")
+    return each.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", place.cast("long").alias("slot"), "grown_shard", F.col("vslot").alias("virtual_slot"), F.lit(placed.version).alias("map_version")), placed

@@ -18,14 +18,12 @@ def brute_top(ids, v, queries, k):
 
 
 @pytest.mark.parametrize("scale", [1, 64, 100_000])
-def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, scale):
-    monkeypatch.setattr(topk, "INNER_BLOCK", 32)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 70)
+def test_top_k_equals_brute_force_with_ties(spark, scale):
     rng = np.random.default_rng(5)
     v = np.round(rng.normal(size=(300, 16)), 1)
     v[50:90] = v[10]
     df = spark.createDataFrame([(int(i), x.tolist(), "x") for i, x in enumerate(v)], "vec_id long, embedding array<double>, shard string").repartition(5)
-    got = sorted(map(tuple, topk.top_k(topk.integer_vectors(df, scale=scale), F.col("vec_id") % 20 == 0, 20).collect()))
+    got = sorted(map(tuple, topk.top_k(topk.integer_vectors(df, scale=scale), F.col("vec_id") % 20 == 0, 20, inner=32, block=70).collect()))
     ints = np.floor(v * scale).astype(np.int64)
     assert got == brute_top(np.arange(300), ints, range(0, 300, 20), 20)
 
@@ -128,14 +126,33 @@ def test_maps_are_stored_by_version(spark, tmp_path):
 
 
 def test_shards_are_those_of_the_stored_map(spark, awkward, tmp_path):
-    """Each row's shard is recomputed from the map as stored: its virtual slot's owner; equal rows have equal slots."""
+    """Each row's shard is recomputed from the map as stored: its virtual slot's owner."""
     placed, m = sharding.shard(awkward, 8, store=str(tmp_path))
     owner = {r.vslot: r.shard for r in spark.read.parquet(f"{tmp_path}/map/version={m.version}").collect()}
     rows = placed.collect()
     assert len(owner) == sharding.SLOTS and {r.map_version for r in rows} == {m.version} and all(owner[r.virtual_slot] == r.shard for r in rows)
-    slots = {}
-    for r in rows:
-        assert slots.setdefault((r.doc_id, r.text_crc32, r["size"]), r.virtual_slot) == r.virtual_slot
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_equal_rows_are_spread(spark, key):
+    df = spark.range(20_000).select(F.lit(key).cast("long").alias("doc_id"), F.lit("one text").alias("text")).unionByName(spark.range(100, 140).select(F.col("id").alias("doc_id"), F.lit("other").alias("text")))
+    rows = sharding.shard(df, 8)[0].collect()
+    n = [sum(r.shard == k for r in rows) for k in range(8)]
+    assert len(rows) == 20_040 and max(n) - min(n) <= 40
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(n[k]))
+    kept = sharding.shard(df, 8, law="key")[0].where("size = 9").collect()
+    assert len(kept) == 20_000 and len({r.shard for r in kept}) == 1 and len({r.slot for r in kept}) == 20_000
+
+
+def test_many_equal_rows_are_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    monkeypatch.setattr(sharding, "SHARES", 3)
+    df = spark.range(1000).select((F.col("id") % 4).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = sharding.shard(df, 2, n_slots=16)[0].collect()
+    for k in range(2):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    assert len(rows) == 1000 and {r.doc_id for r in rows} == {0, 1, 2, 3}
 
 
 def test_rows_of_one_id_are_spread(spark):
