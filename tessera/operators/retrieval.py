@@ -5,11 +5,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import knn
+
 ITEM_1, ITEM_1A, ITEM_7, ITEM_7A = "Item 1", "Item 1A", "Item 7", "Item 7A"
 # What a narrative question may search, where a label is stored otherwise, and what is searched in its absence.
 POLICY = {
@@ -79,17 +82,19 @@ def seed_swap(seeds: DataFrame, chunks: DataFrame, rank: int = 10, key: str = "v
     seeds: seed_id, kind, company, section, claim (a vector), cited array of keys; chunks: key, company, section, embedding.
     A same-company seed takes the `rank`th nearest of the company's chunks it does not cite, the last if there are fewer; an
     other-company seed the nearest of any other company. A seed without a candidate stays, with a null key and its status.
-    Seeds are few and broadcast; of the chunks, only `rank` a seed and task are shuffled.
+    Any number of seeds: they meet blocks of chunks that may be near enough (see knn).
     """
     if rank < 1:
         raise ValueError("rank must be at least 1")
     same = F.col("kind") == SAME_COMPANY
-    asked = F.broadcast(seeds.select("seed_id", "kind", F.col("company").alias("_own"), "section", "claim"))
-    cited = F.broadcast(seeds.where(same).select("seed_id", F.explode("cited").alias(key)))
-    met = chunks.select(key, "company", "section", "embedding").join(asked, "section").where(same == (F.col("company") == F.col("_own")))
-    left = met.join(cited, ["seed_id", key], "left_anti").select("seed_id", "kind", key, cosine_distance(F.col("embedding"), F.col("claim")).alias("distance"))
-    nth = left.withColumn("nth", F.row_number().over(Window.partitionBy("seed_id").orderBy("distance", key))).where(F.col("nth") <= rank)
-    picked = nth.where(same | (F.col("nth") == 1)).groupBy("seed_id").agg(F.max("nth").alias("nth"), F.max_by(key, "nth").alias(key), F.max_by("distance", "nth").alias("distance"))
+    asked = seeds.select("seed_id", "kind", "company", "section", F.col("claim").alias("embedding"), F.when(same, F.col("cited")).alias("cited"))
+
+    def allowed(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+        one_company = q["company"].to_numpy()[:, None] == c["company"].to_numpy()
+        return (q["section"].to_numpy()[:, None] == c["section"].to_numpy()) & (one_company == (q["kind"].to_numpy() == SAME_COMPANY)[:, None])
+
+    found = knn.nearest_many(chunks, asked, rank, key, "seed_id", columns=("company", "section"), query_columns=("kind", "company", "section"), match=allowed, excluded="cited")
+    picked = found.join(seeds.select("seed_id", "kind"), "seed_id").where(same | (F.col("rank") == 1)).groupBy("seed_id").agg(F.max("rank").alias("nth"), F.max_by(key, "rank").alias(key), F.max_by("distance", "rank").alias("distance"))
     out = seeds.select("seed_id", "kind", "company", "section").join(picked, "seed_id", "left")
     return out.withColumn("status", F.when(F.col(key).isNull(), "no_candidate").otherwise("swapped"))
 
@@ -133,8 +138,12 @@ def chunks_by_key(chunks: DataFrame, keys: DataFrame, columns: list[str]) -> Dat
     return chunks.join(keys.select(*columns).distinct(), columns, "left_semi")
 
 
-def citation_numbers(refs: DataFrame) -> DataFrame:
-    """Answer-wide numbers by first citation of (ticker, fiscal_year, section, chunk_index); refs has position."""
+def citation_numbers(refs: DataFrame, answer: tuple[str, ...] = ()) -> DataFrame:
+    """Answer-wide numbers by first citation of (ticker, fiscal_year, section, chunk_index); refs has position.
+
+    With the columns of `answer`, many answers are numbered at once, each by itself; without them, all references are one answer's, whose
+    sources are few.
+    """
     identity = ["ticker", "fiscal_year", "section", "chunk_index"]
-    first = refs.groupBy(*identity).agg(F.min("position").alias("first_position"))
-    return first.withColumn("number", F.dense_rank().over(Window.orderBy("first_position")))  # one answer's sources
+    first = refs.groupBy(*answer, *identity).agg(F.min("position").alias("first_position"))
+    return first.withColumn("number", F.dense_rank().over(Window.partitionBy(*answer).orderBy("first_position")))
