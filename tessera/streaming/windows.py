@@ -35,7 +35,7 @@ def tumbling(rows: DataFrame, time: EventTime, length: str, keys: Iterable[str],
 
 
 def sessions(rows: DataFrame, time: EventTime, gap: str, keys: Iterable[str], **sums: Column) -> DataFrame:
-    """start, end (the last event plus the gap) and the sums of each key's sessions: events less than the gap apart."""
+    """start, end (the last event plus the gap) and the sums of each key's sessions: events at most the gap apart."""
     w = F.session_window(time.column, gap)
     out = time.marked(rows).groupBy(w, *keys).agg(*(c.alias(n) for n, c in sums.items()))
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, *sums)
