@@ -175,10 +175,12 @@ def q1_evidence_present(s, d):
     return joins.contained_passages(p, t)
 
 
-@query("SELECT doc_id, contains(regexp_replace(lower(text), '\\s+', '', 'g'), regexp_replace(lower(substr(text, 11, 60)), '\\s+', '', 'g')) AS present FROM documents")
+@query("SELECT doc_id, contains(replace(regexp_replace(lower(d.text), '\\s+', '', 'g'), '$', ''), replace(regexp_replace(lower(b.text), '\\s+', '', 'g'), '$', '')) AS present FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40")
 def q1_flattened_present(s, d):
-    t = table(s, d, "documents")
-    return t.select("doc_id", quality.evidence_present(F.substring("text", 11, 60), F.col("text")).alias("present"))
+    """Whether a benchmark passage stands in a document, white space, case and dollar signs aside."""
+    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("line"))
+    t = table(s, d, "documents").join(b, F.col("item_id") == F.col("doc_id") % 40, "left")
+    return t.select("doc_id", quality.evidence_present(F.col("line"), F.col("text")).alias("present"))
 
 
 # sources
@@ -224,13 +226,12 @@ def io7_page_artifacts(s, d):
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("n_paragraphs"))
 
 
-@query("WITH o AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body FROM orders WHERE year(o_orderdate) < 1998 GROUP BY 1), n AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body FROM orders WHERE year(o_orderdate) < 1999 AND o_custkey % 3 <> 0 GROUP BY 1) SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, CASE WHEN n.body IS NULL THEN 'kept' WHEN o.body IS NULL THEN 'new' WHEN o.body = n.body THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.o_custkey = n.o_custkey")
+@query("WITH o AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body FROM orders WHERE year(o_orderdate) < 1998 GROUP BY 1), n AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body FROM orders GROUP BY 1) SELECT n.o_custkey, CASE WHEN o.body IS NULL THEN 'new' WHEN o.body = n.body THEN 'unchanged' ELSE 'changed' END AS status FROM n LEFT JOIN o ON o.o_custkey = n.o_custkey")
 def io8_write_status(s, d):
+    """Each customer's orders as written at the end of 1997, against all orders."""
     o = table(s, d, "orders")
     body = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("body")
-    old = o.where(F.year("o_orderdate") < 1998).groupBy("o_custkey").agg(body)
-    new = o.where((F.year("o_orderdate") < 1999) & (F.col("o_custkey") % 3 != 0)).groupBy("o_custkey").agg(body)
-    return corpus.write_status(old, new, ["o_custkey"], "body")
+    return corpus.write_status(o.where(F.year("o_orderdate") < 1998).groupBy("o_custkey").agg(body), o.groupBy("o_custkey").agg(body), ["o_custkey"], "body")
 
 
 @query("SELECT o_custkey, seq, price FROM (SELECT o_custkey, o_orderkey AS seq, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN year(o_orderdate) >= 1998 THEN 1 ELSE 0 END DESC, o_orderkey DESC) AS n FROM orders WHERE o_totalprice > 1000) WHERE n = 1")
@@ -253,21 +254,22 @@ def io11_period_column(s, d):
     return table(s, d, "orders").select("o_orderkey", corpus.period_column(cols, day).alias("col"))
 
 
-_CURRENT = "(SELECT d.*, l.fiscal_year_end, l.auditor_name, l.extracted_at FROM docs d JOIN latest l ON l.document_id = d.id)"
+_CURRENT = "(SELECT d.*, l.fiscal_year_end, l.auditor_name, l.extracted_at, l.extraction_strategy_used, l.prompt_version, l.model_name FROM docs d JOIN latest l ON l.document_id = d.id)"
+_EXPORTED = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {e} END) AS {m}{x}" for m in METRICS for x, e in (("", "value"), ("_quality", "verdict"), ("_quality_reason", "reason"), ("_quality_note", _NOTE), ("_source_line", "line")))
 
 
-@query(f"WITH {CTE_ASSESSED} SELECT c.ticker, c.cik, c.filing_year AS fiscal_year, c.auditor_name, strftime(c.extracted_at, '%Y-%m-%dT%H:%M:%S') AS extracted_at, " + ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}, max(CASE WHEN metric = '{m}' THEN verdict END) AS {m}_quality, max(CASE WHEN metric = '{m}' THEN line END) AS {m}_source_line" for m in METRICS) + f" FROM {_CURRENT} c JOIN judged j ON j.document_id = c.id GROUP BY 1, 2, 3, 4, 5")
+@query(f"WITH {CTE_ASSESSED} SELECT c.ticker, c.company_name, c.cik, c.filing_year AS fiscal_year, c.fiscal_year_end, c.auditor_name, {_EXPORTED}, c.extraction_strategy_used, c.prompt_version, c.model_name, strftime(c.extracted_at, '%Y-%m-%dT%H:%M:%S') AS extracted_at FROM {_CURRENT} c JOIN judged j ON j.document_id = c.id GROUP BY c.ticker, c.company_name, c.cik, c.filing_year, c.fiscal_year_end, c.auditor_name, c.extraction_strategy_used, c.prompt_version, c.model_name, c.extracted_at")
 def io12_export(s, d):
-    e = corpus.export_rows(reads.current(docs(s, d), records(s, d)))
-    return e.select("ticker", "cik", "fiscal_year", "auditor_name", "extracted_at", *(f"{m}{x}" for m in METRICS for x in ("", "_quality", "_source_line")))
+    return corpus.export_rows(reads.current(docs(s, d), records(s, d)))
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 3) AND vec_id % 7 = 0")
+@query("SELECT vec_id, label FROM embeddings e WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND d.n_chars % 10 = e.label)")
 def io16_chunks_by_key(s, d):
+    """Embeddings by (label, id) as all documents name them; most name one that nobody holds."""
     from ..operators import retrieval
 
-    e = table(s, d, "embeddings")
-    return retrieval.chunks_by_key(e, e.where("label IN (1, 3) AND vec_id % 7 = 0").select("label", "vec_id"), ["label", "vec_id"]).select("vec_id", "label")
+    keys = table(s, d, "documents").select((F.col("n_chars") % 10).cast("int").alias("label"), F.col("doc_id").alias("vec_id"))
+    return retrieval.chunks_by_key(table(s, d, "embeddings"), keys, ["label", "vec_id"]).select("vec_id", "label")
 
 
 @query("SELECT 'documents' AS t, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
@@ -280,12 +282,13 @@ def io17_row_counts(s, d):
 def io18_cache(s, d):
     t = table(s, d, "documents").select("doc_id", "lang", "source", "text")
     parts = ["lang", "source", "text"]
-    cache = t.where("doc_id % 3 = 0").select(X.cache_key(*(F.col(p) for p in parts)).alias("cache_key"), F.lit("x").alias("response"), F.col("doc_id").alias("own")).drop("own").distinct()
+    answered = t.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    cache = answered.select(X.cache_key(*(F.col(p) for p in parts)).alias("cache_key"), F.lit("x").alias("response"), F.col("doc_id").alias("own")).drop("own").distinct()
     hit, miss = corpus.cached_or_missing(t, cache, parts)
     return hit.select("doc_id", "cache_key", F.lit(True).alias("hit")).unionByName(miss.select("doc_id", "cache_key", F.lit(False).alias("hit")))
 
 
-ORACLE_SQL["io18_cache"] = "WITH k AS (SELECT doc_id, substr(sha256(concat(lang, chr(0), source, chr(0), text)), 1, 32) AS cache_key FROM documents) SELECT doc_id, cache_key, cache_key IN (SELECT cache_key FROM k WHERE doc_id % 3 = 0) AS hit FROM k"
+ORACLE_SQL["io18_cache"] = "WITH k AS (SELECT doc_id, substr(sha256(concat(lang, chr(0), source, chr(0), text)), 1, 32) AS cache_key FROM documents) SELECT doc_id, cache_key, cache_key IN (SELECT cache_key FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) AS hit FROM k"
 
 
 @query("SELECT concat('T', CAST(c_custkey AS STRING)) AS ticker, c_custkey AS id FROM customer WHERE c_custkey % 4 = 0")
@@ -319,10 +322,10 @@ def j9_q8_citations(s, d):
     return joins.cited(c, blocks).select("claim_id", F.nullif(F.array_join(F.transform("valid", lambda x: x.cast("string")), ","), F.lit("")).alias("valid"), "invalid")
 
 
-@query("SELECT c_custkey AS task_id, coalesce(o.status, 'failed') AS status FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS status FROM orders WHERE o_totalprice > 300000 GROUP BY 1) o ON o.o_custkey = c_custkey")
+@query("SELECT c_custkey AS task_id, coalesce(o.status, 'failed') AS status FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS status FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey")
 def j10_outcomes(s, d):
     tasks = table(s, d, "customer").select(F.col("c_custkey").alias("task_id"))
-    outcomes = table(s, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("task_id")).agg(F.min("o_orderstatus").alias("status"))
+    outcomes = table(s, d, "orders").groupBy(F.col("o_custkey").alias("task_id")).agg(F.min("o_orderstatus").alias("status"))
     return joins.outcomes_of(tasks, outcomes)
 
 
@@ -340,14 +343,13 @@ def j13_orphans(s, d):
     return joins.orphans(table(s, d, "events").select("event_id", "user_id"), sup, "user_id")
 
 
-_CMP = "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN -1 ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 6 <> 0) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.k = b.k"
+_CMP = "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS v FROM customer), b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS v FROM supplier) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.k = b.k"
 
 
 @query(_CMP)
 def j15_j16_parity(s, d):
-    c = table(s, d, "customer")
-    a = c.where("c_custkey % 7 <> 0").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS v")
-    b = c.where("c_custkey % 6 <> 0").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN -1 ELSE c_nationkey END AS v")
+    a = table(s, d, "customer").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS v")
+    b = table(s, d, "supplier").selectExpr("s_suppkey AS k", "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS v")
     return joins.compared(a, b, ["k"], "v").select("k", "status")
 
 

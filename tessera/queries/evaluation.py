@@ -50,11 +50,13 @@ def c16_all_groups(s, d):
     return retrieval.with_status(e.select("label").distinct(), e, "label").select("label", F.col("n_blocks").cast("long").alias("n_blocks"), "status")
 
 
-@query("WITH t AS (SELECT doc_id, source, lang FROM documents WHERE lang IN ('en', 'de')), has AS (SELECT source, bool_or(lang = 'en' AND doc_id % 50 = 1) AS own FROM documents WHERE (lang = 'en' AND doc_id % 50 = 1) OR lang = 'de' GROUP BY 1) SELECT d.source, d.doc_id, NOT h.own AS fallback_used FROM documents d JOIN has h ON h.source = d.source WHERE CASE WHEN h.own THEN lang = 'en' AND doc_id % 50 = 1 ELSE lang = 'de' END")
+_GROUP = "concat(source, '|', CAST(n_chars // 500 AS STRING))"
+
+
+@query(f"WITH t AS (SELECT *, {_GROUP} AS grp FROM documents), has AS (SELECT grp, bool_or(lang = 'en') AS own FROM t WHERE lang IN ('en', 'de') GROUP BY 1) SELECT t.grp, doc_id, NOT h.own AS fallback_used FROM t JOIN has h ON h.grp = t.grp WHERE CASE WHEN h.own THEN lang = 'en' ELSE lang = 'de' END")
 def c14_structural_fallback(s, d):
-    t = table(s, d, "documents")
-    primary = (F.col("lang") == "en") & (F.col("doc_id") % 50 == 1)
-    return retrieval.with_fallback(t.select("source").distinct(), t, primary, (F.col("lang") == "de") & ~primary, "source").select("source", "doc_id", "fallback_used")
+    t = table(s, d, "documents").withColumn("grp", F.expr("concat(source, '|', CAST(n_chars div 500 AS STRING))"))
+    return retrieval.with_fallback(t.select("grp").distinct(), t, F.col("lang") == "en", F.col("lang") == "de", "grp").select("grp", "doc_id", "fallback_used")
 
 
 @query("WITH p(intent, sections) AS (VALUES ('company_overview', ['Item 1']), ('strategy', ['Item 1', 'Item 7']), ('competition_and_regulation', ['Item 1', 'Item 1A']), ('risk_factors', ['Item 1A']), ('management_commentary', ['Item 7']), ('market_risk', ['Item 7', 'Item 7A'])), a(ticker, section, stored) AS (VALUES ('QCOM', 'Item 1', 'Item 1A'), ('META', 'Item 1', 'Item 1A')), t(ticker) AS (VALUES ('QCOM'), ('META'), ('AAPL')) SELECT concat(t.ticker, '|', intent) AS ticker, array_to_string(list_sort(list_distinct(list(coalesce(a.stored, s)))), ',') AS sections FROM (SELECT intent, unnest(sections) AS s FROM p) x CROSS JOIN t LEFT JOIN a ON a.ticker = t.ticker AND a.section = s GROUP BY 1")
@@ -142,10 +144,10 @@ def c18_inventory(s, d):
     return sections.inventory(t, retrieval.POLICY)
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading_before FROM conversations")
+@query("SELECT conv_id, turn, sha256(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS heading_before FROM conversations")
 def c19_heading_carried(s, d):
     c = table(s, d, "conversations")
-    return sections.headings_carried(c, "conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20))).select("conv_id", "turn", "heading_before")
+    return sections.headings_carried(c, "conv_id", "turn", F.when(F.col("role") == "user", F.col("text"))).select("conv_id", "turn", F.sha2("heading_before", 256).alias("heading_before"))
 
 
 @query("SELECT lang, min(n_chars) AS least, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median, max(n_chars) AS greatest, CAST(count(*) FILTER (n_chars < 200) AS BIGINT) AS n_under, CAST(count(*) FILTER (n_chars > 4000) AS BIGINT) AS n_over FROM documents GROUP BY 1")
@@ -406,18 +408,20 @@ def p_question_answers(s, d):
     return s.createDataFrame(rows, "n int, question string, plan_type string, answer string, statuses string")
 
 
-@query()
+@query("SELECT doc_id AS mention_id, upper(source) AS ticker, CAST(NULL AS STRING) AS failure FROM documents")
 def p_resolved_mentions(s, d):
-    m = table(s, d, "documents").select(F.col("doc_id").alias("mention_id"), F.substring_index("text", " ", 2).alias("mention"))
-    index = table(s, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("ticker"), F.col("n_name").alias("company_name"))
-    return resolve.resolve_company(m, index).select("mention_id", "ticker", "failure")
+    """Every document's source as a mention, in small letters, of a company that has it as its ticker."""
+    t = table(s, d, "documents")
+    index = t.select(F.upper("source").alias("ticker"), F.col("source").alias("company_name")).distinct()
+    return resolve.resolve_company(t.select(F.col("doc_id").alias("mention_id"), F.lower("source").alias("mention")), index).select("mention_id", "ticker", "failure")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 4 <> 1 AND (doc_id % 2 = 1 OR substr(text, 5, 40) <> '') AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 40) ELSE concat(substr(text, 5, 20), '~') END, '\\s+', ' ', 'g')))) END AS found FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN b.text IS NOT NULL AND contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) END AS found FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40")
 def e4_span_found(s, d):
-    t, i = table(s, d, "documents"), F.col("doc_id")
-    span = F.when(i % 4 == 1, "").when(i % 2 == 0, F.substring("text", 5, 40)).otherwise(F.concat(F.substring("text", 5, 20), F.lit("~")))
-    return t.select("doc_id", ev.span_found(F.when(i % 3 != 0, "supported").otherwise("not_supported"), span, F.col("text")).alias("found"))
+    """Whether a benchmark passage stands in a document's whole text, which a judge names as support for two claims in three."""
+    t, b = table(s, d, "documents"), table(s, d, "benchmark").select("item_id", F.col("text").alias("span"))
+    both = t.join(b, F.col("item_id") == F.col("doc_id") % 40, "left")
+    return both.select("doc_id", ev.span_found(F.when(F.col("doc_id") % 3 != 0, "supported").otherwise("not_supported"), F.col("span"), F.col("text")).alias("found"))
 
 
 @query("WITH c AS (SELECT o_orderkey AS item, unnest([o_custkey, o_custkey + 1400]) AS k, unnest([0, 1]) AS pos FROM orders) SELECT item, coalesce(string_agg(c_name, ',' ORDER BY pos) FILTER (c_name IS NOT NULL), '') AS texts, count(*) FILTER (c_name IS NULL) AS missing FROM c LEFT JOIN customer ON c_custkey = k GROUP BY 1")
@@ -427,10 +431,10 @@ def j14_judged_sources(s, d):
     return ev.judged_sources(c, k).select("item", F.array_join("texts", ",").alias("texts"), "missing")
 
 
-@query("SELECT o_orderkey AS fiscal_year, f AS field, CASE WHEN t IS NULL THEN 'n_a' WHEN v IS NULL THEN 'missing' WHEN abs(v - t) <= 1e-5 * abs(t) THEN 'correct' ELSE 'wrong' END AS outcome FROM (SELECT o_orderkey, f, CASE f WHEN 'net_income' THEN o_custkey ELSE o_custkey * 2 END AS v, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN f = 'net_income' THEN c_custkey ELSE c_custkey * 3 END AS t FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 7 <> 0, (VALUES ('net_income'), ('total_assets')) x(f))")
+@query("SELECT o_orderkey AS fiscal_year, f AS field, CASE WHEN t IS NULL THEN 'n_a' WHEN v IS NULL THEN 'missing' WHEN abs(v - t) <= 1e-5 * abs(t) THEN 'correct' ELSE 'wrong' END AS outcome FROM (SELECT o_orderkey, f, CASE f WHEN 'net_income' THEN o_custkey ELSE o_custkey * 2 END AS v, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN f = 'net_income' THEN c_custkey ELSE c_custkey * 3 END AS t FROM orders LEFT JOIN customer ON c_custkey = o_custkey, (VALUES ('net_income'), ('total_assets')) x(f))")
 def j5_against_key(s, d):
     r = table(s, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS cik", "o_orderkey AS fiscal_year", "CAST(o_custkey AS DOUBLE) AS net_income", "CAST(o_custkey * 2 AS DOUBLE) AS total_assets")
-    t = table(s, d, "customer").where("c_custkey % 7 <> 0").selectExpr("CAST(c_custkey AS STRING) AS cik", "CAST(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS DOUBLE) AS net_income", "CAST(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey * 3 END AS DOUBLE) AS total_assets")
+    t = table(s, d, "customer").selectExpr("CAST(c_custkey AS STRING) AS cik", "CAST(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS DOUBLE) AS net_income", "CAST(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey * 3 END AS DOUBLE) AS total_assets")
     key = r.select("cik", "fiscal_year").join(t, "cik")
     return ev.against_key(r, key, ("net_income", "total_assets")).select("fiscal_year", "field", "outcome")
 
