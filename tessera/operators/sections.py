@@ -60,8 +60,8 @@ def recursive_pieces(text: Column, size: int, overlap: int, length=word_count, s
     """Pieces of a text of at most `size`, cut at the coarsest separator that serves; neighbours share up to `overlap`.
 
     A text is cut before each of the first separator. What is shorter than `size` is gathered up to `size`, in a fold whose state is the piece in the
-    making; a new piece begins with as much of the last one's end as fits the overlap. What is longer is cut at the next separator, and at the last one it
-    stays whole. Pieces lose white space at their ends; empty ones are left out. A null text has null pieces.
+    making; a new piece begins with as much of the last one's end as fits the overlap. What is longer, or has no such separator, is cut at the next one; at the
+    last one it stays whole. Pieces lose white space at their ends; empty ones are left out. A null text has null pieces.
     """
     if not 0 <= overlap < size:
         raise ValueError("the overlap is shorter than a piece")
@@ -98,7 +98,8 @@ def recursive_pieces(text: Column, size: int, overlap: int, length=word_count, s
             finer = level(p["text"], k + 1) if k + 1 < len(separators) else F.array(p["text"])
             done = F.concat(s["out"], piece(s["window"]))
             over = _bound(end_of(s["window"], s["total"], F.least(F.lit(overlap), size - p["n"])), lambda e: state(done, F.array_append(e["window"], p), e["total"] + p["n"]))
-            return F.when(p["n"] >= size, state(F.concat(done, finer), F.array().cast(part), F.lit(0))).when(s["total"] + p["n"] > size, over).otherwise(state(s["out"], F.array_append(s["window"], p), s["total"] + p["n"]))
+            long = p["n"] >= size if k + 1 == len(separators) or not separators[k] else (p["n"] >= size) | ~F.contains(t, F.lit(separators[k]))
+            return F.when(long, state(F.concat(done, finer), F.array().cast(part), F.lit(0))).when(s["total"] + p["n"] > size, over).otherwise(state(s["out"], F.array_append(s["window"], p), s["total"] + p["n"]))
 
         return F.aggregate(parts, state(F.array().cast("array<string>"), F.array().cast(part), F.lit(0)), step, lambda s: F.concat(s["out"], piece(s["window"])))
 

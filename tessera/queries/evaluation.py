@@ -10,7 +10,7 @@ from ..operators import evaluation as ev
 from ..operators import guards, reads, resolve, retrieval, sections
 from ..plans import executor, planner
 from ..streaming import limits
-from .frames import docs, records, table
+from .frames import CTE_LATEST, docs, records, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -59,12 +59,14 @@ def c14_structural_fallback(s, d):
     return retrieval.with_fallback(t.select("grp").distinct(), t, F.col("lang") == "en", F.col("lang") == "de", "grp").select("grp", "doc_id", "fallback_used")
 
 
-@query("WITH p(intent, sections) AS (VALUES ('company_overview', ['Item 1']), ('strategy', ['Item 1', 'Item 7']), ('competition_and_regulation', ['Item 1', 'Item 1A']), ('risk_factors', ['Item 1A']), ('management_commentary', ['Item 7']), ('market_risk', ['Item 7', 'Item 7A'])), a(ticker, section, stored) AS (VALUES ('QCOM', 'Item 1', 'Item 1A'), ('META', 'Item 1', 'Item 1A')), t(ticker) AS (VALUES ('QCOM'), ('META'), ('AAPL')) SELECT concat(t.ticker, '|', intent) AS ticker, array_to_string(list_sort(list_distinct(list(coalesce(a.stored, s)))), ',') AS sections FROM (SELECT intent, unnest(sections) AS s FROM p) x CROSS JOIN t LEFT JOIN a ON a.ticker = t.ticker AND a.section = s GROUP BY 1")
+@query("WITH p(intent, sections) AS (VALUES ('company_overview', ['Item 1']), ('strategy', ['Item 1', 'Item 7']), ('competition_and_regulation', ['Item 1', 'Item 1A']), ('risk_factors', ['Item 1A']), ('management_commentary', ['Item 7']), ('market_risk', ['Item 7', 'Item 7A'])), a(section, stored) AS (VALUES ('Item 1', 'Item 1A')), t AS (SELECT source, bool_and(lang <> 'es') AS renamed FROM documents GROUP BY 1) SELECT concat(t.source, '|', intent) AS ticker, array_to_string(list_sort(list_distinct(list(coalesce(CASE WHEN t.renamed THEN a.stored END, s)))), ',') AS sections FROM (SELECT intent, unnest(sections) AS s FROM p) x CROSS JOIN t LEFT JOIN a ON a.section = s GROUP BY 1")
 def c12_c13_section_policy(s, d):
-    rows = [(f"{t}|{i}", list(x)) for t in ("QCOM", "META", "AAPL") for i, x in retrieval.POLICY.items()]
-    alias = [(f"{t}|{i}", sec, list(st)) for (t, sec), st in retrieval.SECTION_ALIASES.items() for i in retrieval.POLICY]
-    out = retrieval.stored_sections(s.createDataFrame(rows, "ticker string, sections array<string>"), s.createDataFrame(alias, "ticker string, section string, stored array<string>"))
-    return out.select("ticker", F.array_join("sections", ",").alias("sections"))
+    """The sections that each kind of question searches, for every source; sources without Spanish texts keep Item 1 under another label."""
+    t = table(s, d, "documents").groupBy("source").agg(F.bool_and(F.col("lang") != "es").alias("renamed"))
+    policy = F.array(*(F.struct(F.lit(i).alias("intent"), X.literals(x).alias("sections")) for i, x in retrieval.POLICY.items()))
+    asked = t.withColumn("p", F.explode(policy)).select(F.concat_ws("|", "source", "p.intent").alias("ticker"), "p.sections", "renamed")
+    alias = asked.where("renamed").select("ticker", F.lit(retrieval.ITEM_1).alias("section"), F.array(F.lit(retrieval.ITEM_1A)).alias("stored"))
+    return retrieval.stored_sections(asked, alias).select("ticker", F.array_join("sections", ",").alias("sections"))
 
 
 @query("SELECT conv_id, string_agg(concat('[', CAST(turn + 1 AS STRING), '] ', text), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
@@ -388,7 +390,16 @@ def w2_daily_budget(s, d):
 
 # guards and plans
 
-@query()
+_NEAR = "len(list_filter([total_revenue, net_income], lambda t: len(list_filter({v}, lambda v: abs(v - t) <= t * 0.005::DOUBLE)) > 0)) > 0"
+_ANY_SCALE = "[{n}, {n} * 1e3::DOUBLE, {n} * 1e6::DOUBLE, {n} * 1e9::DOUBLE]"
+
+
+@query(
+    "WITH " + CTE_LATEST + ", r AS (SELECT id, total_revenue, net_income, format('{:,.1f}', total_revenue / 1e9) AS sales, format('{:,}', CAST(round(net_income / 1e6) AS BIGINT)) AS costs FROM latest WHERE total_revenue IS NOT NULL), "
+    "h AS (SELECT *, " + _NEAR.format(v="[CAST(replace(sales, ',', '') AS DOUBLE) * 1e9::DOUBLE]") + " AS a, " + _NEAR.format(v=_ANY_SCALE.format(n="154000::DOUBLE")) + " AS b, contains(costs, ',') AND " + _NEAR.format(v=_ANY_SCALE.format(n="CAST(replace(costs, ',', '') AS DOUBLE)")) + " AS c FROM r) "
+    "SELECT id, CASE WHEN net_income IS NOT NULL THEN concat('Sales were ', CASE WHEN a THEN '[figure withheld]' ELSE concat('$', sales, ' billion') END, ', of ', CASE WHEN b THEN '[figure withheld]' ELSE '154,000' END, ' staff in 2021; costs ', CASE WHEN c THEN '[figure withheld]' ELSE costs END, '.') END AS text, "
+    "CASE WHEN net_income IS NULL THEN 0 ELSE CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) END AS withheld FROM h"
+)
 def q7_withheld_figures(s, d):
     r = reads.latest_success(records(s, d)).where("total_revenue IS NOT NULL")
     text = F.concat(F.lit("Sales were $"), F.format_number(F.col("total_revenue") / 1e9, 1), F.lit(" billion, of 154,000 staff in 2021; costs "), F.format_number(F.col("net_income") / 1e6, 0), F.lit("."))

@@ -61,8 +61,9 @@ def _split_sql(text: str, k: int, size: int, overlap: int) -> str:
     done = f"list_concat({s}.o, {piece(s + '.w')})"
     finer = _split_sql(f"{p}.t", k + 1, size, overlap) if k + 1 < len(sections.SEPARATORS) else f"[{p}.t]"
     own = f"struct_pack(t := {p}.t, n := {p}.n)"
+    absent = f" OR NOT contains({text}, '{q}')" if sections.SEPARATORS[k] else ""
     step = (
-        f"CASE WHEN {p}.n >= {size} THEN {make(f'list_concat({done}, {finer})', empty, 0)}"
+        f"CASE WHEN {p}.n >= {size}{absent} THEN {make(f'list_concat({done}, {finer})', empty, 0)}"
         f" WHEN {s}.c + {p}.n > {size} THEN {make(done, f'list_append({end}, {own})', f'coalesce(list_sum(list_transform({end}, lambda g{k}: g{k}.n)), 0) + {p}.n')}"
         f" ELSE {make(f'{s}.o', f'list_append({s}.w, {own})', f'{s}.c + {p}.n')} END"
     )
