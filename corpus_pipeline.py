@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of
 documents; n_chars follows the text.
+
+Null and empty texts: the classifier scores them as texts without words; those it keeps are one class of equal texts, of which one
+document stays; the substring stage makes a null text an empty one, with n_chars 0; packing gives each its closing id alone. Very long texts are
+judged, compared and cut as a whole; packing cuts them into pieces. Of copies and ties the document with the least id stays (one without an id
+last); rows that repeat an id and a text are one document after the near-duplicate stage. Columns beside those of documents are kept, whatever
+their names. An empty table gives empty tables.
 """
 
 from __future__ import annotations

@@ -38,7 +38,6 @@ def brute(rows, split, window):
 def test_words_match_brute_force(spark, awkward, monkeypatch, small_parts):
     if small_parts:
         monkeypatch.setattr(parts, "PART_BYTES", 4000)
-        monkeypatch.setattr(exchange, "FAN", 3)  # packets are split on the way, more than once
     got = sorted(map(tuple, substring_dedup.substring_dedup(awkward, carry=("lang",)).select("doc_id", "n_words", "n_removed", "kept_text", "carry_0").collect()), key=repr)
     rows = awkward_rows()
     want = [(r[0], len(u), int(g.sum()), " ".join(np.array(u, object)[~g]), r[2]) for r, (u, g) in zip(rows, brute(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), 50), strict=True)]
@@ -50,7 +49,6 @@ def test_bytes_match_brute_force(spark, awkward, monkeypatch, small_parts):
     if small_parts:
         monkeypatch.setattr(parts, "PART_BYTES", 4000)
         monkeypatch.setattr(parts, "LEAST_BUCKETS", 5)
-        monkeypatch.setattr(exchange, "FAN", 3)
     got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(awkward).collect()], key=repr)
     rows, want = awkward_rows(), []
     for r, (u, g) in zip(rows, brute(rows, lambda t: list(t.encode()), 50), strict=True):
@@ -148,6 +146,54 @@ def test_packets_stay_in_proportion_to_senders():
         assert sent <= n * exchange.FAN
 
 
+@pytest.mark.parametrize("n_places", [3, 10, 100])
+def test_packets_reach_their_places_in_several_steps(monkeypatch, n_places):
+    """Every step in this process, with three spans a step: a packet for a span of places is split again, FAN senders at a time."""
+    monkeypatch.setattr(exchange, "FAN", 3)
+    rng = np.random.default_rng(n_places)
+    steps, sent, want = exchange.spans(n_places), [], []
+    assert len(steps) == {3: 1, 10: 3, 100: 5}[n_places]
+    for sender in range(40):
+        to, rows = rng.integers(0, n_places, 30), rng.integers(0, 256, (5, 30)).astype(np.uint8)
+        for kind in (0, 2):
+            sent += exchange.packed(kind, to, sender, rows, steps[0], sender // 3, by_row=kind == 2)
+            want += [(kind, int(t), sender, bytes(r)) for t, r in zip(to, rows.T, strict=True)]
+    for span in steps[1:]:
+        groups = {}
+        for p in sent:
+            groups.setdefault(p[:2], []).append(p)
+        sent = [tuple(r.values()) for g in groups.values() for r in exchange._split(span)(exchange.table(g)).to_pylist()]
+    got = []
+    for place, _, kind, blob in sent:
+        to, source, rows = exchange.opened([pa.scalar(blob, pa.binary())])
+        assert set(to.tolist()) == {place}
+        got += [(kind, place, int(i), bytes(r)) for i, r in zip(source, rows.T, strict=True)]
+    assert sorted(got) == sorted(want)
+
+
+def test_long_texts_in_slices_of_one_part(spark, monkeypatch):
+    """Texts of hundreds of kilobytes that share most of their words, in one part of several slices, and short ones beside them."""
+    monkeypatch.setattr(parts, "LEAST_PART", 1 << 30)
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(62_000)]
+    rows = []
+    for i in range(6):
+        w = list(base)
+        for _ in range(20):
+            w[rng.randint(0, len(w) - 1)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(10 + i, " ".join(base[1000 * i : 1000 * i + rng.randint(30, 90)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert parts.deal(df, "doc_id", "text", ())[1] == 1 and sum(len(t) for _, t in rows) > 2 * substring_dedup.SLICE
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect()}
+    for (i, _), (u, g) in zip(rows, brute(rows, str.split, 50), strict=True):
+        assert got[i] == (int(g.sum()), " ".join(np.array(u, object)[~g])), i
+    short = [r for r in rows if r[0] >= 10] + [(100, rows[0][1][:120_000]), (101, rows[1][1][:120_000])]
+    out = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    for (i, _), (u, g) in zip(short, brute(short, lambda t: list(t.encode()), 50), strict=True):
+        assert out[i] == (int(g.sum()), bytes(np.array(u, np.uint8)[~g])), i
+
+
 def test_splitters_come_from_a_sample(spark):
     df = spark.createDataFrame([(i, f"document {i} " * 30) for i in range(50)], "doc_id long, text string")
     cuts = suffix_dedup.splitters(df, "text", suffix_dedup.Grams(50), 8, 20_000)
