@@ -41,14 +41,14 @@ def _plain(s: SparkSession, d: str) -> DataFrame:
     return _events(s, d).select("event_id", "ts", "user_id", "event_type", "value", "slice")
 
 
-_SUMS = {"n": F.count("*"), "cents": F.sum(F.round(F.col("value") * 100).cast("long"))}
 _WINDOW = "timestamp, end timestamp, event_type string, n bigint, cents bigint"
 
 
 @query(f"WITH {_MARKS}, w AS (SELECT a.*, date_trunc('hour', ts) AS start, m.mark FROM arr a JOIN marks m ON m.slice = a.slice) SELECT start, start + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM w, final f WHERE (w.mark IS NULL OR start + INTERVAL 1 HOUR > w.mark) AND start + INTERVAL 1 HOUR <= f.mark GROUP BY 1, 2, 3")
 def w5_tumbling_windows(s, d):
     """Closed hours of each kind of event; rows of closed hours came too late and count nowhere."""
-    path = _streamed(s, _plain(s, d), lambda stream, p: windows.drained(windows.tumbling(stream, _TIME, "1 hour", ["event_type"], **_SUMS), p))
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    path = _streamed(s, _plain(s, d), lambda stream, p: windows.drained(windows.tumbling(stream, _TIME, "1 hour", ["event_type"], n=F.count("*"), cents=cents), p))
     return windows.stored(s, path, f"start {_WINDOW}").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 

@@ -171,3 +171,25 @@ def test_fewer_distances_than_a_full_product(spark):
     where = {(r["_cell"], r["_ring"]): i for i, r in enumerate(placed.select("_cell", "_ring").distinct().orderBy("_cell", "_ring").collect())}
     own = [where[r["_cell"], r["_ring"]] for r in placed.select("vec_id", "_cell", "_ring").orderBy("vec_id").collect()]
     assert (cells.bounds(near)[:, own] <= true + 1e-9).all()  # a bound is never above a distance
+
+
+def test_sparse_vectors_match_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from tessera.operators import sparse
+
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice("alpha beta Gamma delta eps zeta eta".split()) for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(50, None), (51, "alpha"), (52, "Alpha  alpha"), (53, "\n")]
+    got = sorted(map(tuple, sparse.nearest_texts(sparse.weighed(spark.createDataFrame(texts, "doc_id long, text string")), F.col("doc_id") % 5 == 1, 4).collect()))
+    counts = {i: Counter(t.lower().split()) for i, t in texts if t is not None}
+    held = Counter(w for c in counts.values() for w in c)
+    raw = {i: {w: n * math.log(len(texts) / held[w]) for w, n in c.items()} for i, c in counts.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in raw.items()}
+    want = []
+    for i in sorted(raw):
+        if i % 5 == 1:
+            near = sorted((-round(sum(x * raw[j].get(w, 0) for w, x in raw[i].items()) / norm[i] / norm[j], 9), j) for j in raw if j != i and raw[i].keys() & raw[j].keys())
+            want += [(i, n, j, -c) for n, (c, j) in enumerate(near[:4], 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
+    assert sparse.weighed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
