@@ -61,14 +61,16 @@ def counted(points: np.ndarray, owner: np.ndarray, portion: int = PORTION) -> tu
         step = portion
         while True:  # rare: very many different characters, whose numbers would not fit
             p, o = points[a : a + step + 3], owner[a : a + step + 3]
-            alphabet, code = np.unique(p, return_inverse=True)
+            alphabet = np.flatnonzero(np.bincount(p))
             base = len(alphabet) + 1
             if step <= 1024 or (int(o[-1]) + 1) * base**3 < 1 << 62:
                 break
             step //= 4
         here = min(step, len(points) - a)
         a += here
-        code = np.concatenate([code.astype(np.int64) + 1, [0, 0]])
+        numbered = np.zeros(int(alphabet[-1]) + 1, np.int64)
+        numbered[alphabet] = np.arange(1, base)
+        code = np.concatenate([numbered[p], [0, 0]])
         solid = np.concatenate([p != 32, [False, False]])
         there = np.concatenate([np.ones(len(p), bool), [False, False]])
         c0, c1, c2, s0, s1, s2 = (x[i : i + here] for x in (code, solid) for i in range(3))
@@ -77,10 +79,16 @@ def counted(points: np.ndarray, owner: np.ndarray, portion: int = PORTION) -> tu
         keys = []
         for ok, x, y in ((s0, 0, 0), ((s0 | s1) & t1, c1, 0), (s1 & t2, c1, c2)):
             keys.append((((own * base + c0) * base + x) * base + y)[ok])
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        key = np.concatenate(keys)
+        if (int(o[-1]) + 1) * base**3 < 1 << 32:  # half as wide, twice as fast to sort
+            key = key.astype(np.uint32)
+        key, n = np.unique(key, return_counts=True)
+        key = key.astype(np.int64)
         points_of = np.concatenate([[0], alphabet]).astype(np.uint64)
         gram = (((points_of[key // base**2 % base] << _BITS) | points_of[key // base % base]) << _BITS) | points_of[key % base]
         parts.append((key // base**3, gram, n))
+    if len(parts) == 1:
+        return parts[0]
     return summed(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
