@@ -128,7 +128,7 @@ cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
 scored AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, t.n, CAST((CAST(1000 AS HUGEINT) * a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
   FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)] JOIN total t ON t.lang = c.lang),
 least AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM scored) WHERE nth = 1)
-SELECT * FROM (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank, phrase, a, l, r, n, score FROM least) WHERE rank <= 2000
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least) WHERE rank <= 2000
 """
 
 ORACLE_SQL = {"op1_substring_dedup": SUBSTRING_DEDUP, "op7_merkle_fingerprints": FINGERPRINTS, "op8_exact_topk": EXACT_TOPK, "op10_suffix_dedup": SUFFIX_DEDUP, "op11_periodic_runs": PERIODIC_RUNS, "op12_phrase_mining": PHRASES, "op13_language_id": LANGUAGE_ID}

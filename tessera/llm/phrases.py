@@ -15,7 +15,8 @@ buckets, among which its fragments are dealt by their content; what these bucket
 
 A null language is `und`; a null text has no words. Rows that repeat, ids that repeat or are null, and other columns do no harm: every
 row's text counts. Ties in score go to the larger count, then to the smaller phrase by bytes. An empty table gives no rows.
-What grows with the input in one task: a word that every part holds is a row a part in one bucket of word counts.
+What grows with the input in one task: a word that every part holds is a row a part in one bucket of word counts, and a fragment that every part holds one in
+its pivot's bucket.
 """
 
 from __future__ import annotations
@@ -390,4 +391,4 @@ def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     score = F.expr(f"CAST(1000 AS DECIMAL(4, 0)) * {wide('a')} * {wide('n')} DIV ({wide('l')} * {wide('r')})")
     best = scored.withColumn("score", score).groupBy("key").agg(F.min_by(F.struct("lang", "phrase", "a", "l", "r", "n", "score"), F.struct("score", "k")).alias("b")).select("b.*")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
