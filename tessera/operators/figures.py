@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_name, format_value
 from ..schemas import Comparison, Direction, Metric
+from ..store import Files, new_folder
 from . import quality, reads
 
 CAP = 20
@@ -74,25 +75,27 @@ class MetricResult:
     excluded: DataFrame | None
     flagged: DataFrame | None
     threshold: float | None = None
-    #: A row for each company, kept while the parts that read it are in use.
-    kept: DataFrame | None = None
+    #: Where the rows that all parts read are stored, a row for each company.
+    kept: str | None = None
 
     def release(self) -> None:
         if self.kept is not None:
-            self.kept.unpersist()
+            Files(self.rows.sparkSession, self.kept).remove(self.kept)
 
 
 def run(docs: DataFrame, records: DataFrame, metric: Metric, document_id: int | None = None, direction: Direction | None = None, limit: int | None = None, comparison: Comparison | None = None, threshold: float | None = None, keep: bool = False) -> MetricResult:
-    """One financial task: a lookup, a ranking or a filter, with its disclosures. With keep, the rows all parts read are kept until release()."""
+    """One financial task: a lookup, a ranking or a filter, with its disclosures. With keep, the rows that all parts read are computed once and stored until release()."""
     if document_id is not None:
         return MetricResult(lookup(metric_rows(reads.current(docs, records), metric), document_id), None, None)
     # a document without a success has no value, so one read of the attempts serves all parts
     rows = metric_rows(reads.current(docs, records, "left"), metric)
-    if keep:
-        rows.persist()
+    path = new_folder(docs.sparkSession, "figures") if keep else None
+    if path:
+        rows.write.parquet(path)
+        rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
     shown = ranking(rows, direction, limit) if direction is not None else threshold_filter(rows, comparison, threshold)
     excluded = rows.where(F.col("value").isNull()).select("document_id", "ticker", "company_name", "fiscal_year").orderBy("ticker")
-    return MetricResult(shown, excluded, flagged_not_shown(rows, shown, comparison, threshold, direction, limit).orderBy("ticker"), threshold, rows if keep else None)
+    return MetricResult(shown, excluded, flagged_not_shown(rows, shown, comparison, threshold, direction, limit).orderBy("ticker"), threshold, path)
 
 
 def export(current: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def r11_flagged_ranking(s, d):
 
 @query(f"WITH {CTE_ASSESSED}, t AS (SELECT * FROM judged WHERE metric = 'total_assets'), shown AS (SELECT document_id FROM t WHERE value < 1.5e11 ORDER BY value DESC, document_id LIMIT 20) SELECT 'shown' AS part, document_id FROM shown UNION ALL SELECT 'excluded', document_id FROM t WHERE value IS NULL UNION ALL SELECT 'excluded', id FROM docs WHERE id NOT IN (SELECT document_id FROM latest) UNION ALL SELECT 'flagged', document_id FROM t WHERE value IS NOT NULL AND {_SUSPECT} AND document_id NOT IN (SELECT document_id FROM shown) AND len(list_filter({_PLAUSIBLE}, lambda v: v < 1.5e11)) > 0")
 def r12_financial_task(s, d):
-    r = figures.run(docs(s, d), records(s, d), Metric.TOTAL_ASSETS, comparison=Comparison.LT, threshold=1.5e11)
+    r = figures.run(docs(s, d), records(s, d), Metric.TOTAL_ASSETS, comparison=Comparison.LT, threshold=1.5e11, keep=True)
     parts = [x.select(F.lit(n).alias("part"), "document_id") for n, x in (("shown", r.rows), ("excluded", r.excluded), ("flagged", r.flagged))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

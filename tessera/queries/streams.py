@@ -28,9 +28,14 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").withColumn("slice", F.expr(_ARRIVES)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _streamed(s: SparkSession, rows: DataFrame, run) -> str:
-    """Feeds the slices one after another to run(stream, path), and gives the path."""
-    path = new_folder(s, "stream")
+#: Rows for each partition of a stream's state.
+_ROWS = 100_000
+
+
+def _streamed(s: SparkSession, rows: DataFrame, declare=None, run=None) -> str:
+    """Feeds the slices one after another to a stream that declare(stream) says, or to run(stream, path), and gives the path."""
+    path, partitions = new_folder(s, "stream"), -(-rows.count() // _ROWS) or 1
+    run = run or (lambda stream, p: windows.drained(declare(stream), p, partitions=min(partitions, int(s.conf.get("spark.sql.shuffle.partitions")))))
     for i in range(_SLICES):
         rows.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(f"{path}/in")
         run(s.readStream.schema(_COLUMNS).parquet(f"{path}/in"), path)
@@ -48,7 +53,7 @@ _WINDOW = "timestamp, end timestamp, event_type string, n bigint, cents bigint"
 def w5_tumbling_windows(s, d):
     """Closed hours of each kind of event; rows of closed hours came too late and count nowhere."""
     cents = F.sum(F.round(F.col("value") * 100).cast("long"))
-    path = _streamed(s, _plain(s, d), lambda stream, p: windows.drained(windows.tumbling(stream, _TIME, "1 hour", ["event_type"], n=F.count("*"), cents=cents), p))
+    path = _streamed(s, _plain(s, d), lambda stream: windows.tumbling(stream, _TIME, "1 hour", ["event_type"], n=F.count("*"), cents=cents))
     return windows.stored(s, path, f"start {_WINDOW}").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
@@ -56,14 +61,14 @@ def w5_tumbling_windows(s, d):
 def w5_late_rows(s, d):
     """The rows that the hours above have lost, stored on the way."""
     closes = F.date_trunc("hour", F.col("ts")) + F.expr("INTERVAL 1 HOUR")
-    path = _streamed(s, _plain(s, d), lambda stream, p: windows.late(stream, _TIME, closes, p))
+    path = _streamed(s, _plain(s, d), run=lambda stream, p: windows.late(stream, _TIME, closes, p))
     return windows.late_rows(s, path, _COLUMNS).select("event_id", "event_type")
 
 
 @query(f"WITH {_MARKS}, a AS (SELECT a.* FROM arr a JOIN marks m ON m.slice = a.slice WHERE m.mark IS NULL OR ts + INTERVAL 30 MINUTE > m.mark), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM a), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM i, final f GROUP BY user_id, nth, f.mark HAVING max(ts) + INTERVAL 30 MINUTE <= f.mark")
 def w5_sessions(s, d):
     """Closed sessions of each user: events at most half an hour apart."""
-    path = _streamed(s, _plain(s, d), lambda stream, p: windows.drained(windows.sessions(stream, _TIME, "30 minutes", ["user_id"], n=F.count("*")), p))
+    path = _streamed(s, _plain(s, d), lambda stream: windows.sessions(stream, _TIME, "30 minutes", ["user_id"], n=F.count("*")))
     out = windows.stored(s, path, "start timestamp, end timestamp, user_id bigint, n bigint")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
@@ -72,12 +77,12 @@ def w5_sessions(s, d):
 def w5_interval_join(s, d):
     """Clicks with the purchases of the same user in the six hours behind them, as a join of two streams."""
 
-    def run(stream: DataFrame, p: str) -> None:
+    def joined(stream: DataFrame) -> DataFrame:
         clicks = stream.where("event_type = 'click'").select("user_id", "event_id", "ts")
         bought = stream.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("bought_at"))
-        windows.drained(windows.interval_join(clicks, bought, ["user_id"], _TIME, windows.EventTime("bought_at", "1 hour"), "6 hours"), p)
+        return windows.interval_join(clicks, bought, ["user_id"], _TIME, windows.EventTime("bought_at", "1 hour"), "6 hours")
 
-    path = _streamed(s, _plain(s, d), run)
+    path = _streamed(s, _plain(s, d), joined)
     return windows.stored(s, path, "user_id bigint, event_id bigint, ts timestamp, bought bigint, bought_at timestamp").select("event_id", "bought")
 
 
@@ -86,7 +91,7 @@ def w5_without_repeats(s, d):
     """Events that are delivered twice, some of them in the next slice, once each."""
     e = _plain(s, d)
     again = e.where("event_id % 10 IN (3, 4)").withColumn("slice", F.expr("slice + CASE WHEN event_id % 10 = 4 AND slice < 3 THEN 1 ELSE 0 END"))
-    path = _streamed(s, e.unionByName(again), lambda stream, p: windows.drained(windows.without_repeats(stream, _TIME, ["event_id"]).select("event_id", "ts"), p))
+    path = _streamed(s, e.unionByName(again), lambda stream: windows.without_repeats(stream, _TIME, ["event_id"]).select("event_id", "ts"))
     return windows.stored(s, path, "event_id bigint, ts timestamp").select("event_id")
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..store import Files
 
@@ -61,13 +62,26 @@ def without_repeats(rows: DataFrame, time: EventTime, keys: list[str]) -> DataFr
     return time.marked(rows).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(out: DataFrame, path: str, mode: str = "append") -> list[dict]:
-    """Reads what is available into a Parquet table at path/rows, with its checkpoint beside it; the progress of each batch."""
-    query = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+def drained(out: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> list[dict]:
+    """Reads what is available into a Parquet table at path/rows, with its checkpoint beside it; the progress of each batch.
+
+    partitions: of the state, which stay as they are at the first run; else the session's. Each is a task and files in every batch.
+    """
+    conf, name = out.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(partitions or before))
+    try:
+        query = _started(out, path, mode)  # it keeps the settings it was started with
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
     return [p if isinstance(p, dict) else p.__dict__ for p in query.recentProgress]
 
 
+def _started(out: DataFrame, path: str, mode: str) -> StreamingQuery:
+    return out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+
+
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """What drained() has written so far; no rows if that is nothing."""
     files = Files(spark, path)
