@@ -1,6 +1,7 @@
 """Text functions, statistics, resolution, guards, sections and limits on literal cases."""
 
 import math
+import os
 
 import pandas as pd
 import pytest
@@ -97,14 +98,16 @@ def test_citations_and_overlap(spark):
     assert [r[0] for r in df.select(joins.overlaps(F.col("a"), F.col("b"))).collect()] == [True, False, False]
 
 
-def test_recursive_split():
-    text = "one two three. four five six\n\nseven eight " + "x" * 30
-    pieces = sections.split_recursively(text, 20, 5)
+def test_recursive_split(spark):
+    def split(text, size, overlap, length):
+        return spark.range(1).select(sections.recursive_pieces(F.lit(text), size, overlap, length).alias("p")).first().p
+
+    pieces = split("one two three. four five six\n\nseven eight " + "x" * 30, 20, 5, F.length)
     assert all(len(p) <= 20 for p in pieces) and "seven eight" in pieces
     assert "".join("".join(pieces).split()).startswith("onetwothree")
-    words = sections.split_recursively(" ".join(str(i) for i in range(100)), 10, 3, lambda s: len(s.split()))
+    words = split(" ".join(str(i) for i in range(100)), 10, 3, sections.word_count)
     assert all(len(w.split()) <= 10 for w in words) and words[1].split()[0] == "7"
-    assert sections.split_recursively("", 5, 1) == []
+    assert split("", 5, 1, F.length) == []
 
 
 def test_nearest(spark):
@@ -150,6 +153,7 @@ def test_stream_admits_like_the_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n, part in enumerate((rows.iloc[:2], rows.iloc[2:])):
         part.to_json(tmp_path / f"in/{n}.json", orient="records", lines=True, date_format="iso")
+        os.utime(tmp_path / f"in/{n}.json", (1e9 + n, 1e9 + n))  # files are read in order of their times
     src = spark.readStream.schema("client string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
     q = limits.admitted_stream(src, 1).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(120)
