@@ -145,7 +145,7 @@ def within_budget(requests: DataFrame, budget: int) -> DataFrame:
 
 
 def admitted_stream(requests: DataFrame, per_window: int, window: float = WINDOW) -> DataFrame:
-    """The sliding window over a stream: a client's admitted times are its state, dropped when idle for a window.
+    """The sliding window over a stream: a client's admitted times are its state, dropped when the watermark is a window past the last of them.
 
     requests: client, request_id, ts (event time, watermarked by the caller).
     """
@@ -160,10 +160,10 @@ def admitted_stream(requests: DataFrame, per_window: int, window: float = WINDOW
         at = rows["ts"].astype("int64").to_numpy() / (1e9 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1e6)
         wait = [seconds_to_wait(q, t, per_window, window) for t in at.tolist()]
         state.update((list(q),))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(math.ceil((q[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "at": at, "admitted": [w == 0 for w in wait], "retry_after": wait})
 
-    return requests.groupBy("client").applyInPandasWithState(step, SCHEMA, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("client").applyInPandasWithState(step, SCHEMA, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_stream(attempts: DataFrame) -> DataFrame:

@@ -149,12 +149,12 @@ def test_batch_equals_the_sequential_rule(spark):
 
 
 def test_stream_admits_like_the_batch(spark, tmp_path):
-    rows = pd.DataFrame({"client": ["a", "a", "a", "b"], "request_id": [1, 2, 3, 4], "ts": pd.to_datetime([0, 10, 65, 5], unit="s")})
+    rows = pd.DataFrame({"client": ["a", "a", "a", "b"], "request_id": [1, 2, 3, 4], "ts": pd.to_datetime([1000, 1010, 1065, 1005], unit="s")})
     (tmp_path / "in").mkdir()
     for n, part in enumerate((rows.iloc[:2], rows.iloc[2:])):
         part.to_json(tmp_path / f"in/{n}.json", orient="records", lines=True, date_format="iso")
         os.utime(tmp_path / f"in/{n}.json", (1e9 + n, 1e9 + n))  # files are read in order of their times
-    src = spark.readStream.schema("client string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    src = spark.readStream.schema("client string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in").withWatermark("ts", "10 seconds")
     q = limits.admitted_stream(src, 1).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(120)
     got = {r.request_id: r.admitted for r in spark.sql("select * from admitted").collect()}
