@@ -68,8 +68,9 @@ def w5_late_rows(s, d):
 @query(f"WITH {_MARKS}, a AS (SELECT a.* FROM arr a JOIN marks m ON m.slice = a.slice WHERE m.mark IS NULL OR ts + INTERVAL 30 MINUTE > m.mark), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM a), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM i, final f GROUP BY user_id, nth, f.mark HAVING max(ts) + INTERVAL 30 MINUTE <= f.mark")
 def w5_sessions(s, d):
     """Closed sessions of each user: events at most half an hour apart."""
-    path = _streamed(s, _plain(s, d), lambda stream: windows.sessions(stream, _TIME, "30 minutes", ["user_id"], n=F.count("*")))
-    out = windows.stored(s, path, "start timestamp, end timestamp, user_id bigint, n bigint")
+    w = windows.Sessions(_TIME, "30 minutes", ("user_id",), {"n": F.count("*")})
+    path = _streamed(s, _plain(s, d), run=w.read)
+    out = w.closed(s, path, _COLUMNS, "start timestamp, end timestamp, user_id bigint, n bigint")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 

@@ -55,6 +55,17 @@ def test_sessions_go_on_over_batches(spark, tmp_path):
     assert got == [("a", at(0), at(14), 3), ("a", at(15), at(20), 1), ("b", at(12), at(17), 1), ("b", at(40), at(45), 1)]
 
 
+def test_a_row_in_time_joins_a_session_that_has_closed(spark, tmp_path):
+    path, w = f"{tmp_path}/c", windows.Sessions(TIME, "5 minutes", ("who",), {"n": F.count("*")})
+    # the watermark is 6: a's session ended at 5, its rows of 1 and before are late, that of 4 is not and belongs to it
+    batches = [[(1, 0, "a"), (2, 16, "b")], [(3, 4, "a"), (4, 1, "a"), (5, 21, "b")], [(6, 35, "c")]]
+    seen = lambda: sorted((r.who, r.start, r.end, r.n) for r in w.closed(spark, path, SCHEMA, "start timestamp, end timestamp, who string, n long").collect())
+    got = fed(spark, path, batches, lambda stream: w.read(stream, path) or seen())
+    assert got == [[("a", at(0), at(5), 1)], [("a", at(0), at(9), 2)], [("a", at(0), at(9), 2)]]
+    fed(spark, path, [[(7, 100, "c")]], lambda stream: w.read(stream, path))
+    assert seen() == [("a", at(0), at(9), 2), ("b", at(16), at(26), 2), ("c", at(35), at(40), 1)]
+
+
 def test_interval_join_drops_state_in_time(spark, tmp_path):
     path, n = f"{tmp_path}/j", 12
     batches = [[(100 * b + i, 60 * b + i, "a" if i % 2 else "b") for i in range(20)] for b in range(n)]
