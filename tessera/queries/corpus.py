@@ -226,12 +226,16 @@ def io7_page_artifacts(s, d):
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("n_paragraphs"))
 
 
-@query("WITH o AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body FROM orders WHERE year(o_orderdate) < 1998 GROUP BY 1), n AS (SELECT o_custkey, string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body FROM orders GROUP BY 1) SELECT n.o_custkey, CASE WHEN o.body IS NULL THEN 'new' WHEN o.body = n.body THEN 'unchanged' ELSE 'changed' END AS status FROM n LEFT JOIN o ON o.o_custkey = n.o_custkey")
+_BODY = "string_agg(CAST(o_orderkey AS STRING), ',' ORDER BY o_orderkey) AS body"
+
+
+@query(f"WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, {_BODY} FROM orders GROUP BY 1, 2), n AS (SELECT o_custkey, y, {_BODY} FROM (SELECT DISTINCT o_custkey, o_orderkey, year(l_shipdate) AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1, 2) SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, CAST(coalesce(o.y, n.y) AS INT) AS y, CASE WHEN n.body IS NULL THEN 'kept' WHEN o.body IS NULL THEN 'new' WHEN o.body = n.body THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.o_custkey = n.o_custkey AND o.y = n.y")
 def io8_write_status(s, d):
-    """Each customer's orders as written at the end of 1997, against all orders."""
-    o = table(s, d, "orders")
+    """The orders that each customer placed in a year, as written, against those with lines shipped in it."""
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
+    shipped = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.year("l_shipdate").alias("y")).join(o.drop("y"), "o_orderkey").distinct()
     body = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("body")
-    return corpus.write_status(o.where(F.year("o_orderdate") < 1998).groupBy("o_custkey").agg(body), o.groupBy("o_custkey").agg(body), ["o_custkey"], "body")
+    return corpus.write_status(o.groupBy("o_custkey", "y").agg(body), shipped.groupBy("o_custkey", "y").agg(body), ["o_custkey", "y"], "body")
 
 
 @query("SELECT o_custkey, seq, price FROM (SELECT o_custkey, o_orderkey AS seq, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN year(o_orderdate) >= 1998 THEN 1 ELSE 0 END DESC, o_orderkey DESC) AS n FROM orders WHERE o_totalprice > 1000) WHERE n = 1")

@@ -72,3 +72,10 @@ def test_short_passages_are_found_by_the_exact_test(spark):
     assert sorted(map(tuple, joins.contained_passages(p, t).collect())) == whole
     short = joins.contained_passages(p.where("passage_id = 1"), t)
     assert sorted(map(tuple, short.collect())) == [(1, 1), (1, 2)]
+
+
+def test_write_status_has_every_status_over_all_rows(spark):
+    from tessera.queries.corpus import io8_write_status
+
+    seen = {r.status: r["count"] for r in io8_write_status(spark, "/root/testdata/sf0.01").groupBy("status").count().collect()}
+    assert set(seen) == {"kept", "new", "changed", "unchanged"}
