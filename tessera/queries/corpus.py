@@ -347,13 +347,15 @@ def j13_orphans(s, d):
     return joins.orphans(table(s, d, "events").select("event_id", "user_id"), sup, "user_id")
 
 
-_CMP = "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS v FROM customer), b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS v FROM supplier) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.k = b.k"
+_CMP = "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey % 5 END AS v FROM customer), b AS (SELECT c_custkey + 100 AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey % 5 END AS v FROM customer UNION ALL SELECT -1 - s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey % 5 END FROM supplier) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.k = b.k"
 
 
 @query(_CMP)
 def j15_j16_parity(s, d):
-    a = table(s, d, "customer").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS v")
-    b = table(s, d, "supplier").selectExpr("s_suppkey AS k", "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS v")
+    """All customers against all customers numbered a hundred on, whose group of nations may be another, and all suppliers, whom only one side has."""
+    v = "CASE WHEN {0}key % 5 = 0 THEN NULL ELSE {1}_nationkey % 5 END AS v"
+    a = table(s, d, "customer").selectExpr("c_custkey AS k", v.format("c_cust", "c"))
+    b = table(s, d, "customer").selectExpr("c_custkey + 100 AS k", v.format("c_cust", "c")).unionByName(table(s, d, "supplier").selectExpr("-1 - s_suppkey AS k", v.format("s_supp", "s")))
     return joins.compared(a, b, ["k"], "v").select("k", "status")
 
 

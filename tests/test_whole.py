@@ -79,3 +79,13 @@ def test_write_status_has_every_status_over_all_rows(spark):
 
     seen = {r.status: r["count"] for r in io8_write_status(spark, "/root/testdata/sf0.01").groupBy("status").count().collect()}
     assert set(seen) == {"kept", "new", "changed", "unchanged"}
+
+
+def test_parity_compares_all_customers_on_both_sides(spark):
+    from tessera.queries.corpus import j15_j16_parity
+
+    sf_dir = "/root/testdata/sf0.01"
+    customers, suppliers = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("customer", "supplier"))
+    seen = {r.status: r["count"] for r in j15_j16_parity(spark, sf_dir).groupBy("status").count().collect()}
+    assert seen.keys() == {"same", "different", "only_left", "only_right"}
+    assert seen["only_left"] == 100 and seen["only_right"] == 100 + suppliers and seen["same"] + seen["different"] == customers - 100
