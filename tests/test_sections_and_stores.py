@@ -193,3 +193,17 @@ def test_sparse_vectors_match_brute_force(spark):
             want += [(i, n, j, -c) for n, (c, j) in enumerate(near[:4], 1)]
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
     assert sparse.weighed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nearest_texts_by_blocks_make_no_rows_of_pairs(spark):
+    from tessera.operators import sparse
+
+    texts = [(i, None if i == 7 else " ".join(f"w{(i * j) % 11}" for j in range(1, 9))) for i in range(1, 24)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    terms, is_query = sparse.counted(docs), F.col("doc_id") % 5 == 1
+    one = sparse.nearest(terms, is_query, 4, rare=sparse.rarity(terms, docs.count()))
+    split = sparse.nearest(terms, is_query, 4, rare=sparse.rarity(terms, docs.count()), block=3)
+    plain = sparse.nearest_texts(sparse.weighed(docs), is_query, 4)
+    got = [sorted((r.query, r["rank"], r.doc_id, round(r.cosine, 8)) for r in df.collect()) for df in (one, split, plain)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 17  # one query shares words with one text alone
+    assert "Join" not in split._jdf.queryExecution().optimizedPlan().toString()  # a join would have a row for each pair
