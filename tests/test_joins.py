@@ -98,3 +98,10 @@ def test_claims_lose_references_alone(spark):
     want = ["Grew.", "In (2021)", "Cut, and more", "", "keep (10%) ( 1) (1 ) [passage 1] (1,,2)", None, "x y"]
     rows = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", X.clean_claim(F.col("t")).alias("c")).orderBy("i").collect()
     assert [r.c for r in rows] == want
+
+
+def test_short_passages_agree_by_both_ways(spark):
+    passages = spark.createDataFrame([(1, "be"), (2, "be ta"), (3, ""), (4, None), (5, "be"), (6, "x%_"), (7, "A")], "passage_id int, passage string")
+    texts = spark.createDataFrame([(1, "alpha be tango"), (2, None), (3, ""), (4, "x%_ A")], "text_id int, text string")
+    by_grams, plain = (sorted(map(tuple, joins.short_passages(passages, texts, few=n).collect())) for n in (0, 100))
+    assert by_grams == plain == [(1, 1), (2, 1), (3, 1), (3, 3), (3, 4), (5, 1), (6, 4), (7, 4)]
