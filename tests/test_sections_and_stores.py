@@ -207,3 +207,15 @@ def test_nearest_texts_by_blocks_make_no_rows_of_pairs(spark):
     got = [sorted((r.query, r["rank"], r.doc_id, round(r.cosine, 8)) for r in df.collect()) for df in (one, split, plain)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 17  # one query shares words with one text alone
     assert "Join" not in split._jdf.queryExecution().optimizedPlan().toString()  # a join would have a row for each pair
+
+
+def test_numbers_by_answer_go_by_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    from tessera.queries import stored
+
+    lines = [(a, a % 3, "A", a % 5, n) for a in range(40) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_returnflag string, l_partkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(a,) for a in range(40)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(stored, "_ROWS", 10)
+    out = stored.QUERIES["s3_numbers_by_answer"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM, [plan_id" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 8)" in plan
+    assert sorted((r.answer, r.number) for r in out.collect()) == [(a, 1) for a in range(40)]
