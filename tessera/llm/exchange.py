@@ -2,10 +2,10 @@
 
 A packet holds many rows, each with the place it goes to and the one it comes from, as
 planes of bytes (all first bytes, then all second ones, ...) or row by row, compressed. A
-place sends at most FAN packets. Where there are more than FAN places to send to, packets
-go to spans of places first and are split again on the way, FAN senders at a time, so the
-number of packets is in proportion to the number of senders at every size, and a task on the way holds
-about as much as one sender sent.
+place sends at most FAN packets, so the number of packets is in proportion to the number of
+senders at every size. Up to FAN places get their packets at once, as every further step writes all rows anew.
+Where there are more, packets go to spans of places first and are split again on the way. There as many senders come
+together as each has spans to send to, so a task on the way holds about as much as one sender sent.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FAN, HEAD = 256, 13
+FAN, HEAD = 4096, 13
 _CODEC = pa.Codec("zstd", 1)
 PACKET = "to int, via int, kind int, blob binary"
 _SCHEMA = pa.schema([("to", pa.int32()), ("via", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -32,14 +32,29 @@ def release() -> None:
         return
 
 
+def fan(n_places: int) -> int:
+    """How many spans a packet is split into at each step, and how many senders come together there: no more than the fewest steps need."""
+    steps, out = 1, 1
+    while FAN**steps < n_places:
+        steps += 1
+    while out**steps < n_places:
+        out += 1
+    return max(out, 2)
+
+
 def spans(n_places: int) -> list[int]:
-    """How many places a packet is for at each step, the last one first step's finest: ..., FAN, 1."""
+    """How many places a packet is for at each step, the last one first step's finest: ..., fan, 1."""
     out = [1]
-    while out[0] * FAN < n_places:
-        out.insert(0, out[0] * FAN)
+    while out[0] * fan(n_places) < n_places:
+        out.insert(0, out[0] * fan(n_places))
     return out
 
 
+def route(n_places: int, sender: int) -> tuple[int, int]:
+    """The span of a sender's packets, and with which senders they come together."""
+    return spans(n_places)[0], sender // fan(n_places)
+
+
 def planes(x: np.ndarray, n: int) -> np.ndarray:
     """The n low bytes of each integer, as n planes."""
     return np.ascontiguousarray(x).astype("<i8" if x.dtype.kind == "i" else "<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :n].T
@@ -94,10 +109,10 @@ def table(rows: Iterable[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 4, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _split(span: int):
+def _split(span: int, together: int | None = None):
     def split(t: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        via = int(t["via"][0].as_py()) // FAN
+        via = int(t["via"][0].as_py()) // (together or FAN)
         for kind in np.unique(t["kind"].to_numpy()).tolist():
             to, source, rows = of_kind(t, kind)
             out += packed(kind, to, source, rows, span, via, not rows.flags.c_contiguous)
@@ -110,5 +125,5 @@ def _split(span: int):
 def delivered(packets: DataFrame, n_places: int) -> DataFrame:
     """The packets with `to` as the place itself: split again as long as they are for spans of places."""
     for span in spans(n_places)[1:]:
-        packets = packets.groupBy("to", "via").applyInArrow(_split(span), PACKET)
+        packets = packets.groupBy("to", "via").applyInArrow(_split(span, fan(n_places)), PACKET)
     return packets

@@ -66,7 +66,7 @@ def asked(hashes: np.ndarray, docs: np.ndarray, part: int, n_buckets: int) -> It
     two = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(first) else np.zeros(0, bool)
     k = k[first]
     to = (((k >> np.uint64(15)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-    return exchange.packed(KEYS, to, part, planes((k << np.uint64(1)) | two.astype(np.uint64), KEY_BYTES), exchange.spans(n_buckets)[0], part // exchange.FAN)
+    return exchange.packed(KEYS, to, part, planes((k << np.uint64(1)) | two.astype(np.uint64), KEY_BYTES), *exchange.route(n_buckets, part))
 
 
 def shared_keys(t: pa.Table, n_parts: int) -> pa.Table:
@@ -81,7 +81,7 @@ def shared_keys(t: pa.Table, n_parts: int) -> pa.Table:
     at = np.flatnonzero(np.diff(key >> np.uint64(1), prepend=np.uint64(1 << 63)))
     n = np.diff(np.append(at, len(key)))
     shared = np.flatnonzero(np.repeat((n > 1) | (np.maximum.reduceat(key & np.uint64(1), at) == 1), n))
-    return exchange.table(exchange.packed(KEYS, part[shared], bucket, planes(key[shared] >> np.uint64(1), KEY_BYTES), exchange.spans(n_parts)[0], bucket // exchange.FAN))
+    return exchange.table(exchange.packed(KEYS, part[shared], bucket, planes(key[shared] >> np.uint64(1), KEY_BYTES), *exchange.route(n_parts, bucket)))
 
 
 class Shared:

@@ -124,7 +124,7 @@ def _counts(n_buckets: int):
         part = key[0].as_py()
         to = (((h1 >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
         rows = np.vstack([planes(h1, H1), planes(h2.astype(np.uint64), H2), planes(n.astype(np.int64), COUNT)])
-        out = exchange.table(exchange.packed(WORDS, to, part, rows, exchange.spans(n_buckets)[0], part // exchange.FAN))
+        out = exchange.table(exchange.packed(WORDS, to, part, rows, *exchange.route(n_buckets, part)))
         exchange.release()
         return out
 
@@ -150,7 +150,7 @@ def _frequent(n_parts: int, n_buckets: int, least: int):
         naming = np.repeat(np.minimum.reduceat(part[order], at), times)[keep] == part[pick]
         out = np.vstack([planes(h1[pick], H1), planes(h2[pick].astype(np.uint64), H2), planes(total[group], COUNT), planes(ids, ID), planes(naming.astype(np.uint64), 1)])
         exchange.release()
-        return exchange.table(exchange.packed(FREQUENT, part[pick], bucket, out, exchange.spans(n_parts)[0], bucket // exchange.FAN))
+        return exchange.table(exchange.packed(FREQUENT, part[pick], bucket, out, *exchange.route(n_parts, bucket)))
 
     return tell
 
@@ -262,7 +262,7 @@ def _put(n_buckets: int, longest: int, salt_at: int):
             for j, c in enumerate(rows[1:]):
                 body[2 + COUNT + j * ID : 2 + COUNT + (j + 1) * ID] = planes(v.id[c], ID)
             bodies.append(body)
-        out = exchange.table(exchange.packed(FRAGMENTS, np.concatenate(places), part, np.concatenate(bodies, 1), exchange.spans(n_buckets)[0], part // exchange.FAN) if places else [])
+        out = exchange.table(exchange.packed(FRAGMENTS, np.concatenate(places), part, np.concatenate(bodies, 1), *exchange.route(n_buckets, part)) if places else [])
         exchange.release()
         return out
 

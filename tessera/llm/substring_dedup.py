@@ -174,7 +174,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rep[order] = np.repeat(pick, np.diff(np.append(first, len(h))))
         to = ((h[pick] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
         rows = np.vstack([planes(h[pick], 8), planes(x[pick].astype(np.uint64), 4), planes(doc[pick], 8), planes(start[pick], 8)])
-        span, via = exchange.spans(n_buckets)[0], part // exchange.FAN
+        span, via = exchange.route(n_buckets, part)
         yield from exchange.packed(parts.ENTRIES, to, part, rows, span, via)
         # what repeats inside the part, by way of a bucket that only hands it on
         again = np.flatnonzero(rep != np.arange(len(h)))
@@ -184,7 +184,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield from exchange.packed(parts.NOTES, np.full(len(at), part % n_buckets), part, rows, span, via)
 
     def settle(t: pa.Table) -> Iterator[tuple]:
-        span, via = exchange.spans(n_parts)[0], int(t["to"][0].as_py()) // exchange.FAN
+        span, via = exchange.route(n_parts, int(t["to"][0].as_py()))
         _, part, rows = exchange.of_kind(t, parts.NOTES)
         yield from exchange.packed(parts.NOTES, part, part, rows, span, via)
         _, part, rows = exchange.of_kind(t, parts.ENTRIES)

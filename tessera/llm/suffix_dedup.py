@@ -274,7 +274,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             x, y = again[a : a + CHUNK], rep[again[a : a + CHUNK]]
             same[a : a + CHUNK] = (g.rows(text.data, gram[x], first[x], last[x]) == g.rows(text.data, gram[y], first[y], last[y])).all(1)
         pick, again = np.sort(np.concatenate([pick, again[~same]])), again[same]
-        span, via = exchange.spans(n_ranges)[0], part // exchange.FAN
+        span, via = exchange.route(n_ranges, part)
         lead = leading(text.data, gram[pick])
         pick = pick[np.argsort(lead, kind="stable")]
         to = np.searchsorted(cuts, np.sort(lead), "right")
@@ -285,7 +285,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield from exchange.packed(parts.NOTES, np.full(len(again), part % n_ranges), part, rows, span, via)
 
     def settle(t: pa.Table) -> Iterator[tuple]:
-        span, via = exchange.spans(n_parts)[0], int(t["to"][0].as_py()) // exchange.FAN
+        span, via = exchange.route(n_parts, int(t["to"][0].as_py()))
         _, part, rows = exchange.of_kind(t, parts.NOTES)
         yield from exchange.packed(parts.NOTES, part, part, rows, span, via)
         _, part, rows = exchange.of_kind(t, parts.ENTRIES)

@@ -171,6 +171,22 @@ def test_packets_reach_their_places_in_several_steps(monkeypatch, n_places):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize(("n_places", "fan"), [(605, 256), (605, 4096), (2500, 50)])
+def test_a_task_on_the_way_holds_what_a_few_senders_sent(monkeypatch, n_places, fan):
+    """Of 600 senders with a row for each place. Few spans must not bring together many senders, and few places need no step on the way."""
+    monkeypatch.setattr(exchange, "FAN", fan)
+    held, sent = {}, 0
+    for sender in range(600):
+        span, via = exchange.route(n_places, sender)
+        sent = max(sent, -(-n_places // span))
+        for to in range(-(-n_places // span)):
+            held[to, via] = held.get((to, via), 0) + min(span, n_places - to * span)
+    assert sent <= fan
+    assert len(exchange.spans(n_places)) == (1 if n_places <= fan else 2)
+    if n_places > fan:
+        assert max(held.values()) <= 1.1 * n_places
+
+
 def test_long_texts_in_slices_of_one_part(spark, monkeypatch):
     """Texts of hundreds of kilobytes that share most of their words, in one part of several slices, and short ones beside them."""
     monkeypatch.setattr(parts, "LEAST_PART", 1 << 30)
