@@ -10,13 +10,14 @@ phrase of frequent words is counted exactly once, at one pivot.
 
 Documents are dealt into parts (see parts.deal); a part counts words and equal fragments before it sends them, so a passage that a
 third of all documents hold is sent once by each part. A word that occurs more than `salt_at` times is the pivot of several
-buckets, among which its fragments are dealt by their content; what these buckets count is added up afterwards. Words are known by
-96 bits of hash of word and language.
+buckets, among which its fragments are dealt by a neighbour: phrases that hold the word to the pivot's left too are counted where that
+pair belongs, those that begin with the pivot where it belongs with the word to its right. So all occurrences of a phrase meet in
+one bucket, and rare phrases are dropped there whatever their pivot. Words are known by 96 bits of hash of word and language.
 
 A null language is `und`; a null text has no words. Rows that repeat, ids that repeat or are null, and other columns do no harm: every
 row's text counts. Ties in score go to the larger count, then to the smaller phrase by bytes. An empty table gives no rows.
 What grows with the input in one task: a word that every part holds is a row a part in one bucket of word counts, and a fragment that every part holds one in
-its pivot's bucket.
+its pivot's bucket (or its pair's).
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SALT_AT = 1 << 17
 ID, COUNT, H1, H2 = 6, 6, 8, 4
 #: Kinds of packets: frequent words, words and counts, and fragments.
 FREQUENT, WORDS, FRAGMENTS = 0, 1, 2
+#: What a fragment is dealt by: its pivot, or the pivot with the word on one side.
+ALL, LEFT, RIGHT = 0, 1, 2
 #: Larger parts than elsewhere: the more text a part has, the fewer parts send the same word or fragment.
 PART_BYTES = 8 << 20
 SLICE = 1 << 20
@@ -209,6 +212,15 @@ def fragments(place: np.ndarray, rank: np.ndarray, fresh: np.ndarray, longest: i
     return at, left[at], right[at]
 
 
+def dealt_by(at: np.ndarray, left: np.ndarray, right: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments of fragments() and what they are dealt by. Those of pivots that occur often (a flag of each word) become up to two:
+    one for the phrases that hold the pivot and the word to its left, and one without what is left of the pivot, for the phrases that begin with it."""
+    split = often[at]
+    one, two, three = np.flatnonzero(~split), np.flatnonzero(split & (left > 0)), np.flatnonzero(split & (right > 0))
+    pick, side = np.concatenate([one, two, three]), np.repeat([ALL, LEFT, RIGHT], [len(one), len(two), len(three)])
+    return at[pick], np.where(side == RIGHT, 0, left[pick]), right[pick], side
+
+
 def _grouped(columns: list[np.ndarray], n: np.ndarray, numbers: int) -> tuple[np.ndarray, np.ndarray]:
     """One row of each distinct row of small integers (below `numbers`), and the sum of n over its like."""
     bits = max(1, int(numbers - 1).bit_length())
@@ -237,27 +249,23 @@ def _put(n_buckets: int, longest: int, salt_at: int):
         found: dict[int, list[np.ndarray]] = {}
         for s, _ in _slices(t):
             place = v.places(s.h1, s.h2)
-            at, left, right = fragments(place, v.rank, s.fresh, longest)
+            at, left, right, side = dealt_by(*fragments(place, v.rank, s.fresh, longest), v.total[place] > salt_at)
             size = left + right + 1
             for k in np.unique(size).tolist():
                 own = size == k
                 first = at[own] - left[own]
-                found.setdefault(k, []).append(np.vstack([left[own], *(place[first + j] for j in range(k))]).astype(np.int32))
-        salts = -(-v.total // salt_at)
+                found.setdefault(k, []).append(np.vstack([left[own] * 4 + side[own], *(place[first + j] for j in range(k))]).astype(np.int32))
         most, bodies, places = 2 * longest - 1, [], []
         for k in sorted(found):
             rows = np.concatenate(found.pop(k), 1)
             pick, n = _grouped(list(rows[1:].astype(np.int64)) + [rows[0].astype(np.int64)], np.ones(rows.shape[1], np.int64), max(len(v.id), 16))
             rows = rows[:, pick]
-            pivot = rows[1 + rows[0], np.arange(len(pick))]
-            content = mix(rows[0].astype(np.uint64))
-            for c in rows[1:]:
-                content = mix(content * np.uint64(BYTE_BASE) + v.id[c])
-            split = salts[pivot] > 1
-            salt = np.where(split, content % salts[pivot].astype(np.uint64), 0).astype(np.uint64)
-            places.append((((mix(mix(v.id[pivot]) + salt) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64))
+            left, side, each = rows[0] >> 2, rows[0] & 3, np.arange(len(pick))
+            pivot, beside = v.id[rows[1 + left, each]], v.id[rows[1 + left + (side == RIGHT) - (side == LEFT), each]]
+            owner = np.where(side == ALL, mix(pivot), mix(mix(pivot) + mix(beside * np.uint64(BYTE_BASE) + side.astype(np.uint64))))
+            places.append((((mix(owner) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64))
             body = np.zeros((2 + COUNT + most * ID, len(pick)), np.uint8)
-            body[0], body[1] = k, rows[0] << 1 | split
+            body[0], body[1] = k, left << 1 | (side == LEFT)
             body[2 : 2 + COUNT] = planes(n, COUNT)
             for j, c in enumerate(rows[1:]):
                 body[2 + COUNT + j * ID : 2 + COUNT + (j + 1) * ID] = planes(v.id[c], ID)
@@ -271,7 +279,7 @@ def _put(n_buckets: int, longest: int, salt_at: int):
 
 def _mined(longest: int, least: int):
     def mine(t: pa.Table) -> pa.Table:
-        """Phrases owned by this bucket's pivots: their words' numbers and counts. Those of pivots of one bucket alone are final here."""
+        """Frequent phrases owned by this bucket's pivots, or by pairs of a pivot and a word beside it: their words' numbers and counts."""
         frags = []
         _, _, rows = exchange.of_kind(t, FRAGMENTS)
         for k in np.unique(rows[0]).tolist() if rows.size else []:
@@ -284,21 +292,20 @@ def _mined(longest: int, least: int):
         keys, counts = [], []
         for size in range(2, longest + 1):
             columns: list[list[np.ndarray]] = [[] for _ in range(size)]
-            flags, ns = [], []
-            for k, offset, split, n, words in frags:
+            ns = []
+            for k, offset, both, n, words in frags:
                 for first in range(k - size + 1):
-                    own = (offset >= first) & (offset < first + size)
+                    own = (offset >= first + both) & (offset < first + size)
                     for j in range(size):
                         columns[j].append(words[first + j][own])
-                    flags.append(split[own])
                     ns.append(n[own])
             if not ns:
                 continue
-            c, split, n = [np.concatenate(x).astype(np.int64) for x in columns], np.concatenate(flags), np.concatenate(ns)
+            c, n = [np.concatenate(x).astype(np.int64) for x in columns], np.concatenate(ns)
             if not len(n):
                 continue
             pick, total = _grouped(c, n, max(2, len(vocabulary)))
-            keep = (total >= least) | (split[pick] == 1)
+            keep = total >= least
             pick = pick[keep]
             ids = np.stack([vocabulary[x[pick]] for x in c], 1).astype(">u8").view(np.uint8).reshape(len(pick), size, 8)[:, :, 8 - ID :].tobytes()
             ends = pa.array(np.arange(len(pick) + 1, dtype=np.int32) * np.int32(size * ID))
@@ -364,8 +371,7 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = asked.applyInArrow(_name, "lang string, word string, key binary, n bigint")
     sent = exchange.delivered(asked.applyInArrow(_put(n_buckets, longest, salt_at), exchange.PACKET), n_buckets)
     mined = sent.groupBy("to").applyInArrow(_mined(longest, least), "key binary, n bigint")
-    often = mined.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = written(named.unionByName(often, allowMissingColumns=True), "phrases")
+    found = written(named.unionByName(mined, allowMissingColumns=True), "phrases")
     totals = found.where("key IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     return found.where("word IS NULL AND key IS NOT NULL").select("key", "n"), found.where("word IS NOT NULL"), totals
 

@@ -70,6 +70,26 @@ def test_many_parts_and_salted_pivots(spark, monkeypatch):
     assert found(spark, rows, least=5, salt_at=7) == brute([(k, t) for _, t, k in rows], 5)
 
 
+def test_rare_phrases_of_frequent_pivots_stay_in_their_bucket():
+    """Every step in this process: what buckets hand on are frequent phrases alone, each once, also where one word's fragments go to many buckets."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(60)) for _ in range(9)]
+    tables = [pa.table({"text": texts[p::3], "carry_0": ["en"] * 3}) for p in range(3)]
+    key = lambda p: (pa.scalar(p),)
+
+    def grouped(found):
+        rows = [r for t in found for r in t.to_pylist()]
+        return {to: exchange.table([tuple(r.values()) for r in rows if r["to"] == to]) for to in {r["to"] for r in rows}}
+
+    words = grouped(phrases._counts(4)(key(p), t) for p, t in enumerate(tables))
+    answers = grouped(phrases._frequent(3, 4, 5)(t) for t in words.values())
+    sent = grouped(phrases._put(16, 5, 7)(key(p), t, answers[p]) for p, t in enumerate(tables))
+    mined = pa.concat_tables([phrases._mined(5, 5)(t) for t in sent.values()])
+    f = Counter(tuple(w[i : i + m]) for w in map(str.split, texts) for m in range(2, 6) for i in range(len(w) - m + 1))
+    assert len(sent) > 8 and len(set(mined["key"].to_pylist())) == mined.num_rows
+    assert sorted(mined["n"].to_pylist()) == sorted(n for n in f.values() if n >= 5)
+
+
 def test_awkward_rows_and_empty_tables(spark, awkward, empty):
     want = brute([(r[2], r[1]) for r in awkward_rows()], 3)
     assert [tuple(r) for r in phrases.collocations(awkward, least=3).orderBy("lang", "rank").collect()] == want
