@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import figures, quality, reads
+from tessera.operators import figures, quality, reads, resolve
 from tessera.plans import executor, planner, render
 from tessera.plans.tasks import QueryPlan, Task
 from tessera.schemas import DOCUMENTS, METRICS, RECORDS, Comparison, Direction, Intent, Metric, PlanType, Status, Unsupported
@@ -133,6 +133,30 @@ def test_ranking_with_a_name_is_a_lookup(store):
     assert answer(store, QueryPlan(PlanType.SINGLE, (t,)))[0].startswith("JPMorgan Chase & Co.'s total revenue for fiscal year 2023 was $128.69 billion")
 
 
+def test_lines_of_an_answer_are_its_text(store):
+    """Companies left out are rows of a table, not collected to be joined into one text."""
+    ranked = Task("t1", Intent.FINANCIAL_RANKING, metric=Metric.TOTAL_REVENUE, direction=Direction.HIGHEST)
+    passing = Task("t2", Intent.FINANCIAL_FILTER, metric=Metric.TOTAL_ASSETS, comparison=Comparison.GT, threshold_text="$1 trillion")
+    lookup = Task("t3", Intent.FINANCIAL_METRIC, company_mention="apple", metric=Metric.NET_INCOME, question="?")
+    plan = QueryPlan(PlanType.HYBRID, (ranked, passing, lookup))
+    catalog = executor.Catalog(*store)
+    want, statuses = executor.assemble(plan, executor.execute(plan, catalog))
+    outcomes = executor.execute(plan, catalog, as_lines=True)
+    assert [any(not isinstance(b, str) for b in o.blocks) for o in outcomes] == [True, True, False]
+    lines, same = executor.lines(store[0].sparkSession, plan, outcomes)
+    got = [r.line for r in lines.orderBy("block", "ticker", "document_id").collect()]
+    assert "\n".join(got) == want and same == statuses and sum(x.startswith("Not included: ") for x in got) > 2
+
+
+def test_the_index_of_companies_is_not_broadcast(spark):
+    """Only the table of aliases goes by way of the driver, however small the files of the index are."""
+    index = spark.range(50).selectExpr("concat('T', id) AS ticker", "concat('Company ', id, ' works') AS company_name")
+    found = resolve.resolve_company(spark.createDataFrame([(0, "T7"), (1, "company 9")], "mention_id int, mention string"), index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 5 and plan.count("BroadcastExchange") <= plan.count("LocalTableScan") + plan.count("ExistingRDD")
+    assert {(r.mention_id, r.ticker) for r in found.collect()} == {(0, "T7"), (1, "T9")}
+
+
 @pytest.mark.parametrize(
     ("kw", "said"),
     [
