@@ -65,12 +65,12 @@ def r5_ranking_lowest(s, d):
 
 @query(f"WITH {CTE_ASSESSED} SELECT document_id, value FROM (SELECT document_id, value FROM judged WHERE metric = 'total_assets' AND value > 2e11 ORDER BY value DESC, document_id LIMIT 20)")
 def r6_filter_above(s, d):
-    return figures.threshold_filter(_rows(s, d, Metric.TOTAL_ASSETS), Comparison.GT, 2e11).select("document_id", "value")
+    return figures.threshold_filter(_rows(s, d, Metric.TOTAL_ASSETS), Comparison.GT, 2e11, figures.CAP).select("document_id", "value")
 
 
 @query(f"WITH {CTE_ASSESSED} SELECT document_id, value FROM (SELECT document_id, value FROM judged WHERE metric = 'operating_cash_flow' AND value <= 1e9 ORDER BY value DESC, document_id LIMIT 20)")
 def r6_filter_at_most(s, d):
-    return figures.threshold_filter(_rows(s, d, Metric.OPERATING_CASH_FLOW), Comparison.LTE, 1e9).select("document_id", "value")
+    return figures.threshold_filter(_rows(s, d, Metric.OPERATING_CASH_FLOW), Comparison.LTE, 1e9, figures.CAP).select("document_id", "value")
 
 
 @query(f"WITH {CTE_ASSESSED} SELECT document_id, ticker, filing_year AS fiscal_year FROM judged WHERE metric = 'total_revenue' AND value IS NULL UNION ALL SELECT id, ticker, filing_year FROM docs WHERE id NOT IN (SELECT document_id FROM latest)")
@@ -95,7 +95,7 @@ _SUSPECT = "reason IN ('scale_ambiguous', 'scale_disagreement', 'scale_not_check
 @query(f"WITH {CTE_ASSESSED}, ocf AS (SELECT * FROM judged WHERE metric = 'operating_cash_flow' AND value IS NOT NULL), shown AS (SELECT ticker FROM ocf WHERE value > 3e11 ORDER BY value DESC, document_id LIMIT 20) SELECT document_id, ticker, reason FROM ocf WHERE {_SUSPECT} AND ticker NOT IN (SELECT ticker FROM shown) AND len(list_filter({_PLAUSIBLE}, lambda v: v > 3e11)) > 0")
 def r11_flagged_filter(s, d):
     rows = _rows(s, d, Metric.OPERATING_CASH_FLOW)
-    shown = figures.threshold_filter(rows, Comparison.GT, 3e11)
+    shown = figures.threshold_filter(rows, Comparison.GT, 3e11, figures.CAP)
     return figures.flagged_not_shown(rows, shown, Comparison.GT, 3e11).select("document_id", "ticker", "reason")
 
 
@@ -107,7 +107,7 @@ def r11_flagged_ranking(s, d):
 
 @query(f"WITH {CTE_ASSESSED}, t AS (SELECT * FROM judged WHERE metric = 'total_assets'), shown AS (SELECT document_id FROM t WHERE value < 1.5e11 ORDER BY value DESC, document_id LIMIT 20) SELECT 'shown' AS part, document_id FROM shown UNION ALL SELECT 'excluded', document_id FROM t WHERE value IS NULL UNION ALL SELECT 'excluded', id FROM docs WHERE id NOT IN (SELECT document_id FROM latest) UNION ALL SELECT 'flagged', document_id FROM t WHERE value IS NOT NULL AND {_SUSPECT} AND document_id NOT IN (SELECT document_id FROM shown) AND len(list_filter({_PLAUSIBLE}, lambda v: v < 1.5e11)) > 0")
 def r12_financial_task(s, d):
-    r = figures.run(docs(s, d), records(s, d), Metric.TOTAL_ASSETS, comparison=Comparison.LT, threshold=1.5e11, keep=True)
+    r = figures.run(docs(s, d), records(s, d), Metric.TOTAL_ASSETS, limit=figures.CAP, comparison=Comparison.LT, threshold=1.5e11, keep=True)
     parts = [x.select(F.lit(n).alias("part"), "document_id") for n, x in (("shown", r.rows), ("excluded", r.excluded), ("flagged", r.flagged))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -148,6 +148,34 @@ def test_lines_of_an_answer_are_its_text(store):
     assert "\n".join(got) == want and same == statuses and sum(x.startswith("Not included: ") for x in got) > 2
 
 
+def test_a_filter_names_every_company_that_passes(spark):
+    """Fifty pass, of which five are doubtful; all are listed and counted, the highest first and ties by document, as rows of a table."""
+    docs, rows = [], []
+    for i in range(60):
+        docs.append((i, f"Company {i}", f"T{99 - i}", str(i).zfill(10), 2021 + i % 2, None, None, None, None, True, None))
+        assets = (i // 3 * 10 + 1000 if i < 50 else 5) * 1e6 + 250
+        r = dict.fromkeys(RECORDS.names) | {"id": i, "document_id": i, "extraction_status": "success", "extracted_at": T[0]}
+        r |= {"total_assets": assets, "total_assets_source_line": "none" if i % 10 == 0 else f"total assets {assets:,.0f}"}
+        for m in METRICS:
+            if m != "total_assets":
+                r |= {m: 7e6, f"{m}_source_line": f"{m} 7,000,000"}
+        rows.append(tuple(r[c] for c in RECORDS.names))
+    catalog = executor.Catalog(spark.createDataFrame(docs, DOCUMENTS), spark.createDataFrame(rows, RECORDS))
+    order = sorted(range(50), key=lambda i: (-(i // 3), i))
+    found = figures.run(catalog.docs, catalog.records, Metric.TOTAL_ASSETS, comparison=Comparison.GT, threshold=5e8)
+    assert [r.document_id for r in found.rows.collect()] == order and found.flagged.count() == 0
+    assert figures.run(catalog.docs, catalog.records, Metric.TOTAL_ASSETS, limit=figures.CAP, comparison=Comparison.GT, threshold=5e8).rows.count() == 20
+    plan = single(intent=Intent.FINANCIAL_FILTER, metric=Metric.TOTAL_ASSETS, comparison=Comparison.GT, threshold_text="$500 million")
+    said = [f"  Company {i} (T{99 - i}), FY{2021 + i % 2}: {render.money((i // 3 * 10 + 1000) * 1e6 + 250)}" for i in order]
+    doubts = [f"T{99 - i} — {quality.NOTES['evidence_mismatch']}" for i in order if i % 10 == 0]
+    text, _ = executor.assemble(plan, executor.execute(plan, catalog))
+    want = text.split("\n")
+    assert want[0] == "50 companies had total assets above $500 million:" and want[1:51] == said and want[51:56] == doubts and len(want) == 58 and "(2021–2022)" in want[-1]
+    lines, _ = executor.lines(spark, plan, executor.execute(plan, catalog, as_lines=True))
+    assert [r.line for r in lines.orderBy("block", "ticker", "document_id").collect()] == want
+    assert {r.document_id for r in lines.where("line LIKE '  Company%'").collect()} == {str(i) for i in range(50)}
+
+
 def test_the_index_of_companies_is_not_broadcast(spark):
     """Only the table of aliases goes by way of the driver, however small the files of the index are."""
     index = spark.range(50).selectExpr("concat('T', id) AS ticker", "concat('Company ', id, ' works') AS company_name")
