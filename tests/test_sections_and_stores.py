@@ -209,6 +209,54 @@ def test_nearest_texts_by_blocks_make_no_rows_of_pairs(spark):
     assert "Join" not in split._jdf.queryExecution().optimizedPlan().toString()  # a join would have a row for each pair
 
 
+def test_nearest_texts_compare_equal_vectors_once(spark):
+    """Copies are one vector of a block, by their least keys, and every query among them gets its own answer; also where a block has several lots and a matrix."""
+    from tessera.operators import sparse
+
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(("a b c d e f g h", "a b")[j % 2].split()) + str(rng.randint(0, 3)) for j in range(12)) for i in range(30)}
+    texts |= {i: "copy of one text" for i in range(100, 160)} | {i: "text one of copy" for i in range(160, 170)} | {i: texts[i - 200] for i in range(200, 230)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    terms, is_query = sparse.counted(docs), F.col("doc_id") % 10 == 0
+    vectors = sparse._distinct(terms, is_query, 4, "doc_id").collect()
+    assert len(vectors) == 31 and sum(len(v.askers) for v in vectors) == 13
+    assert [v.members for v in vectors if 100 in v.members] == [[100, 101, 102, 103, 104]]
+    rare, names = sparse.rarity(terms, len(texts)), {r.doc_id: dict(zip(r.features, r.times, strict=True)) for r in terms.collect()}
+    unit = {}
+    for i, v in names.items():
+        w = {f: n * rare[f] for f, n in v.items()}
+        unit[i] = {f: x / np.sqrt(sum(y * y for y in w.values())) for f, x in w.items()}
+    want = []
+    for i in sorted(x for x in unit if x % 10 == 0):
+        near = sorted((-round(sum(x * unit[j].get(f, 0) for f, x in unit[i].items()), 9), j) for j in unit if j != i and unit[i].keys() & unit[j].keys())
+        want += [(i, n, j, -c) for n, (c, j) in enumerate(near[:4], 1)]
+    for block in (sparse.BLOCK, 7):
+        got = sorted(map(tuple, sparse.nearest(terms, is_query, 4, rare=rare, block=block).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-9 for g, w in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize(("share", "first"), [(1 / 16, 0), (0.3, 0), (2.0, 1 << 40), (0.3, 1 << 40)])
+def test_a_block_leaves_out_no_near_text(share, first, monkeypatch):
+    """The comparison in single precision keeps all that may be among the k best, whatever part of it is a matrix or postings, and by numbers of features or their places."""
+    from tessera.operators import sparse
+
+    monkeypatch.setattr(sparse, "SHARE", share)
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random((900, 60)) < np.linspace(0.01, 0.7, 60), rng.integers(1, 4, (900, 60)), 0).astype(float)
+    v[300:340] = v[300]  # ties beyond the kth
+    v[:, 0] += v.sum(1) == 0
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    row, f = np.nonzero(v)
+    block = sparse._Block(row, f + first, v[row, f], len(v))
+    assert block.table.shape[1] == (np.count_nonzero(v, axis=0) > len(v) * share).sum()
+    exact, some = np.round(v @ v.T, sparse.DIGITS), [0, 300, 301, 899]
+    at, g = np.nonzero(v[some])
+    for i, (rows, cosine) in zip(some, block.nearest(at, g + first, v[some][at, g], len(some), 5), strict=True):
+        kth = np.sort(exact[i])[-5]
+        assert set(np.flatnonzero((exact[i] >= kth) & (exact[i] > 0))) <= set(rows.tolist()) and np.abs(cosine - exact[i][rows]).max() <= 2e-9
+        assert len(rows) < 100
+
+
 def test_numbers_by_answer_go_by_parts_of_bounded_size(spark, tmp_path, monkeypatch):
     from tessera.queries import stored
 
